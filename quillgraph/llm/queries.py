@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, simhash_dedup, warc
+from . import bpe, chat, fingerprints, mixing, quality, simhash_dedup, warc
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=3)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
