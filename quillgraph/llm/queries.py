@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, quality, simhash_dedup, warc
+from . import bpe, chat, fingerprints, mixing, quality, secrets, simhash_dedup, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), rate=0.05)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
 d AS (SELECT page_id, octet_length(raw) AS n, sha1(raw) AS digest FROM p),
