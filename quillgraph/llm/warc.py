@@ -200,6 +200,6 @@ def archive_and_read(pages: DataFrame, least: int = 1000, folder: str | None = N
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     listed = f"{folder}-manifest"
-    write(pages, folder, least).write.parquet(listed)
+    write(pages, folder, least).repartition(1).write.parquet(listed)  # a row an archive
     manifest = spark.read.parquet(listed)
     return read(spark, folder, manifest.repartition(max(1, manifest.count()), "path"))
