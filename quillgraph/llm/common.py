@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def expand(left: np.ndarray, start: np.ndarray, count: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each of left with start, start + 1 ... (count of them), chunk pairs at once; a row's pairs may be cut."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    for lo in range(0, total, chunk):
+        at = np.arange(lo, min(total, lo + chunk))
+        row = np.searchsorted(ends, at, side="right")
+        yield left[row], start[row] + at - (ends[row] - count[row])
+
+
 def local_components(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of n nodes over edges (u, v), joined to what labels already connect."""
     lab = np.arange(n) if labels is None else labels

@@ -7,8 +7,8 @@ are verified by their cosine in double precision.
 
 Counting all pairs of a large table would be quadratic, so pairs are counted only where they meet: in `tables`, each of
 which cuts `cuts` of the lines into cells of CELL windows at random offsets and keys a vector by its cells. How many
-cuts and tables there are follows from the number of vectors and the recall that is asked for. Within a cell, vectors
-are sorted along the first line and windows are found by search; a pair is counted in the first table where it meets.
+cuts and tables there are follows from the number of vectors and the recall that is asked for. A pair is counted in
+the first table where it meets.
 
 Equal vectors are one vector with a weight. A cell with more than BLOCK vectors is split into blocks, and each pair of
 blocks is dealt out on its own. Tasks return link counts by vector and a forest of links, never all pairs of a cell.
@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest_edges, local_components, materialize, shuffle_partitions
+from .common import connected_components, expand, forest_edges, local_components, materialize, shuffle_partitions
 
 BLOCK = 4096
 LINES = 32  # lines on which collisions are counted
 WINDOW = 2.0  # half width of a window, in standard deviations of the difference of a pair at the threshold
 CELL = 4.0  # width of a cell, in the same unit
-ROWS = 200_000  # rows of one task, about
+ROWS = 100_000  # rows of one task, about
+CHUNK = 500_000  # pairs compared at once
 
 
 @dataclass
@@ -96,40 +97,32 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
-def _meet(p: Plan, table: int, vid: np.ndarray, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions) between the rows a and b of a cell of the table; a is b where a block meets itself."""
-    unit = _unit(raw)
-    keys, along = p.keys(unit), (unit @ p.lines).astype(np.float32)
+def _linked(p: Plan, table: np.ndarray, raw: np.ndarray, a: np.ndarray, b: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) of rows collide often enough, first meet in their row's table, and are near."""
     reach = np.float32(WINDOW * p.sigma)
-    b = b[np.argsort(along[b, 0], kind="stable")]
-    own = a is b or np.array_equal(np.sort(a), np.sort(b))
-    first, second = [], []
-    for lo in range(0, len(a), 256):
-        q = a[lo : lo + 256]
-        # the sorted line bounds how far partners can be: all windows but LINES - least must be met
-        count = np.zeros((len(q), len(b)), np.int8)
-        for line in range(LINES):
-            count += np.abs(along[q, line][:, None] - along[b, line][None, :]) <= reach
-        i, j = np.nonzero(count >= p.least)
-        i, j = q[i], b[j]
-        once = vid[i] < vid[j] if own else np.ones(len(i), bool)
-        i, j = i[once], j[once]
-        for t in range(table):  # pairs that met in an earlier table are counted there
-            new = keys[i, t] != keys[j, t]
-            i, j = i[new], j[new]
-        x, y = raw[i], raw[j]
-        cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-        first.append(i[cos >= p.threshold])
-        second.append(j[cos >= p.threshold])
-    return np.concatenate(first), np.concatenate(second)
+    at, misses = np.arange(len(a)), np.zeros(len(a), np.int8)
+    for line in range(LINES):
+        misses += np.abs(along[a[at], line] - along[b[at], line]) > reach
+        if line in (7, 11, 15, 23, LINES - 1):
+            open_ = misses <= LINES - p.least
+            at, misses = at[open_], misses[open_]
+    used, where = np.unique(np.r_[a[at], b[at]], return_inverse=True)
+    keys = p.keys(_unit(raw[used].astype(np.float64)))
+    x, y = where[: len(at)], where[len(at) :]
+    met = keys[x] == keys[y]
+    at = at[met.argmax(1) == table[a[at]]] if len(at) else at
+    u, v = raw[a[at]].astype(np.float64), raw[b[at]].astype(np.float64)
+    cos = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1))
+    return at[cos >= p.threshold]
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """Rows (vec_id, v: array<double>, null where it can't link), and (rep, v, n) for each distinct vector."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    """Rows (vec_id, v: array of float or double, null where it can't link), and (rep, v, n) for each distinct vector."""
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall("v", lambda x: x == 0)
-    rows = rows.select("vec_id", F.when(F.col("v").isNotNull() & ~bad & ~zero, F.transform("v", lambda x: x + 0.0)).alias("v"))
+    rows = rows.select("vec_id", F.when(F.col("v").isNotNull() & ~bad & ~zero, F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))).alias("v"))
     common = rows.where(F.col("v").isNotNull()).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = common.d if common else 0
     rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
@@ -144,22 +137,22 @@ def links(reps: DataFrame, dim: int, count: int, threshold: float, recall: float
     spark = reps.sparkSession
 
     def vectors(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if len(column) else np.zeros((0, dim))
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 s = b.slice(lo, 1024)
-                keys = p.keys(_unit(vectors(s.column(1))))
+                keys = p.keys(_unit(vectors(s.column(1)).astype(np.float64)))
                 for t in range(p.tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(s.num_rows, t, np.int32)), pa.array(keys[:, t]), *s.columns], ["t", "cell", "rep", "v", "n"])
 
     def deal_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = p.keys(_unit(vectors(b.column(0))))
+            keys = p.keys(_unit(vectors(b.column(0)).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(p.tables, dtype=np.int32), len(keys))), pa.array(keys.ravel())], ["t", "cell"])
 
-    dealt = reps.select("rep", "v", "n").mapInArrow(deal, "t int, cell long, rep long, v array<double>, n long")
+    dealt = reps.select("rep", "v", "n").mapInArrow(deal, f"t int, cell long, rep long, v {reps.schema['v'].dataType.simpleString()}, n long")
     hot = reps.select("v").mapInArrow(deal_keys, "t int, cell long").groupBy("t", "cell").count().where(F.col("count") > BLOCK)
     hot = materialize(hot.select("t", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "vectors-hot")
     if hot.isEmpty():
@@ -178,35 +171,35 @@ def links(reps: DataFrame, dim: int, count: int, threshold: float, recall: float
         tab = pa.Table.from_batches(rows).combine_chunks()
         t, cell, rep, n, own, i, j = (tab.column(c).to_numpy() for c in ("t", "cell", "rep", "n", "own", "i", "j"))
         raw = vectors(tab.column("v").chunk(0))
-        order = np.lexsort((j, i, cell, t))
+        along = np.concatenate([(_unit(raw[k : k + 8192].astype(np.float64)) @ p.lines).astype(np.float32) for k in range(0, len(raw), 8192)])
+        right = own != i  # of a pair of blocks, the second
+        order = np.lexsort((right, j, i, cell, t))
         k = np.stack([t, cell, i, j])[:, order]
-        cut = np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(0), True])
-        weight, us, vs = {}, [], []
+        new = np.r_[True, (k[:, 1:] != k[:, :-1]).any(0)]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        end = np.r_[first[1:], len(order)]
+        lefts = first + np.bincount(group, weights=~right[order], minlength=len(first)).astype(int)
+        here = np.arange(len(order))
+        alone = (i == j)[order]
+        start = np.where(alone, here + 1, lefts[group])
+        count_ = np.where(right[order], 0, end[group] - start)
         names, node = np.unique(rep, return_inverse=True)
-        total = np.zeros(len(names), np.int64)
-        for a, b in zip(cut, cut[1:], strict=False):
-            rows_ = order[a:b]
-            if len(rows_) < 2:
-                continue
-            r0 = rows_[0]
-            sub = np.arange(len(rows_))
-            left, right = (sub, sub) if i[r0] == j[r0] else (sub[own[rows_] == i[r0]], sub[own[rows_] == j[r0]])
-            x, y = _meet(p, int(t[r0]), rep[rows_], raw[rows_], left, right)
-            if len(x):
-                u, v = rows_[x], rows_[y]
-                np.add.at(total, node[u], n[v])
-                np.add.at(total, node[v], n[u])
-                us.append(node[u])
-                vs.append(node[v])
-        if us:
-            lab = local_components(len(names), np.concatenate(us), np.concatenate(vs))
-            s, d = forest_edges(names, lab)
-            some = total > 0
-            r = np.concatenate([names[some], s])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r), pa.array(np.r_[total[some], np.zeros(len(s), np.int64)]), pa.array(np.r_[np.zeros(some.sum(), np.int64), d], mask=np.r_[np.ones(some.sum(), bool), np.zeros(len(d), bool)])],
-                ["rep", "n_links", "other"],
-            )
+        total, lab = np.zeros(len(names), np.int64), np.arange(len(names))
+        some = count_ > 0
+        for a, b in expand(here[some], start[some], count_[some], CHUNK):
+            a, b = order[a], order[b]
+            hit = _linked(p, t, raw, a, b, along)
+            u, v = a[hit], b[hit]
+            np.add.at(total, node[u], n[v])
+            np.add.at(total, node[v], n[u])
+            lab = local_components(len(names), node[u], node[v], lab)
+        s, d = forest_edges(names, lab)
+        seen = total > 0
+        none = np.r_[np.ones(seen.sum(), bool), np.zeros(len(d), bool)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[names[seen], s]), pa.array(np.r_[total[seen], np.zeros(len(s), np.int64)]), pa.array(np.r_[np.zeros(seen.sum(), np.int64), d], mask=none)], ["rep", "n_links", "other"]
+        )
 
     return dealt.repartition(parts, "t", "cell", "i", "j").mapInArrow(search, "rep long, n_links long, other long")
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, quality, secrets, simhash_dedup, warc
+from . import bpe, chat, embedding_dedup, fingerprints, mixing, quality, secrets, simhash_dedup, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=3)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=1000)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -35,6 +39,26 @@ FROM m
 """
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+    embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE ok),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95
+), reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a)
+  SELECT a, min(b) AS low FROM r GROUP BY a
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, reach.low AS component_id,
+  v.vec_id = reach.low AS kept
+FROM v JOIN reach ON reach.a = v.vec_id
+"""
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
@@ -64,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op3_warc": OP3_SQL}

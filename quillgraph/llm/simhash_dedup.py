@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest_edges, local_components, materialize, shuffle_partitions
+from .common import connected_components, expand, forest_edges, local_components, materialize, shuffle_partitions
 
 BLOCK = 4096  # rows of one key that a block may hold before the key is split into block pairs
 CHUNK = 2_000_000  # pairs compared at once
@@ -84,16 +84,6 @@ def _probes(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(keys), np.concatenate(fps), np.concatenate(probe)
 
 
-def _expand(left: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each of left against its range of the table, in chunks; the ranges of one row may be cut."""
-    ends = np.cumsum(count)
-    total = int(ends[-1]) if len(ends) else 0
-    for lo in range(0, total, CHUNK):
-        at = np.arange(lo, min(total, lo + CHUNK))
-        row = np.searchsorted(ends, at, side="right")
-        yield left[row], start[row] + at - (ends[row] - count[row])
-
-
 def _links(key: np.ndarray, block: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of links between the fingerprints of each (key, block)."""
     order = np.lexsort((probe, block, key))
@@ -107,7 +97,7 @@ def _links(key: np.ndarray, block: np.ndarray, fp: np.ndarray, probe: np.ndarray
     count = table_end[group] - start
     names, node = np.unique(fp, return_inverse=True)
     lab = np.arange(len(names))
-    for a, b in _expand(here[count > 0], start[count > 0], count[count > 0]):
+    for a, b in expand(here[count > 0], start[count > 0], count[count > 0], CHUNK):
         hit = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         lab = local_components(len(names), node[a[hit]], node[b[hit]], lab)
     return forest_edges(names, lab)
