@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, expand, forest_edges, local_components, materialize, shuffle_partitions
@@ -40,15 +40,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: long) for every row of docs."""
+    """(doc_id, text_hash, fp: long) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def segments(radius: int) -> list[tuple[int, int, int]]:
@@ -156,15 +157,29 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, count: int | None = None)
     return dealt.repartition(parts, "key", "block").mapInArrow(search, "src long, dst long")
 
 
-def near_duplicate_components(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint: 16 hex digits, component_id) for every row of docs."""
+def _groups(docs: DataFrame, radius: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp) of docs, and (fp, group, component_id) of their distinct fingerprints."""
     each = materialize(fingerprints(docs, words, id_col, text_col), "simhash-docs")
     fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    edges = fingerprint_links(fps, radius)
-    nodes = connected_components(edges, "simhash")
+    nodes = connected_components(fingerprint_links(fps, radius), "simhash")
     named = nodes.join(fps, nodes["node"] == fps["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = nodes.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    of = materialize(
-        fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-components"
-    )
+    linked = nodes.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("group"), "component_id")
+    of = fps.join(linked, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("component_id", "first").alias("component_id"))
+    return each, materialize(of, "simhash-components")
+
+
+def near_duplicate_components(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint: 16 hex digits, component_id) for every row of docs."""
+    each, of = _groups(docs, radius, words, id_col, text_col)
     return each.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 7, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns, of each group of near-duplicates: that with the smallest id (null last), then text hash."""
+    each, of = _groups(docs, radius, words, id_col, text_col)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
+    stay = each.join(of, "fp").groupBy("group").agg(best.alias("b")).select("b.d", "b.h").distinct()
+    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_d", F.col(id_col).cast("long"))
+    rows = rows.join(stay, rows["_d"].eqNullSafe(stay["d"]) & (rows["_h"] == stay["h"]), "left_semi")
+    once = Window.partitionBy("_d", "_h").orderBy(*[F.col(c) for c in docs.columns if c != text_col])
+    return rows.withColumn("_n", F.row_number().over(once)).where(F.col("_n") == 1).select(*docs.columns)
