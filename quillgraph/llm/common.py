@@ -25,10 +25,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The shuffle files that the write needed are deleted when it is done.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
+    path, key = shared_path(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,16 +5,16 @@ doubling ranks positions by their first h bytes and sorts pairs of ranks at grow
 h passes the threshold. Ranking every position of a large corpus would shuffle it many times over, so positions are
 sampled first without losing any repeat, and the ranks are hashes that agree across documents:
 
-1. Each window of 50 bytes has as its anchor the 26-byte string in it with the smallest hash, so equal windows have
-   equal anchors in equal places. Spark groups anchors by their rank over 26 bytes; ranks of one document only are
-   unique and drop out.
-2. Pairs of ranks at the offsets before and behind the anchor rank it over its whole context, the 74 bytes that hold
-   all its windows. An anchor whose context occurs in an earlier document has all of its windows covered.
-3. Of the rest, those go on that share 12 bytes more, on either side, with another document (38 bytes). Each of the
-   windows that they are the anchor of is ranked over its 50 bytes, and is covered if an earlier document has it.
+1. Each window of 50 bytes has as its anchor the FIRST bytes in it with the smallest hash, so equal windows have equal
+   anchors in equal places. Spark groups anchors by their rank; ranks of one document only are unique and drop out.
+2. Pairs of ranks at the offsets before and behind the anchor rank it over its whole context, which holds all its
+   windows. An anchor whose context occurs in an earlier document has all of its windows covered.
+3. Of the rest, those go on that share half a context more, on either side, with another document. Spark groups these
+   once more by rank, now with the bytes around them, and ranks each of their windows by the pair of what lies before
+   and behind the anchor; a window is covered if an earlier document has its rank.
 
-A rank over 26 bytes is 64 bits, one over a context or a window 128 bits. Positions with a rank of their own leave
-early, so what is sorted shrinks from round to round.
+An anchor's rank is 64 bits and a context's or window's 128. Positions with a rank of their own leave early, so what is
+sorted shrinks from round to round.
 
 Defined results: a null text counts as empty; texts under 50 bytes keep all bytes; documents with the same id are not
 earlier than each other; a null id is later than all others; repeated rows each get their own row; an empty table gives
@@ -23,18 +23,17 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 
-LENGTH, FIRST = 50, 26
+LENGTH, FIRST = 50, 18
 SIDE = LENGTH - FIRST  # bytes of an anchor's context on either side
 HALF = SIDE // 2
 SEGMENT = 1 << 20  # positions hashed at once
@@ -48,6 +47,11 @@ def _words(raw: bytes) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1)).copy().view("<u8").ravel()
 
 
+def _over(n: int) -> list[int]:
+    """Offsets of 8-byte words that cover n bytes."""
+    return [*range(0, n - 8, 8), n - 8]
+
+
 def _mixed(w: np.ndarray, at: np.ndarray | slice, offsets: list[int], seed: int) -> np.ndarray:
     h = None
     for o in offsets:
@@ -57,6 +61,13 @@ def _mixed(w: np.ndarray, at: np.ndarray | slice, offsets: list[int], seed: int)
     return h * U(0x9FB21C651E98DF25)
 
 
+def _mixed_rows(text: np.ndarray, seed: int) -> np.ndarray:
+    """The same hash for whole rows of bytes."""
+    size = text.shape[1]
+    words = [np.ascontiguousarray(text[:, o : o + 8]).view("<u8").ravel() for o in _over(size)]
+    return _mixed(np.stack(words, 1).ravel(), slice(None, None, len(words)), list(range(len(words))), seed)
+
+
 def _minima(h: np.ndarray, width: int) -> np.ndarray:
     """Smallest of each `width` successive values."""
     k = 1
@@ -70,7 +81,7 @@ def window_anchors(w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     count, width = n - FIRST + 1, SIDE + 1
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
-    h = _mixed(w, slice(SIDE, SIDE + count), [0, 8, 16, FIRST - 8], 1)
+    h = _mixed(w, slice(SIDE, SIDE + count), _over(FIRST), 1)
     m = _minima(h, width)
     # a position is an anchor if a window that holds it has its hash as smallest, that is as the largest such smallest
     low = np.zeros(width - 1, U)
@@ -79,8 +90,8 @@ def window_anchors(w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _anchor_rows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor: its rank, the rank of its sides (two of 32 bits), and its place: 12 bytes before (16 bits),
-    12 bytes behind (16 bits, 0 where the text has none), position (32 bits)."""
+    """For each anchor: its rank, the rank of its sides (two of 32 bits), and its place: half a context before
+    and behind (16 bits each, 0 where the text is shorter), position (32 bits)."""
     ranks, sides, places = [], [], []
     for lo in range(0, max(len(raw) - LENGTH + 1, 1), SEGMENT):
         # windows that start in the segment; bytes around it keep contexts whole
@@ -89,10 +100,10 @@ def _anchor_rows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = min(len(raw), lo + SEGMENT + LENGTH - 1) - lo
         at, h, _ = window_anchors(w[lo - a :], own)
         p = at + (lo - a) + SIDE  # in w
-        left = _mixed(w, p - SIDE, [0, 8, 16], 2) >> U(32)
-        right = _mixed(w, p + FIRST, [0, 8, 16], 3) >> U(32)
-        l12 = _mixed(w, p - HALF, [0, HALF - 8], 4) >> U(48) | U(1)
-        r12 = _mixed(w, p + FIRST, [0, HALF - 8], 5) >> U(48) | U(1)
+        left = _mixed(w, p - SIDE, _over(SIDE), 2) >> U(32)
+        right = _mixed(w, p + FIRST, _over(SIDE), 3) >> U(32)
+        l12 = _mixed(w, p - HALF, _over(HALF), 4) >> U(48) | U(1)
+        r12 = _mixed(w, p + FIRST, _over(HALF), 5) >> U(48) | U(1)
         pos = at + lo
         l12[pos < HALF] = 0
         r12[pos + FIRST + HALF > len(raw)] = 0
@@ -174,52 +185,82 @@ def shared_anchors(found: DataFrame, parts: int) -> DataFrame:
     return found.repartition(parts, "rank").mapInArrow(run, SPOT)
 
 
-def window_ranks(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    """(doc, text_hash, start, a, b): windows whose anchors are among spots, with their ranks over 50 bytes."""
+def _windows(text: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """(anchors, SIDE + 1): whether the window that starts so many bytes before the anchor is in an earlier document.
+
+    text: the contexts, as rows of bytes; n, pos: their documents' sizes and their places there.
+    """
+    many, side = len(text), np.arange(SIDE + 1)
+    # ranks of what lies up to so many bytes before the anchor, and behind it, grow byte by byte
+    before, behind = np.zeros((many, SIDE + 1), U), np.zeros((many, SIDE + 1), U)
+    for k in range(1, SIDE + 1):
+        b = (before[:, k - 1] ^ text[:, SIDE - k].astype(U) + U(1)) * U(0x9E3779B97F4A7C15)
+        before[:, k] = b ^ b >> U(29)
+        b = (behind[:, k - 1] ^ text[:, SIDE + FIRST + k - 1].astype(U) + U(1)) * U(0xD6E8FEB86659FD93)
+        behind[:, k] = b ^ b >> U(31)
+    start = pos[:, None] - side
+    inside = (start >= 0) & (start + LENGTH <= n[:, None])
+    out = np.zeros((many, SIDE + 1), bool)
+    for k in side:
+        at = np.flatnonzero(inside[:, k])
+        if len(at):
+            out[at, k] = doc[at] > _run_minima([behind[at, SIDE - k], before[at, k], rank[at]], doc[at])
+    return out
+
+
+def contexts(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """(rank, doc, text_hash, pos, size, context) of the anchors spots (doc, text_hash, pos)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, th, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                doc, th, text = (batch.column(c)[k].as_py() for c in range(3))
                 raw = text.encode("utf-8", "surrogatepass")
-                pos = np.unique(np.array(at))
-                out = [np.zeros((3, 0), np.int64)]
-                for lo in range(0, len(raw) - LENGTH + 1, SEGMENT):
-                    part = raw[lo : lo + SEGMENT + LENGTH - 1]
-                    w = _words(part)
-                    _, h, m = window_anchors(w, len(part))
-                    near = pos[(pos >= lo) & (pos < lo + len(h))] - lo
-                    start = near[:, None] - np.arange(SIDE + 1)[None, :]
-                    ok = (start >= 0) & (start < len(m))
-                    ok &= m[np.where(ok, start, 0)] == h[near][:, None]
-                    start = np.unique(start[ok])
-                    a, b = (_mixed(w, start + SIDE, [0, 8, 16, 24, 32, 40, LENGTH - 8], s).view(np.int64) for s in (6, 7))
-                    out.append(np.stack([start + lo, a, b]))
-                start, a, b = np.hstack(out)
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, th)), pa.array(start.astype(np.int32)), pa.array(a), pa.array(b)], ["doc", "text_hash", "start", "a", "b"])
+                pos = np.unique(batch.column(3)[k].values.to_numpy())
+                padded = np.frombuffer(b"\xff" * SIDE + raw + b"\xff" * SIDE, np.uint8)
+                around = padded[pos[:, None] + np.arange(FIRST + 2 * SIDE)]
+                h = _mixed_rows(around[:, SIDE : SIDE + FIRST], 1)
+                m = len(pos)
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(around.shape[1]), m, [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(np.full(m, doc)), pa.array(np.full(m, th)), pa.array(pos.astype(np.int32)), pa.array(np.full(m, len(raw))), packed],
+                    ["rank", "doc", "text_hash", "pos", "size", "context"],
+                )
 
     lists = spots.groupBy("doc", "text_hash").agg(F.collect_list("pos").alias("at"))
     texts = rows.join(lists, ["doc", "text_hash"]).select("doc", "text_hash", "text", "at")
-    return texts.mapInArrow(run, "doc long, text_hash long, start int, a long, b long")
+    return texts.mapInArrow(run, "rank long, doc long, text_hash long, pos int, size long, context binary")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of stages that nothing refers to any longer."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def later_windows(around: DataFrame, parts: int) -> DataFrame:
+    """(doc, text_hash, first, last): bytes around anchors whose windows an earlier document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).combine_chunks()
+        doc, th, pos, size = (t.column(c).to_numpy() for c in ("doc", "text_hash", "pos", "size"))
+        text = np.frombuffer(b"".join(t.column("context").to_pylist()), np.uint8).reshape(-1, FIRST + 2 * SIDE)
+        gone = _windows(text, size, pos.astype(np.int64), t.column("rank").to_numpy().view(U), doc)
+        # runs of windows: from the one that starts first to the end of the last
+        edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, near = np.nonzero(edge == 1)
+        far = np.nonzero(edge == -1)[1] - 1
+        first, last = pos[row] - far, pos[row] - near + LENGTH
+        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(th[row]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "text_hash", "first", "last"])
+
+    return around.repartition(parts, "rank").mapInArrow(run, "doc long, text_hash long, first int, last int")
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(doc, text_hash, first, last): spans of bytes in rows (doc, text_hash, text) to remove, last exclusive."""
-    spark = rows.sparkSession
-    spots = materialize(shared_anchors(anchors(rows), shuffle_partitions(spark)), "suffix-anchors")
-    release(spark)
-    windows = materialize(window_ranks(rows, spots.where(~F.col("covered"))), "suffix-windows")
-    release(spark)
-    earliest = windows.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where(F.col("low") < F.col("high"))
-    later = windows.join(earliest.select("a", "b", "low"), ["a", "b"]).where(F.col("doc") > F.col("low"))
+    parts = shuffle_partitions(rows.sparkSession)
+    spots = materialize(shared_anchors(anchors(rows), parts), "suffix-anchors")
+    around = materialize(contexts(rows, spots.where(~F.col("covered"))), "suffix-contexts")
+    later = materialize(later_windows(around, parts), "suffix-windows")
     whole = spots.where("covered").select("doc", "text_hash", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("first"), (F.col("pos") + LENGTH).alias("last"))
-    return whole.unionByName(later.select("doc", "text_hash", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("last")))
+    return whole.unionByName(later)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
