@@ -11,18 +11,20 @@ from ..functions.text import jaccard, words
 from ..functions.vectors import dot, norm
 
 
-def type_profiles(mentions: DataFrame) -> DataFrame:
+def type_profiles(mentions: DataFrame, dim: int | None = None) -> DataFrame:
     """(paper_id, entity_type, v, w): weighted sum of unit vectors and sum of weights of rows (paper_id, entity_type, weight, v).
 
     The intra-type similarity is a weighted mean of cosines over all pairs; as the numerator is the inner product of
     two such sums, each paper is summed once and no pairs of entities are joined. Entities without a vector don't count.
+    Components are summed as columns, so partial sums meet before the shuffle; dim is read from the rows if not given.
     """
     rows = mentions.where(F.col("v").isNotNull()).withColumn("size", norm(F.col("v")))
-    parts = rows.select("paper_id", "entity_type", "weight", F.posexplode(F.transform("v", lambda x: F.when(F.col("size") > 0, x / F.col("size") * F.col("weight")).otherwise(0.0))).alias("i", "x"))
-    sums = parts.groupBy("paper_id", "entity_type", "i").agg(F.sum("x").alias("x"))
-    vectors = sums.groupBy("paper_id", "entity_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    weights = rows.groupBy("paper_id", "entity_type").agg(F.sum("weight").alias("w"))
-    return vectors.join(weights, ["paper_id", "entity_type"])
+    if dim is None:
+        dim = rows.agg(F.max(F.size("v")).alias("d")).first().d or 0
+    rows = rows.withColumn("scale", F.when(F.col("size") > 0, F.col("weight") / F.col("size")).otherwise(0.0))
+    sums = [F.sum(F.get("v", k) * F.col("scale")).alias(f"x{k}") for k in range(dim)]
+    each = rows.groupBy("paper_id", "entity_type").agg(F.sum("weight").alias("w"), *sums)
+    return each.select("paper_id", "entity_type", F.array(*[F.col(f"x{k}") for k in range(dim)]).cast("array<double>").alias("v"), "w")
 
 
 def type_similarity(pairs: DataFrame, profiles: DataFrame) -> DataFrame:

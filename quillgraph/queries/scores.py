@@ -205,9 +205,9 @@ def fusion(t: Tables) -> DataFrame:
     return t.graph_papers.select("function").distinct().select("function", N.fusion(F.col("function"), 0).alias("cognitive"), N.fusion(F.col("function"), 1).alias("quality"))
 
 
-@query("math08_path_weight", "SELECT l_orderkey, round(product(l_quantity / 50) * pow(0.5, count(*)), 9) AS w FROM lineitem GROUP BY 1")
+@query("math08_path_weight", "SELECT l_orderkey, round(sum(ln(l_quantity / 50)) + count(*) * ln(0.5), 6) AS log_weight FROM lineitem GROUP BY 1")
 def path_weight(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey").agg(F.round(N.path_weight(F.collect_list(F.col("l_quantity") / 50)), 9).alias("w"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.round(F.log(N.path_weight(F.collect_list(F.col("l_quantity") / 50))), 6).alias("log_weight"))
 
 
 @query("math10_softmax", "WITH x AS (SELECT vec_id, list_transform(embedding[1:4], lambda e: exp(e::DOUBLE)) AS p FROM embeddings) SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS top, list_position(p, list_max(p)) - 1 AS label FROM x")
