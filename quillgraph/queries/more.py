@@ -100,7 +100,7 @@ def renumbered(t: Tables) -> DataFrame:
 
 
 def similarity_sql(kind: str) -> str:
-    return sql("citations contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, round(similarity, 6) AS similarity FROM ts WHERE entity_type = '{kind}'")
+    return sql("citations contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, round(similarity, 6) + 0.0::DOUBLE AS similarity FROM ts WHERE entity_type = '{kind}'")
 
 
 def by_type(t: Tables, kind: str) -> DataFrame:

@@ -39,7 +39,7 @@ def vector_mentions(t: Tables) -> DataFrame:
     return t.contains.join(vectors, "entity_id").select("paper_id", "entity_type", "weight", "v")
 
 
-@query("agg16_type_similarity", sql("citations contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, entity_type, round(similarity, 6) AS similarity FROM ts"))
+@query("agg16_type_similarity", sql("citations contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, entity_type, round(similarity, 6) + 0.0::DOUBLE AS similarity FROM ts"))
 def type_similarity(t: Tables) -> DataFrame:
     return S.type_similarity(pairs(t), S.type_profiles(vector_mentions(t))).withColumn("similarity", F.round("similarity", 6))
 
@@ -67,9 +67,9 @@ def part_mentions(t: Tables) -> DataFrame:
     return t.contains.select("paper_id", "entity_id", "seq")
 
 
-@query("agg18_path_similarity", sql("citations contains relations", f"WITH {PAIRS}, {path_sql(3)} SELECT query_id, paper_id, round(s_path, 6)::DOUBLE AS s_path FROM sp"))
+@query("agg18_path_similarity", sql("citations contains relations", f"WITH {PAIRS}, {path_sql(3)} SELECT query_id, paper_id, round(s_path, 10)::DOUBLE AS s_path FROM sp"))
 def path_similarity(t: Tables) -> DataFrame:
-    return S.path_similarity(pairs(t), part_mentions(t), t.relations, 3).withColumn("s_path", F.round("s_path", 6))
+    return S.path_similarity(pairs(t), part_mentions(t), t.relations, 3).withColumn("s_path", F.round("s_path", 10))
 
 
 def set_sql(kind: str, name: str) -> str:
@@ -108,7 +108,7 @@ def function_scores(t: Tables) -> DataFrame:
     return rows.select("query_id", "paper_id", "function", score.alias("s_function"))
 
 
-@query("fun05_function_scores", sql("citations contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, function, round(s_function, 6) AS s_function FROM ff"))
+@query("fun05_function_scores", sql("citations contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, function, round(s_function, 6) + 0.0::DOUBLE AS s_function FROM ff"))
 def functions(t: Tables) -> DataFrame:
     return function_scores(t).withColumn("s_function", F.round("s_function", 6))
 
