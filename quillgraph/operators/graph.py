@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..sources.shared import materialize
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -48,24 +46,12 @@ def constrained(edges: DataFrame, types: DataFrame, patterns: DataFrame) -> Data
     return transition(kept.select("source", "target", "relation_type", "weight"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares, and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/quillgraph/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def random_walk(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, steps: int = 20, tolerance: float | None = 1e-6) -> DataFrame:
     """GRA07: (id, score): random walk with restart from seeds (id), at most `steps` rounds, scores summing to 1.
 
     With tolerance None all rounds run. Every fifth round is written out, so that plans stay short.
     """
-    move = _cut(transition(edges).select("source", "target", "p"))
+    move = materialize(transition(edges).select("source", "target", "p"), "moves")
     n = seeds.count()
     start = seeds.select("id", F.lit(1.0 / max(n, 1)).alias("s0"))
     now = start.select("id", F.col("s0").alias("score"))
@@ -73,7 +59,7 @@ def random_walk(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, steps
         moved = now.join(move, now["id"] == move["source"]).groupBy(F.col("target").alias("id")).agg((F.sum(F.col("score") * F.col("p")) * (1 - restart)).alias("m"))
         new = moved.join(start, "id", "full").select("id", (F.coalesce("m", F.lit(0.0)) + restart * F.coalesce("s0", F.lit(0.0))).alias("score"))
         if tolerance is not None or k % 5 == 4:
-            new = _cut(new)
+            new = materialize(new, "walk")
         if tolerance is not None:
             gap = new.withColumnRenamed("score", "a").join(now.withColumnRenamed("score", "b"), "id", "full")
             d = gap.select(F.sqrt(F.sum(F.pow(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)), F.lit(2)))).alias("d")).first().d
@@ -89,12 +75,12 @@ def random_walk(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, steps
 def reachable(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """GRA08: (start, id) of all nodes that directed paths of up to `most` edges lead to from starts (id)."""
     edge = edges.select(F.col("source").alias("at"), F.col("target").alias("next")).distinct()
-    seen = _cut(starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct())
+    seen = materialize(starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct(), "frontier")
     all_, k = seen.limit(0), 0
     while (most is None or k < most) and not seen.isEmpty():
         step = seen.join(edge, "at").select("start", F.col("next").alias("at")).distinct()
-        seen = _cut(step.join(all_, ["start", "at"], "left_anti"))
-        all_ = _cut(all_.unionByName(seen))
+        seen = materialize(step.join(all_, ["start", "at"], "left_anti"), "frontier")
+        all_ = materialize(all_.unionByName(seen), "reached")
         k += 1
     return all_.select("start", F.col("at").alias("id"))
 

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bindings import Tables, sql
 from ..sources import readers as R
+from ..sources.shared import shared_path
 from . import query
 from .ingest import citation_objects, paper_objects
 
 
 def folder(t: Tables, name: str) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        t.spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quillgraph/{name}-{uuid.uuid4().hex}"
+    return shared_path(t.spark, name)
 
 
 def document(t: Tables, objects: DataFrame, key: str | None, name: str) -> str:
