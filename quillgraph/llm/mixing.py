@@ -4,8 +4,8 @@ Every document of a source starts with the same expected number of copies, targe
 kept; the fractions are rounded together. Within a group, a running document meets the next one and words move between
 the two, in a random direction chosen so that each keeps its expectation, until one of them has a whole number of
 copies; that one is settled and the other runs on. Each group leaves one residual, and the residuals are grouped and
-rounded again, level by level, down to one per source, which a last draw settles. So a source's words miss its target
-by less than its largest document. All draws are hashes of ids and a seed, so reruns agree.
+rounded again, level by level, down to one per source, which goes to the nearer side. So a source's words miss its
+target by half its largest document at most. All draws are hashes of ids and a seed, so reruns agree.
 
 Defined results: a null text has no words; documents without words take nothing; a null source is a source of its own
 that comes last; repeated rows (same id, source and size) are settled together and each get the same copies; an empty
@@ -100,7 +100,7 @@ def round_copies(units: DataFrame, seed: int = 0) -> DataFrame:
         out.append(left.where(~open_).select("source", "doc_id", "size", (F.col("p") >= 1).alias("up")))
         rest = left.where(open_)
         if groups == 1:
-            out.append(rest.select("source", "doc_id", "size", (uniform(F.col("doc_id"), F.col("size"), F.lit(~seed)) < F.col("p")).alias("up")))
+            out.append(rest.select("source", "doc_id", "size", (F.col("p") >= 0.5).alias("up")))
             return reduce(DataFrame.unionByName, out)
         groups = -(-groups // FAN)
 
@@ -110,7 +110,7 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of docs."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mixing-sizes")
+    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mixing-sizes", narrow=True)
     targets = materialize(source_targets(sizes, weights, share, most), "mixing-targets").withColumnRenamed("source", "of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     each = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("ratio", F.when(ratio > most - 1e-12, F.lit(float(most))).otherwise(ratio))

@@ -51,7 +51,7 @@ def test_targets_and_copies(spark, monkeypatch):
         assert 0 <= x["copies"] <= 2
         taken[x["source"]] += x["copies"] * x["size"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 3 * max(largest[s], 1), (s, taken[s], want[s])
+        assert abs(taken[s] - want[s]) <= 0.5 * max(largest[s], 1) * (3 if s == data[5][2] else 1) + 1e-6, (s, taken[s], want[s])  # repeated rows settle as one
     assert len({x["copies"] for x in got if x["doc_id"] == data[5][0]}) == 1
     again = [x.asDict() for x in mixing.mix(spark.createDataFrame(data, SCHEMA).repartition(7)).collect()]
     key = lambda x: str((x["doc_id"], x["source"], x["size"], x["copies"]))
