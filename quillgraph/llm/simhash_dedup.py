@@ -159,7 +159,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, count: int | None = None)
 
 def _groups(docs: DataFrame, radius: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, fp) of docs, and (fp, group, component_id) of their distinct fingerprints."""
-    each = materialize(fingerprints(docs, words, id_col, text_col), "simhash-docs")
+    each = materialize(fingerprints(docs, words, id_col, text_col), "simhash-docs", narrow=True)
     fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     nodes = connected_components(fingerprint_links(fps, radius), "simhash")
     named = nodes.join(fps, nodes["node"] == fps["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
@@ -178,8 +178,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 7, words: int = 5, id_co
     """One row, all columns, of each group of near-duplicates: that with the smallest id (null last), then text hash."""
     each, of = _groups(docs, radius, words, id_col, text_col)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
-    stay = each.join(of, "fp").groupBy("group").agg(best.alias("b")).select("b.d", "b.h").distinct()
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_d", F.col(id_col).cast("long"))
-    rows = rows.join(stay, rows["_d"].eqNullSafe(stay["d"]) & (rows["_h"] == stay["h"]), "left_semi")
+    stay = each.join(of, "fp").groupBy("group").agg(best.alias("b"))
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    stay = stay.select(key(F.col("b.d")).alias("_d"), F.col("b.h").alias("_h")).distinct()
+    rows = docs.withColumns({"_d": key(F.col(id_col).cast("long")), "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    # join and window share one partitioning, so the texts are shuffled once
     once = Window.partitionBy("_d", "_h").orderBy(*[F.col(c) for c in docs.columns if c != text_col])
-    return rows.withColumn("_n", F.row_number().over(once)).where(F.col("_n") == 1).select(*docs.columns)
+    return rows.join(stay, ["_d", "_h"], "left_semi").withColumn("_n", F.row_number().over(once)).where(F.col("_n") == 1).select(*docs.columns)
