@@ -48,7 +48,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken = materialize(taken.withColumnsRenamed({"doc_id": "d", "source": "s"}), "pipeline-mix")
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("words") == F.col("size"))
-    rows = docs.withColumn("words", size).join(taken, same)
+    # merged at every size: texts are shuffled once, whether or not the decisions are few enough to broadcast
+    rows = docs.withColumn("words", size).join(taken.hint("merge"), same)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
