@@ -42,6 +42,13 @@ def margin_loss(positive: Column, negative: Column, margin: float = 1.0) -> Colu
     return F.avg(F.greatest(F.lit(0.0), margin + positive - negative))
 
 
+def initial(key: Column, dim: int, seed: int = 0, size: int | None = None) -> Column:
+    """VEC06: a Xavier-uniform start vector of length dim, drawn by md5 of the key, so that every run agrees."""
+    bound = (6.0 / ((size or dim) + dim)) ** 0.5
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), k.cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (draw(k) * 2 - 1) * bound)
+
+
 def nearest(vectors: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """VEC02/VEC03: (query_id, id, score, rank): each vector's k nearest others, exact.
 

@@ -182,6 +182,13 @@ def same_split(t: Tables) -> DataFrame:
     return G.same_split(t.citations.select("source", "target"), G.split(t.ordered.select("id"))).select("source", "target", "split")
 
 
+@query("spl02_split_sizes", sql("citations", f"WITH s AS ({SPLIT}) SELECT s.split, count(DISTINCT s.id) AS papers, count(c.source) AS citations FROM s LEFT JOIN (SELECT c.source FROM citations c JOIN s a ON a.id = c.source JOIN s b ON b.id = c.target WHERE a.split = b.split) c ON c.source = s.id GROUP BY 1"))
+def split_sizes(t: Tables) -> DataFrame:
+    s = G.split(t.ordered.select("id"))
+    kept = G.same_split(t.citations.select("source", "target"), s).groupBy("split").agg(F.count(F.lit(1)).alias("citations"))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("papers")).join(kept, "split", "left").select("split", "papers", F.coalesce("citations", F.lit(0)).alias("citations"))
+
+
 @query("src17_union_first_wins", "SELECT 'c' || conv_id AS id, min(turn) AS seq FROM conversations GROUP BY 1")
 def union_first(t: Tables) -> DataFrame:
     rows = t.conversations.select(F.concat(F.lit("c"), "conv_id").alias("id"), F.col("turn").alias("seq"))

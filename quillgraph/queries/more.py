@@ -153,3 +153,10 @@ def function_stage(t: Tables) -> DataFrame:
 def resolved_triples(t: Tables) -> DataFrame:
     r = t.embeddings.select(F.col("vec_id").cast("int").alias("label"))
     return t.embeddings.select("vec_id", "label").join(r, "label").select("vec_id", "label")
+
+
+@query("vec06_start_vectors", "SELECT p_partkey, round((('0x' || left(md5(p_partkey || ':3:0'), 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) * sqrt(6.0 / 16), 6) AS fourth FROM part")
+def start_vectors(t: Tables) -> DataFrame:
+    from ..functions.vectors import initial
+
+    return t.part.select("p_partkey", F.round(F.get(initial(F.col("p_partkey"), 8), 3), 6).alias("fourth"))

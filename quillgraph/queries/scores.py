@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import similarity as S
 from ..plans import recommend as P
+from ..plans import stages as T
 from ..plans.bindings import Tables, sql
 from . import query
 from .texts import duck_canonical
@@ -96,16 +97,9 @@ FUNCTION = f"{CANONS}, {set_sql('metric', 'es')}, {set_sql('material', 'ms_')},
 
 
 def function_scores(t: Tables) -> DataFrame:
-    p = pairs(t)
-    each = S.type_similarity(p, S.type_profiles(vector_mentions(t)))
-    kinds = each.groupBy("query_id", "paper_id").pivot("entity_type", ["task", "method"]).agg(F.first("similarity"))
-    m = canonical_mentions(t)
-    es, as_ = S.shared_entities(p, m, "metric").withColumnRenamed("overlap", "es"), S.shared_entities(p, m, "material").withColumnRenamed("overlap", "as_")
-    q, c = t.graph_papers.select(F.col("id").alias("query_id"), "function", F.col("venue").alias("qv")), t.graph_papers.select(F.col("id").alias("paper_id"), F.col("venue").alias("cv"))
-    rows = p.join(kinds, ["query_id", "paper_id"], "left").join(es, ["query_id", "paper_id"]).join(as_, ["query_id", "paper_id"]).join(q, "query_id").join(c, "paper_id")
-    ts, ms = F.coalesce("task", F.lit(0.0)), F.coalesce("method", F.lit(0.0))
-    score = S.function_score(F.col("function"), ts, ms, F.col("es"), F.col("as_"), F.lit(0.0), X.same_venue(F.col("qv"), F.col("cv")))
-    return rows.select("query_id", "paper_id", "function", score.alias("s_function"))
+    f = t.graph_papers.select(F.col("id").alias("query_id"), "function")
+    scores = T.function_scores(pairs(t), S.type_profiles(vector_mentions(t)), canonical_mentions(t), t.graph_papers, f)
+    return scores.join(f, "query_id").select("query_id", "paper_id", "function", "s_function")
 
 
 @query("fun05_function_scores", sql("citations contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, function, round(s_function, 6) + 0.0::DOUBLE AS s_function FROM ff"))
