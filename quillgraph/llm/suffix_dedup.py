@@ -13,6 +13,10 @@ sampled first without losing any repeat, and the ranks are hashes that agree acr
    once more by rank, now with the bytes around them, and ranks each of their windows by the pair of what lies before
    and behind the anchor; a window is covered if an earlier document has its rank.
 
+Before anything is shuffled, anchors are combined within each slice of documents: those whose context an earlier
+document of the slice has are settled, and are dealt out evenly. So a rank that very many documents share reaches its
+task about once a slice and context.
+
 An anchor's rank is 64 bits and a context's or window's 128. Positions with a rank of their own leave early, so what is
 sorted shrinks from round to round.
 
@@ -37,6 +41,8 @@ LENGTH, FIRST = 50, 18
 SIDE = LENGTH - FIRST  # bytes of an anchor's context on either side
 HALF = SIDE // 2
 SEGMENT = 1 << 20  # positions hashed at once
+SLICE = 1024  # documents whose anchors are combined before the shuffle
+SETTLED = 2  # in place of the 16 bits before an anchor, which are odd or 0
 LAST = (1 << 63) - 1  # what a null id counts as
 U = np.uint64
 
@@ -125,6 +131,8 @@ def _run_minima(keys: list[np.ndarray], values: np.ndarray) -> np.ndarray:
 
 def _judge(rank: np.ndarray, side: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose context has an earlier document, and rows that need their windows ranked."""
+    if not len(rank):
+        return np.zeros(0, int), np.zeros(0, int)
     order = np.argsort(rank, kind="stable")
     r = rank[order]
     new = np.r_[True, r[1:] != r[:-1]]
@@ -150,18 +158,27 @@ ROW = "rank long, side long, place long, doc long, text_hash long"
 SPOT = "doc long, text_hash long, pos int, covered boolean"
 
 
+def _combined(rank: np.ndarray, side: np.ndarray, place: np.ndarray, doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rank, side and place of a slice's anchors; settled ones get a rank that only deals them out."""
+    if not len(rank):
+        return rank, side, place
+    gone = doc > _run_minima([side, rank], doc)
+    pos = place & U(0xFFFFFFFF)
+    return np.where(gone, (th.view(U) ^ pos) * U(0x9E3779B97F4A7C15), rank), np.where(gone, U(0), side), np.where(gone, U(SETTLED << 48) | pos, place)
+
+
 def anchors(rows: DataFrame) -> DataFrame:
-    """Anchors of all rows (doc, text_hash, text)."""
+    """Anchors of all rows (doc, text_hash, text), combined by slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                s = b.slice(lo, 128)
-                found = [_anchor_rows(t.encode("utf-8", "surrogatepass")) for t in s.column(2).to_pylist()]
+            for lo in range(0, b.num_rows, SLICE):
+                s = b.slice(lo, SLICE)
+                found = [_anchor_rows(t.as_py().encode("utf-8", "surrogatepass")) for t in s.column(2)]
                 size = [len(f[0]) for f in found]
-                cols = [pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in range(3)]
-                ids = [pa.array(np.repeat(s.column(k).to_numpy(zero_copy_only=False), size)) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*cols, *ids], ["rank", "side", "place", "doc", "text_hash"])
+                doc, th = (np.repeat(s.column(k).to_numpy(zero_copy_only=False), size) for k in range(2))
+                cols = _combined(*(np.concatenate([f[k] for f in found]) for k in range(3)), doc, th)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols), pa.array(doc), pa.array(th)], ["rank", "side", "place", "doc", "text_hash"])
 
     return rows.select("doc", "text_hash", "text").mapInArrow(run, ROW)
 
@@ -176,7 +193,10 @@ def shared_anchors(found: DataFrame, parts: int) -> DataFrame:
         t = pa.Table.from_batches(rows)
         rank, side, place = (t.column(c).to_numpy().view(U) for c in ("rank", "side", "place"))
         doc, th = t.column("doc").to_numpy(), t.column("text_hash").to_numpy()
-        covered, open_ = _judge(rank, side, place, doc)
+        settled = place >> U(48) == U(SETTLED)
+        asked = np.flatnonzero(~settled)
+        covered, open_ = _judge(rank[asked], side[asked], place[asked], doc[asked])
+        covered, open_ = np.concatenate([np.flatnonzero(settled), asked[covered]]), asked[open_]
         at = np.concatenate([covered, open_])
         pos = (place[at] & U(0xFFFFFFFF)).astype(np.int32)
         yes = np.r_[np.ones(len(covered), bool), np.zeros(len(open_), bool)]

@@ -44,15 +44,24 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("segment", [X.SEGMENT, 70])
-def test_against_brute_force(spark, monkeypatch, segment):
-    monkeypatch.setattr(X, "SEGMENT", segment)
+@pytest.mark.parametrize("slice_", [X.SLICE, 1, 7])
+def test_against_brute_force(spark, monkeypatch, slice_):
+    monkeypatch.setattr(X, "SLICE", slice_)
     data = rows()
     docs = spark.createDataFrame([(*x, 1, "clash", 2) for x in data], SCHEMA).repartition(3)
     got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in X.remove_repeats(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(data)))
 
 
+def test_segments_give_the_same_anchors(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choices("ab ", k=n)).encode() for n in (0, 49, 50, 51, 300, 1000)]
+    whole = [set(zip(*(x.tolist() for x in X._anchor_rows(t)), strict=True)) for t in texts]
+    for segment in (1, 70, 128):
+        monkeypatch.setattr(X, "SEGMENT", segment)
+        assert [set(zip(*(x.tolist() for x in X._anchor_rows(t)), strict=True)) for t in texts] == whole
+
+
 def test_long_text_and_empty(spark):
     r = random.Random(2)
     long = "".join(r.choices("abcdefgh ", k=3_000_000))
