@@ -275,7 +275,7 @@ def later_windows(around: DataFrame, parts: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(doc, text_hash, first, last): spans of bytes in rows (doc, text_hash, text) to remove, last exclusive."""
-    parts = shuffle_partitions(rows.sparkSession)
+    parts = 2 * shuffle_partitions(rows.sparkSession)  # a task holds its anchors as arrays
     spots = materialize(shared_anchors(anchors(rows), parts), "suffix-anchors")
     around = materialize(contexts(rows, spots.where(~F.col("covered"))), "suffix-contexts")
     later = materialize(later_windows(around, parts), "suffix-windows")
