@@ -19,8 +19,8 @@ from quillgraph.llm import bpe, mixing, quality, secrets, simhash_dedup
 from quillgraph.llm.common import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Five-word shingles; 7 of 64 bits is what shingle sets with a cosine of 0.94 differ by on average
-WORDS, RADIUS = 5, 7
+#: Near-duplicates: Jaccard similarity of the whole sets of five-word shingles
+WORDS, SIMILARITY = 5, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return simhash_dedup.drop_near_duplicates(docs, radius=RADIUS, words=WORDS).select(*COLUMNS)
+    return simhash_dedup.drop_near_duplicates(docs, least=SIMILARITY, words=WORDS).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
