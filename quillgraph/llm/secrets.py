@@ -4,7 +4,10 @@ Patterns give the base spans: assignments to telling names, access keys and long
 token of TOKEN characters or more is a candidate. Its encoding is inferred (digits, hex, letters, base 32, 36, 62 or
 64), and it must look random in that alphabet: chi-squared of its symbol counts, Wald-Wolfowitz runs above and below
 the alphabet's middle, and lag-1 serial correlation. For those that do, the evidence against ordinary text is how often
-the character class (lower, upper, digit, other) changes, by a Chernoff bound; it grows with the length. Within bands
+the character class (lower, upper, digit, other) changes, by a Chernoff bound; it grows with the length. A token of
+lower-case or of upper-case letters alone has no such changes: its evidence is the likelihood ratio of even letters to
+the letter pairs of the corpus's own words (Markov's inequality bounds p by its inverse). Digits alone are hex digits
+and found by that pattern. Within bands
 of length, Benjamini-Hochberg over all candidates of the corpus sets the evidence that a token needs, so that at most
 `rate` of the tokens found are expected to be ordinary. It works on counts of candidates by band and rounded evidence,
 at most BANDS x STEPS rows whatever the corpus.
@@ -16,6 +19,8 @@ columns are ignored by `scan` and kept by `redact`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,7 @@ BAND_EDGES = (32, 48, 96)  # lengths at which a new band begins
 STEP, STEPS = 0.25, 400  # evidence (-ln p) is counted in steps of so much, up to so many
 CHANGE = 0.15  # how often an ordinary token changes its character class, at most
 Z = 3.29  # a test rejects randomness beyond so many deviations
+PRIOR = 4  # counts added to each pair of letters, so that few words give little evidence
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -76,8 +82,26 @@ def _encoding(token: Column) -> Column:
     return found
 
 
-def _evidence(t: Column) -> Column:
+def letter_pairs(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """ln of how much likelier each second letter is at random than after the first in the corpus's distinct words.
+
+    Words of fewer than TOKEN letters a-z count, in either case; they are no candidates themselves.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([A-Za-z0-9+/_-]+)"), F.lit(1))).alias("w"))
+    words = words.where((F.length("w") < TOKEN) & F.col("w").rlike("^[A-Za-z]{2,}$")).select(F.lower("w").alias("w")).distinct()
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair"))
+    counts = {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}  # at most 26 x 26 rows
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    out = []
+    for a in letters:
+        total = sum(counts.get(a + b, 0) + PRIOR for b in letters)
+        out += [math.log(total / (26 * (counts.get(a + b, 0) + PRIOR))) for b in letters]
+    return out
+
+
+def _evidence(t: Column, pairs: list[float]) -> Column:
     """-ln p that t.token, written in the alphabet t.abc, is ordinary text, if it passes for random; else 0."""
+    letters, ratio = F.length(t["abc"]) == 26, F.array(*[F.lit(x) for x in pairs])
     n, k = t["n"], F.least(F.length(t["abc"]).cast("double"), F.lit(64.0))
     # squares of the symbols' counts, from their runs in sorted order
     squares = F.aggregate(
@@ -92,7 +116,7 @@ def _evidence(t: Column) -> Column:
     def kind(c: Column) -> Column:
         return F.when((c >= "a") & (c <= "z"), 0).when((c >= "A") & (c <= "Z"), 1).when((c >= "0") & (c <= "9"), 2).otherwise(3)
 
-    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("i", "v", "sum", "squares", "cross", "highs", "runs", "changes")], F.lit(-1).alias("kind"), F.lit(0.0).alias("first"))
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("i", "v", "sum", "squares", "cross", "highs", "runs", "changes", "gain")], F.lit(-1).alias("kind"), F.lit(0.0).alias("first"))
 
     def step(a: Column, c: Column) -> Column:
         v, what = F.instr(t["abc"], c).cast("double") - 1, kind(c)
@@ -106,6 +130,7 @@ def _evidence(t: Column) -> Column:
             (a["highs"] + high.cast("double")).alias("highs"),
             (a["runs"] + F.when((a["i"] == 0) | (high != was), 1.0).otherwise(0.0)).alias("runs"),
             (a["changes"] + F.when((a["i"] > 0) & (a["kind"] != what), 1.0).otherwise(0.0)).alias("changes"),
+            (a["gain"] + F.when(letters & (a["i"] > 0), F.get(ratio, (a["v"] * 26 + v).cast("int"))).otherwise(0.0)).alias("gain"),
             what.alias("kind"),
             F.when(a["i"] == 0, v).otherwise(a["first"]).alias("first"),
         )
@@ -120,14 +145,14 @@ def _evidence(t: Column) -> Column:
         share = F.least(a["changes"] / (n - 1), F.lit(1 - 1e-9))
         bound = (n - 1) * (share * F.log(share / CHANGE) + (1 - share) * F.log((1 - share) / (1 - CHANGE)))
         z_chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        random = (share > CHANGE) & (F.abs(z_runs) <= Z) & (F.abs(z_serial) <= Z) & (z_chi <= Z)
-        return F.when(random, bound).otherwise(0.0)
+        random = (F.abs(z_runs) <= Z) & (F.abs(z_serial) <= Z) & (z_chi <= Z)
+        return F.when(random & letters, F.greatest(a["gain"], F.lit(0.0))).when(random & (share > CHANGE), bound).otherwise(0.0)
 
     return F.aggregate(t["chars"], zero, step, judge)
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with column `found`: struct<assign, access, hex: spans, tokens: array<struct<start, end, band, evidence>>>."""
+def find(docs: DataFrame, pairs: list[float], text_col: str = "text") -> DataFrame:
+    """docs with column `found`, by the letter_pairs of the corpus: struct<assign, access, hex: spans, tokens: array<struct<start, end, band, evidence>>>."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spots = _placed(text, rf"([A-Za-z0-9+/_-]{{{TOKEN},}})", TOKEN, 2)
 
@@ -142,7 +167,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["band"].alias("band"), chars.alias("chars"), n.alias("n"), _encoding(t["token"]).alias("abc"))
 
     def judged(t: Column) -> Column:
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["band"].alias("band"), _evidence(t).alias("evidence"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["band"].alias("band"), _evidence(t, pairs).alias("evidence"))
 
     found = F.struct(
         _placed(text, ASSIGN, LEAST[0], 3).alias("assign"),
@@ -190,7 +215,7 @@ def _listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for every row of docs."""
-    found = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "found")
+    found = find(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), letter_pairs(docs, text_col)).select("doc_id", "found")
     found = materialize(found, "secrets-found")
     spans = found.withColumn("all", all_spans(F.col("found"), thresholds(found, rate)))
     count = lambda r: F.size(F.filter("all", lambda s: s["kind"] == r)).cast("long")
@@ -204,7 +229,8 @@ def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col:
 
 def redact(docs: DataFrame, rate: float = 0.05, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """docs, all columns, with each secret in the text replaced by mask; overlapping spans by one."""
-    found = find(docs.select(text_col), text_col).select("found")
+    pairs = letter_pairs(docs, text_col)
+    found = find(docs.select(text_col), pairs, text_col).select("found")
     least = thresholds(materialize(found.where(F.size("found.tokens") > 0), "secrets-tokens"), rate)
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -215,5 +241,5 @@ def redact(docs: DataFrame, rate: float = 0.05, mask: str = "[SECRET]", text_col
 
     spans = F.col("_spans")
     clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    marked = find(docs, text_col).withColumn("_spans", all_spans(F.col("found"), least))
+    marked = find(docs, pairs, text_col).withColumn("_spans", all_spans(F.col("found"), least))
     return marked.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
