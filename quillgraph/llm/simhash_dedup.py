@@ -11,7 +11,7 @@ A null id is never the name of a component unless nothing else is in it. Columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, expand, forest_edges, local_components, materialize, shuffle_partitions
+from .common import block_links, connected_components, materialize, shuffle_partitions
 
-BLOCK = 4096  # rows of one key that a block may hold before the key is split into block pairs
+BLOCK = 4096  # rows of one key that a block may hold before the key is split
 CHUNK = 2_000_000  # pairs compared at once
+SET_BLOCK, SET_CHUNK = 512, 256  # the same for whole sets of shingles
+SETS = 16 << 20  # bytes of sets that a task holds, about
 #: Bits of sets with Jaccard similarity 0.8 differ with p = acos(2 * 0.8 / 1.8) / pi = 0.1515: 1 - (1 - (1 - p)^16)^64
 #: = 0.992 of such pairs agree in a table, and 0.9997 of them differ in at most 34 of 128 bits
 TABLES, NEAR = 64, 34
@@ -88,76 +90,31 @@ def _probes(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(keys), np.concatenate(fps), np.concatenate(probe)
 
 
-def _links(key: np.ndarray, block: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of links between the fingerprints of each (key, block)."""
-    order = np.lexsort((probe, block, key))
-    key, block, fp, probe = key[order], block[order], fp[order], probe[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)  # of each group; its table entries come first
-    table_end = first + np.bincount(group, weights=~probe, minlength=len(first)).astype(int)
-    here = np.arange(len(fp))
-    start = np.where(probe, first[group], here + 1)
-    count = table_end[group] - start
-    names, node = np.unique(fp, return_inverse=True)
-    lab = np.arange(len(names))
-    for a, b in expand(here[count > 0], start[count > 0], count[count > 0], CHUNK):
-        hit = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        lab = local_components(len(names), node[a[hit]], node[b[hit]], lab)
-    return forest_edges(names, lab)
-
-
 def fingerprint_links(fps: DataFrame, radius: int = 4, count: int | None = None) -> DataFrame:
     """(src, dst: long): links that connect all fingerprints of fps (fp: long, distinct) within the radius.
 
-    One task holds rows of many keys; a key with more than BLOCK table entries is split into blocks, and each pair of
-    blocks is dealt out on its own, so that no bucket meets whole in one task. A task returns a forest of the links it
-    verified, never all pairs of a bucket.
+    One task holds rows of many keys; keys with more than BLOCK rows are split and connected as block_links says. A task
+    returns stars of the links it verified, never all pairs of a bucket.
     """
     if any(r > 1 for *_, r in segments(radius)):
         raise ValueError("a segment's Hamming ball has radius 1 at most")
-    spark = fps.sparkSession
 
     def enumerate_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for lo in range(0, len(whole), 50_000):
                 k, f, p = _probes(whole[lo : lo + 50_000], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p)], ["key", "fp", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p)], ["key", "node", "probe"])
 
-    balls = fps.select("fp").mapInArrow(enumerate_balls, "key long, fp long, probe boolean")
+    def near(t: dict[str, np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        fp = t["node"].view(np.uint64)  # bits of signed numbers count otherwise
+        return lambda a, b: np.bitwise_count(fp[a] ^ fp[b]) <= radius
 
-    def enumerate_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, _, p = _probes(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(k[~p].view(np.int64))], ["key"])
-
-    hot = fps.select("fp").mapInArrow(enumerate_tables, "key long").groupBy("key").count().where(F.col("count") > BLOCK)
-    # a hot value's probes land on the keys one bit away
-    around = F.array(F.col("key"), *[F.col("key").bitwiseXOR(F.lit(1 << b)) for b in range(max(w for _, w, _ in segments(radius)))])
-    hot = materialize(hot.select(F.explode(around).alias("key"), "count").groupBy("key").agg(F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks")), "simhash-hot")
-    if hot.isEmpty():
-        dealt = balls.withColumn("block", F.lit(0))
-    else:
-        blocks = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        dealt = balls.join(hot, "key", "left").select("key", "fp", "probe", blocks.alias("blocks"), own.alias("own"), other.alias("other"))
-        dealt = dealt.select("key", "fp", "probe", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"))
+    balls = fps.select("fp").mapInArrow(enumerate_balls, "key long, node long, probe boolean")
     per_fp = sum(1 + w / 2 * (r == 1) for _, w, r in segments(radius))
     count = fps.count() if count is None else count
-    parts = max(shuffle_partitions(spark), int(count * per_fp / 400_000) + 1)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        k, f, p, b = (t.column(c).to_numpy() for c in ("key", "fp", "probe", "block"))
-        u, v = _links(k, b, f.view(np.uint64), p.astype(bool), radius)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["src", "dst"])
-
-    return dealt.repartition(parts, "key", "block").mapInArrow(search, "src long, dst long")
+    parts = max(shuffle_partitions(fps.sparkSession), int(count * per_fp / 400_000) + 1)
+    return block_links(balls, near, BLOCK, parts, CHUNK, "simhash")
 
 
 def _groups(docs: DataFrame, radius: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -196,46 +153,29 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > len(hashes))
 
 
-def similar_pairs_forest(sets: list[np.ndarray], least: float) -> np.ndarray:
-    """Component of each of the sets over all pairs whose Jaccard similarity is least or more.
+def similar(t: dict[str, np.ndarray], least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of rows have a Jaccard similarity of least or more, of their whole sets `hashes`; a and b hold 128
+    SimHash bits, which pairs have to be near in first."""
+    sets = [np.frombuffer(h, np.uint64) for h in t["hashes"]]
+    size, x, y = np.array([len(s) for s in sets]), t["a"].view(np.uint64), t["b"].view(np.uint64)
 
-    Exact: of such a pair, the shingles that are rarest here, 1 - least of each set and one more, have one in common.
-    Pairs that are connected already aren't compared.
-    """
-    lab, size = np.arange(len(sets)), np.array([len(s) for s in sets])
-    owner = np.repeat(lab, size)
-    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((token, count[token], owner))
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    head = order[at < (size - np.ceil(least * size - 1e-9) + 1)[owner]]
-    head = head[count[token[head]] > 1]
-    head = head[np.argsort(token[head], kind="stable")]
-    failed: set[tuple[int, int]] = set()
-    for here in np.split(owner[head], np.flatnonzero(np.diff(token[head])) + 1):
-        labels, times = np.unique(lab[here], return_counts=True)
-        if len(labels) < 2:
-            continue
-        most = labels[times.argmax()]
-        for i in here[lab[here] != most]:
-            for j in here[lab[here] != lab[i]]:
-                pair = (min(i, j), max(i, j))
-                low, high = sorted((size[i], size[j]))
-                if lab[i] == lab[j] or low < least * high - 1e-9 or pair in failed:
-                    continue
-                both = low + high - len(np.union1d(sets[i], sets[j]))
-                if both >= least * (low + high - both) - 1e-9:
-                    lab[lab == max(lab[i], lab[j])] = min(lab[i], lab[j])
-                else:
-                    failed.add(pair)
-    return lab
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= NEAR
+        hit &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+        for k in np.flatnonzero(hit):
+            u, v = sets[i[k]], sets[j[k]]
+            both = len(np.intersect1d(u, v, assume_unique=True)) if i[k] != j[k] else len(u)
+            hit[k] = both >= least * (len(u) + len(v) - both) - 1e-9
+        return hit
+
+    return near
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """(src, dst: long): links that connect nodes (node: long, bits: binary) which agree in a table and are near."""
-    spark = nodes.sparkSession
 
     def enumerate_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "a", "b"]
+        names = ["key", "node", "probe", "a", "b"]
         mark = np.arange(TABLES, dtype=np.int64) << 16
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
@@ -243,41 +183,17 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
                 bits = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)[lo : lo + 10_000]), np.uint8).reshape(-1, TABLES * 2 + 16)
                 key = np.ascontiguousarray(bits[:, : TABLES * 2]).view(np.uint16).astype(np.int64) + mark
                 check = np.ascontiguousarray(bits[:, TABLES * 2 :]).view(np.int64)
-                rows = [key.ravel(), *(np.repeat(c, TABLES) for c in (node[lo : lo + 10_000], check[:, 0], check[:, 1]))]
+                each, a, b = (np.repeat(c, TABLES) for c in (node[lo : lo + 10_000], check[:, 0], check[:, 1]))
+                rows = [key.ravel(), each, np.zeros(len(each), bool), a, b]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
 
-    entries = nodes.select("node", "bits").mapInArrow(enumerate_tables, "key long, node long, a long, b long")
-    hot = entries.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    hot = materialize(hot, "simhash-hot-tables")
-    if hot.isEmpty():
-        dealt = entries.withColumn("block", F.lit(0))
-    else:
-        blocks = F.coalesce("blocks", F.lit(1))
-        own, other = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-        dealt = entries.join(F.broadcast(hot), "key", "left").select("key", "node", "a", "b", blocks.alias("blocks"), own.alias("own"), other.alias("other"))
-        dealt = dealt.select("key", "node", "a", "b", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"))
-    parts = max(shuffle_partitions(spark), int(nodes.count() * TABLES / 400_000) + 1)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        key, block, node, a, b = (t.column(c).to_numpy() for c in ("key", "block", "node", "a", "b"))
-        order = np.lexsort((block, key))
-        key, block, node, a, b = (x[order] for x in (key, block, node, a.view(np.uint64), b.view(np.uint64)))  # bits of signed numbers count otherwise
-        new = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]
-        end = np.r_[np.flatnonzero(new)[1:], len(key)][np.cumsum(new) - 1]
-        here = np.arange(len(key))
-        names, at = np.unique(node, return_inverse=True)
-        lab = np.arange(len(names))
-        for i, j in expand(here, here + 1, end - here - 1, CHUNK):
-            hit = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= NEAR
-            lab = local_components(len(names), at[i[hit]], at[j[hit]], lab)
-        u, v = forest_edges(names, lab)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
-
-    return dealt.repartition(parts, "key", "block").mapInArrow(search, "src long, dst long")
+    def near(t: dict[str, np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        x, y = t["a"].view(np.uint64), t["b"].view(np.uint64)  # bits of signed numbers count otherwise
+        return lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= NEAR
+
+    entries = nodes.select("node", "bits").mapInArrow(enumerate_tables, "key long, node long, probe boolean, a long, b long")
+    parts = max(shuffle_partitions(nodes.sparkSession), int(nodes.count() * TABLES / 400_000) + 1)
+    return block_links(entries, near, BLOCK, parts, CHUNK, "simhash-coarse")
 
 
 def _similar(docs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -298,41 +214,30 @@ def _similar(docs: DataFrame, least: float, words: int, id_col: str, text_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     each = materialize(rows.mapInArrow(sign, "doc_id long, text_hash long, fp long, bits binary"), "simhash-signed", narrow=True)
-    nodes = materialize(each.groupBy(F.col("fp").alias("node")).agg(F.any_value("bits").alias("bits"), F.min("text_hash").alias("text_hash")), "simhash-nodes")
+    pick = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))).alias("pick")
+    nodes = materialize(each.groupBy(F.col("fp").alias("node")).agg(F.any_value("bits").alias("bits"), pick), "simhash-nodes")
     coarse = connected_components(candidate_links(nodes), "simhash-coarse")
-    # one text of each set that has a candidate goes to the task of its candidates
-    wanted = nodes.select("node", "text_hash").join(coarse, "node").select("text_hash", "component")
-    texts = rows.select("text_hash", "text").join(wanted, "text_hash").select("component", "text")
+    # one text of each set that has a candidate is cut into its shingles once more
+    wanted = nodes.join(coarse, "node").select(F.col("pick.d").alias("d"), F.col("pick.h").alias("h"), "component", "bits")
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]) & (rows["text_hash"] == wanted["h"])).select("component", "text", "bits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["key", "node", "probe", "a", "b", "hashes"]
         for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["component", "fp", "hashes"])
-
-    sets = texts.mapInArrow(cut, "component long, fp long, hashes binary").repartition(shuffle_partitions(docs.sparkSession), "component").sortWithinPartitions("component", "fp")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fps, held = None, [], []
-
-        def groups() -> pa.RecordBatch:
-            ids = np.array(fps, np.int64)
-            lab = similar_pairs_forest([np.frombuffer(h, np.uint64) for h in held], least)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[lab])], ["fp", "group"])
-
-        for b in batches:
-            for c, f, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if fps and c != now:
-                    yield groups()
-                    fps, held = [], []
-                if not fps or f != fps[-1]:  # rows with the same set follow each other
-                    fps.append(f)
-                    held.append(h.as_py())
-                now = c
-        if fps:
-            yield groups()
-
-    verified = sets.mapInArrow(verify, "fp long, group long")
-    of = nodes.select(F.col("node").alias("fp")).join(verified, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"))
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                sets = [shingles(t.as_py(), words) for t in part.column(1)]
+                check = np.array([np.frombuffer(x.as_py()[-16:], np.int64) for x in part.column(2)]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([name(s) for s in sets], pa.int64()), pa.array(np.zeros(len(sets), bool)), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())], columns
+                )
+
+    sets = materialize(texts.mapInArrow(cut, "key long, node long, probe boolean, a long, b long, hashes binary"), "simhash-sets")
+    held = sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), int(held / SETS) + 1)
+    links = block_links(sets, lambda t: similar(t, least), SET_BLOCK, parts, SET_CHUNK, "simhash-sets")
+    groups = connected_components(links, "simhash-groups").select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    of = nodes.select(F.col("node").alias("fp")).join(groups, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"))
     return each.drop("bits"), materialize(of, "simhash-groups")
 
 

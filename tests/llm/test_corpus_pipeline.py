@@ -45,11 +45,12 @@ def test_every_stage_against_a_plain_version(spark, tables):
             ids = {x.doc_id for x in after}
             assert sum((d in ids) == bool(y) for d, y in quality.items()) > 0.97 * len(quality)
         elif name == "simhash near-dedup":
-            fps = [simhash_dedup.fingerprint(x.text, 5) for x in before]
+            sets = [set(simhash_dedup.shingles(x.text, 5).tolist()) for x in before]
             group = list(range(len(before)))
             for i in range(len(before)):
                 for j in range(i):
-                    if (fps[i] ^ fps[j]).bit_count() <= 7 and group[i] != group[j]:
+                    both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+                    if both >= 0.8 * either and group[i] != group[j]:
                         a, b = sorted((group[i], group[j]))
                         group = [a if g == b else g for g in group]
             low = {}

@@ -90,5 +90,11 @@ def test_hot_bucket_is_split(spark, monkeypatch):
         }
 
 
+def test_null_ids(spark):
+    rows = [(None, "a b c d e", 1, "x", 2), (7, "a b c d e", 1, "x", 2), (None, "other words stand here alone", 1, "x", 2)]
+    got = sorted(((x.doc_id, x.component_id) for x in S.near_duplicate_components(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == [(7, 7), (None, 7), (None, None)]
+
+
 def test_empty(spark):
     assert S.near_duplicate_components(spark.createDataFrame([], DOCS)).collect() == []

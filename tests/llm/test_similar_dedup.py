@@ -3,6 +3,7 @@
 import random
 
 from quillgraph.llm import simhash_dedup as S
+from quillgraph.llm.common import contracted
 
 DOCS = "doc_id long, text string"
 
@@ -53,19 +54,43 @@ def test_equal_simhash_bits_are_not_enough(spark):
     assert kept(spark, [(i, one()) for i in range(6)]) == set(range(6))
 
 
-def test_components_of_whole_sets():
+def copies_of(r, base, n, changes):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(changes):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        out.append(w)
+    return out
+
+
+def test_groups_against_brute_force_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 8)
+    monkeypatch.setattr(S, "SET_BLOCK", 4)
     r = random.Random(4)
-    sets = []
-    for _ in range(30):
-        base = r.sample(range(10**6), r.randint(5, 80))
-        for _ in range(r.choice([1, 3, 6])):
-            sets.append({x if r.random() > 0.1 else r.randrange(10**6) for x in base})
+    texts = []
+    for _ in range(25):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(40, 200))]
+        texts += [" ".join(w) for w in copies_of(r, base, r.choice([1, 3, 30]), r.choice([0, 1, 2]))]
+    sets = [shingle_set(t) for t in texts]
     want = list(range(len(sets)))
     for i in range(len(sets)):
         for j in range(i):
-            if jaccard(sets[i], sets[j]) >= 0.8:
+            if want[i] != want[j] and jaccard(sets[i], sets[j]) >= 0.8:
                 a, b = sorted((want[i], want[j]))
                 want = [a if x == b else x for x in want]
-    import numpy as np
-
-    assert S.similar_pairs_forest([np.array(sorted(s), np.uint64) for s in sets], 0.8).tolist() == want
+    stay = kept(spark, list(enumerate(texts)))
+    assert len(stay ^ set(want)) <= 0.02 * len(set(want))
+    assert stay >= set(want)
+
+
+def test_links_grow_with_the_group_not_its_square(spark):
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    edges = []
+    for n in (100, 400):
+        texts = [" ".join(w) for w in copies_of(r, base, n, 2)]
+        rows = [(i, S.signature(S.shingles(t)).tobytes()) for i, t in enumerate(texts)]
+        nodes = spark.createDataFrame(rows, "node long, bits binary")
+        edges.append(contracted(S.candidate_links(nodes), "test").count())
+    assert edges[1] < 5 * edges[0] and edges[1] < 2 * 400
