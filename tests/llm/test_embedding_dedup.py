@@ -55,11 +55,44 @@ def test_more_vectors_take_more_cuts_and_tables_keep_recall():
     y -= (x * y).sum(1, keepdims=True) * x
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.sqrt((y * y).sum(1, keepdims=True))
     for p in plans:
-        meet = (p.keys(x) == p.keys(y)).any(1)
+        meet = ((p.keys(x) == p.keys(y)) & (np.abs((x - y) @ p.lines[:, : p.tables]) <= p.reach)).any(1)
         count = (np.abs((x - y) @ p.lines) <= E.WINDOW * p.sigma).sum(1) >= p.least
         assert (meet & count).mean() > 0.99, p.cuts
 
 
+def test_every_length_is_compared(spark):
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for k, d in enumerate([1, 2, 5, 24, 24, 24, 300]):
+        v = r.normal(size=d) * 10.0 ** (3 * k - 9)
+        near, far = v * 3 + np.linalg.norm(v) * 0.05 * r.normal(size=d) / np.sqrt(d), -v
+        for i, x in enumerate((v, near, v, far)):
+            rows.append((10 * k + i, [float(y) for y in x], 0, "", 0))
+            want[10 * k + i] = (0, 10 * k + i) if i == 3 else (2, 10 * k)
+    rows.append((99, [1e-30] * 24, 0, "", 0))
+    rows.append((100, [1e30] * 24, 0, "", 0))
+    want |= {99: (1, 99), 100: (1, 99)}
+    frame = spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>"))
+    assert {x.vec_id: (x.n_links, x.component_id) for x in E.near_duplicates(frame).collect()} == want
+
+
+def test_dense_group_in_blocks(spark, monkeypatch):
+    # each vector is near most others; what leaves the tasks grows with the group, not with its square
+    monkeypatch.setattr(E, "BLOCK", 32)
+    r = np.random.default_rng(6)
+    base = r.normal(size=24)
+    rows = [(i, [float(np.float32(x)) for x in base + 0.18 * r.normal(size=24)]) for i in range(300)]
+    frame = spark.createDataFrame([(*x, 1, "", 2) for x in rows], SCHEMA)
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in E.near_duplicates(frame).collect())
+    want = brute(rows)
+    assert sum(w[1] for w in want) > 40_000
+    assert sum(g[1] for g in got) >= 0.998 * sum(w[1] for w in want) and all(g[1] <= w[1] and g[2] == w[2] for g, w in zip(got, want, strict=True))
+    _, reps = E.distinct_vectors(frame)
+    found = E.links(reps, 300, 0.95, 0.998)
+    plan = E.plan(300, 24)
+    assert found.count() < 300 * plan.tables * 2 * (300 // 32 + 1)
+
+
 def test_repeated_ids_and_empty(spark):
     rows = [(1, [1.0, 0.0], 0, "", 0), (1, [1.0, 0.0], 0, "", 0), (2, [0.0, 1.0], 0, "", 0), (None, [1.0, 0.01], 0, "", 0)]
     got = sorted(map(str, (tuple(x) for x in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())))
