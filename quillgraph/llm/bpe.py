@@ -1,14 +1,26 @@
 """BPE encoding and decoding by tree concatenation.
 
 A text longer than `leaf` characters is halved until its parts are short; the leaves are encoded in parallel, and the
-encodings are joined up the tree. A join encodes a window around the cut anew and grows it until, on both sides, the
-window's tokens agree with the half's own tokens over AGREE successive tokens; what lies beyond the agreement is kept
-from the halves. Where no window short of both halves agrees, the two halves are encoded as one text.
+encodings are joined up the tree. A join encodes a window around the cut anew, and grows it until both sides agree
+exactly: on either side, the window's tokens and the half's own have a boundary in common beyond which the half's own
+hold. What lies beyond is kept from the halves. Where no window short of both halves agrees, they are encoded as one.
+
+Why an agreement is exact. The pre-tokenizer reads pieces from left to right, a piece is one run of letters, digits,
+other characters or white space, and byte pairs are merged within a piece only.
+
+- At a seam, that is after a letter or digit whose successor is of another class, or between any character and white
+  space after it, every reading of the text ends a piece, whatever surrounds it. So tokens on either side of a seam
+  don't depend on each other, and a seam in the window is an agreement.
+- A window that is one run of one class, without a seam, lies within one piece. A sequence of tokens is the encoding of
+  a piece if each two neighbours are the encoding of their concatenation. If window and half have one token in the same
+  place in common, then the neighbours left of it are a pair of the one encoding and those right of it of the other, so
+  joining the two at that token is exact.
 
 Special tokens' strings in a text become their ids, as the tokenizers library does by default; they are split off
 first, so a cut never falls into one. Letters outside the ranges that every Unicode version classes alike go through
 the tokenizers library itself; the rest through a byte-pair encoder built from the same vocabulary file, which gives
-the same ids several times faster.
+the same ids several times faster. A vocabulary file whose pre-tokenizer, normalizer or merge options differ from the
+byte-level ones is refused.
 
 Defined results: a null text counts as empty; an empty text has no tokens; repeated rows each get their own result; an
 empty table gives an empty result; other columns are ignored.
@@ -23,18 +35,26 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 1 << 17  # characters of a leaf
-AGREE = 8  # successive tokens, of which both encodings are, at which a window and a half agree
-WINDOW = 64  # tokens of the first window on either side of a cut
+LEAF = 4096  # characters of a leaf
+WINDOW = 24  # tokens of the first window on either side of a cut
 
 # Fixed value: the byte-level pre-tokenizer's pattern
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: ASCII, Latin letters, general punctuation and currency signs: classed alike by every Unicode version in use
 PLAIN = re.compile(r"[\u0000-\u007f\u00a1-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5]*\Z")
 
+#: ... and Greek, Cyrillic, kana and the common Han characters: those next to a seam
+STABLE = r"[\u0000-\u007f\u00a1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]"
+SEAM = regex.compile(
+    rf"(?<=(?=\p{{L}}){STABLE})(?=(?!\p{{L}}){STABLE})|(?<=(?=\p{{N}}){STABLE})(?=(?!\p{{N}}){STABLE})|(?<=(?=[^\s\p{{L}}\p{{N}}]){STABLE})(?=(?=[\s\p{{N}}]){STABLE})"
+)
+#: one run of one class, of characters that are classed alike
+RUN = regex.compile(rf"(?:(?=\p{{L}}){STABLE})+|(?:(?=\p{{N}}){STABLE})+|(?:(?=[^\s\p{{L}}\p{{N}}]){STABLE})+|(?:(?=\s){STABLE})+")
+
 
 def byte_symbols() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
@@ -50,6 +70,16 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def check_format(spec: dict) -> None:
+    """Raises ValueError unless the vocabulary file is a byte-level BPE as this module reads it."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wanted = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    bare = not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if spec.get("normalizer") or any(pre.get(k, True) != v for k, v in wanted.items()) or model.get("type") != "BPE" or not plain or not bare:
+        raise ValueError("not a byte-level BPE vocabulary with the standard pre-tokenizer")
+
+
 class Coder:
     """Encoder and decoder for a byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -62,6 +92,7 @@ class Coder:
         self.full.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_format(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         symbols = byte_symbols()
         ranks = {bytes(symbols[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
@@ -94,14 +125,15 @@ class Coder:
         return ids
 
     def _tree(self, text: str) -> list[int]:
-        n = max(1, -(-len(text) // self.leaf))
+        n = 1
+        while len(text) > n * self.leaf:
+            n *= 2  # halves of halves
         cuts = [len(text) * k // n for k in range(n + 1)]
         leaves = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         encode = self._whole if PLAIN.match(text) else lambda t: self.bare.encode(t, add_special_tokens=False).ids
         parts = list(zip(leaves, self.pool.map(encode, leaves), strict=True))
         while len(parts) > 1:
-            joined = [self._join(*parts[k], *parts[k + 1], encode) for k in range(0, len(parts) - 1, 2)]
-            parts = joined + parts[len(joined) * 2 :]
+            parts = [self._join(*parts[k], *parts[k + 1], encode) for k in range(0, len(parts), 2)]
         return parts[0][1]
 
     def _join(self, left: str, a: list[int], right: str, b: list[int], encode: Callable[[str], list[int]]) -> tuple[str, list[int]]:
@@ -116,8 +148,11 @@ class Coder:
                 width += 1
                 continue
             mid = encode(text)
-            i = self._agree(x, mid) if width < len(a) else (0, 0)
-            j = self._agree(y[::-1], mid[::-1]) if width < len(b) else (0, 0)
+            seams, run = self._seams(text), RUN.fullmatch(text) is not None
+            cut, end = len(before), len(before) + len(after)
+            i = self._agree(x, mid, seams, run, cut) if width < len(a) else (0, 0)
+            back = {end - s for s in seams}
+            j = self._agree(y[::-1], mid[::-1], back, run, len(after)) if width < len(b) else (0, 0)
             if i and j and i[1] + j[1] <= len(mid):
                 return whole, [*a[: len(a) - len(x) + i[0]], *mid[i[1] : len(mid) - j[1]], *b[len(y) - j[0] :]]
             width *= 4
@@ -126,20 +161,31 @@ class Coder:
     def _bytes(self, ids: list[int]) -> bytes:
         return self.quick.decode_bytes(ids)
 
-    def _agree(self, own: list[int], mid: list[int]) -> tuple[int, int] | None:
-        """Counts of tokens from the window's outer end after which AGREE of the same tokens in the same place end."""
-        size, i, j, p, q, run = self.size, 0, 0, 0, 0, 0
-        while i < len(own) * 3 // 4 and j < len(mid):
+    @staticmethod
+    def _seams(text: str) -> set[int]:
+        """Byte offsets of the seams of a text."""
+        out, at, last = set(), 0, 0
+        for m in SEAM.finditer(text):
+            at += len(text[last : m.start()].encode("utf-8"))
+            last = m.start()
+            out.add(at)
+        return out
+
+    def _agree(self, own: list[int], mid: list[int], seams: set[int], run: bool, cut: int) -> tuple[int, int] | None:
+        """Counts of tokens from the window's outer end at whose end both encodings have a boundary and agree: at the
+        first seam, or in a run without seams at the end of the first token that both have in the same place."""
+        size, i, j, p, q = self.size, 0, 0, 0, 0
+        while i < len(own) and j < len(mid):
             if p == q:
-                same = own[i] == mid[j]
-                run = run + 1 if same else 0
-                p, q, i, j = p + size[own[i]], q + size[mid[j]], i + 1, j + 1
-                if run == AGREE:
+                if p in seams and p < cut:
                     return i, j
+                if run and own[i] == mid[j] and p + size[own[i]] < cut:
+                    return i + 1, j + 1
+                p, q, i, j = p + size[own[i]], q + size[mid[j]], i + 1, j + 1
             elif p < q:
-                p, i, run = p + size[own[i]], i + 1, 0
+                p, i = p + size[own[i]], i + 1
             else:
-                q, j, run = q + size[mid[j]], j + 1, 0
+                q, j = q + size[mid[j]], j + 1
         return None
 
     def decode(self, ids: list[int]) -> str:
