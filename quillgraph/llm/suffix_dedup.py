@@ -1,9 +1,14 @@
-"""Removal of byte strings that repeat across documents, by distributed prefix doubling on sampled positions.
+"""Removal of byte strings that repeat across documents.
 
-A byte goes if it lies in a string of `LENGTH` = 50 bytes that also starts in a document with a smaller id. Prefix
-doubling ranks positions by their first h bytes and sorts pairs of ranks at growing offsets, until a rank is unique or
-h passes the threshold. Ranking every position of a large corpus would shuffle it many times over, so positions are
-sampled first without losing any repeat, and the ranks are hashes that agree across documents:
+A byte goes if it lies in a string of `LENGTH` = 50 bytes that also starts in a document with a smaller id. Two ways
+find these strings, with the same rows:
+
+`doubled_spans` is distributed prefix doubling: Spark sorts all positions by the pair of ranks of what begins there and
+h bytes on, numbers the pairs anew, and goes on with h doubled; positions whose rank one document has for itself leave,
+until h passes 50. It shuffles every byte's position several times, many times the corpus on disk (README has figures).
+
+`repeated_spans`, which `remove_repeats` takes unless told otherwise, ranks sampled positions instead and loses no
+repeat. Ranks are hashes that agree across documents:
 
 1. Each window of 50 bytes has as its anchor the FIRST bytes in it with the smallest hash, so equal windows have equal
    anchors in equal places. Spark groups anchors by their rank; ranks of one document only are unique and drop out.
@@ -28,11 +33,11 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
@@ -283,12 +288,54 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return whole.unionByName(later)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept: binary, kept_sha256) for every row of docs."""
+def _renumbered(pairs: DataFrame, parts: int, label: str) -> DataFrame:
+    """(doc, text_hash, pos, rank) of pairs (doc, text_hash, pos, a, b): Spark sorts the pairs (a, b) and numbers them
+    from 0. Positions whose pair stands in one document only leave."""
+    sorted_ = pairs.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").withColumn("part", F.spark_partition_id())
+    sorted_ = materialize(sorted_, f"{label}-sorted")
+    counts = sorted_.groupBy("part").agg(F.count_distinct("a", "b").alias("n")).collect()  # one row a partition
+    before, offset = {}, 0
+    for row in sorted(counts, key=lambda r: r.part):
+        before[row.part], offset = offset, offset + row.n
+    base = F.coalesce(F.get(F.array(*[F.lit(before.get(k, 0)).cast("long") for k in range(max(before, default=0) + 1)]), F.col("part")), F.lit(0).cast("long"))
+    spread = sorted_.groupBy("part", "a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    number = (base + F.row_number().over(Window.partitionBy("part").orderBy("a", "b")) - 1).alias("rank")
+    ranks = spread.select("a", "b", "low", number)
+    return materialize(sorted_.join(ranks, ["a", "b"]).select("doc", "text_hash", "pos", "low", "rank"), f"{label}-ranks")
+
+
+def doubled_spans(rows: DataFrame) -> DataFrame:
+    """(doc, text_hash, first, last): the spans of repeated_spans, by prefix doubling over all positions.
+
+    Ranks over 1, 2, 4 and 8 bytes are the bytes themselves; the rounds rank 16, 32 and, by pairs that overlap, 50 bytes.
+    """
+    parts = 4 * shuffle_partitions(rows.sparkSession)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, th, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                w = _words(raw)[SIDE : SIDE + len(raw)].view(np.int64)
+                for lo in range(0, len(raw) - 15 if len(raw) >= LENGTH else 0, SEGMENT):
+                    pos = np.arange(lo, min(lo + SEGMENT, len(raw) - 15))
+                    columns = [np.full(len(pos), doc), np.full(len(pos), th), pos.astype(np.int32), w[pos], w[pos + 8]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "text_hash", "pos", "a", "b"])
+
+    now = _renumbered(rows.select("doc", "text_hash", "text").mapInArrow(words, "doc long, text_hash long, pos int, a long, b long"), parts, "doubling-16")
+    for size, step in ((32, 16), (LENGTH, LENGTH - 32)):
+        later = now.select("doc", "text_hash", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
+        pairs = now.select("doc", "text_hash", "pos", F.col("rank").alias("a")).dropDuplicates().join(later.dropDuplicates(), ["doc", "text_hash", "pos"])
+        now = _renumbered(pairs, parts, f"doubling-{size}")
+    return now.where("doc > low").select("doc", "text_hash", F.col("pos").alias("first"), (F.col("pos") + LENGTH).alias("last"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame], DataFrame] = repeated_spans) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept: binary, kept_sha256) for every row of docs; find: repeated_spans or
+    doubled_spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    spans = repeated_spans(rows).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = find(rows).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -53,6 +53,24 @@ def test_against_brute_force(spark, monkeypatch, slice_):
     assert sorted(map(str, got)) == sorted(map(str, brute(data)))
 
 
+def test_prefix_doubling_against_brute_force(spark):
+    data = rows()
+    docs = spark.createDataFrame([(*x, 1, "clash", 2) for x in data], SCHEMA).repartition(3)
+    got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in X.remove_repeats(docs, find=X.doubled_spans).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(data)))
+    assert X.remove_repeats(docs.limit(0), find=X.doubled_spans).collect() == []
+
+
+def test_a_string_that_very_many_documents_share(spark):
+    # one rank in thousands of different contexts
+    r = random.Random(8)
+    common = "the one very common line that stands in every document, word by word"
+    data = [(i, "".join(r.choices("abcdefgh ", k=60)) + common + "".join(r.choices("abcdefgh ", k=60))) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_removed) for x in X.remove_repeats(docs).collect())
+    assert got[0] == (0, 0) and all(n >= len(common) for _, n in got[1:]) and sum(n for _, n in got) < 3000 * (len(common) + 6)
+
+
 def test_segments_give_the_same_anchors(monkeypatch):
     r = random.Random(3)
     texts = ["".join(r.choices("ab ", k=n)).encode() for n in (0, 49, 50, 51, 300, 1000)]
