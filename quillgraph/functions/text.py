@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,13 +45,12 @@ def rich_clean(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """STR03: sentences with their final marks; full stops of abbreviations, as U+0001 meanwhile, don't end one."""
-    for a in sorted(C.ABBREVIATIONS, key=len, reverse=True):
-        parts = a.split(".")[:-1]
-        text = F.regexp_replace(text, "(?i)" + "".join(f"({p})\\." for p in parts), "".join(f"${k + 1}\u0001" for k in range(len(parts))))
-    ended = F.regexp_replace(text, r"([.!?。！？])(\s+|$)", "$1\u0004")
-    out = F.transform(F.split(ended, "\u0004"), lambda s: F.trim(F.translate(s, "\u0001", ".")))
-    return F.filter(out, lambda s: s != "")
+    """STR03: sentences with their final marks; a full stop that ends an abbreviation doesn't end a sentence.
+
+    Only a mark before white space or the end counts, so it is enough to look at what stands before such a full stop."""
+    short = "|".join(re.escape(a[:-1]) for a in sorted(C.ABBREVIATIONS, key=len, reverse=True))
+    ended = F.regexp_replace(text, rf"((?<!(?i:{short}))\.|[!?。！？])(\s+|$)", "$1\u0004")
+    return F.filter(F.transform(F.split(ended, "\u0004"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def words(text: Column) -> Column:

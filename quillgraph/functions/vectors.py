@@ -28,7 +28,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """VEC04: scaled to length 1; a zero vector stays."""
-    return F.transform(a, lambda x: F.when(norm(a) > 0, x / norm(a)).otherwise(x))
+    sized = lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return F.get(F.transform(F.array(norm(a)), sized), 0)  # the norm is taken once a vector, not once a component
+
+
+def resolved(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """JOIN14: (head, relation, tail, h, r, t): triples (head, relation, tail) with their vectors, by entities and relations
+    (name, v); triples of which a vector is missing drop out."""
+    h = entities.select(F.col("name").alias("head"), F.col("v").alias("h"))
+    r = relations.select(F.col("name").alias("relation"), F.col("v").alias("r"))
+    t = entities.select(F.col("name").alias("tail"), F.col("v").alias("t"))
+    return triples.join(h, "head").join(r, "relation").join(t, "tail").select("head", "relation", "tail", "h", "r", "t")
 
 
 def translation_distance(head: Column, relation: Column, tail: Column) -> Column:

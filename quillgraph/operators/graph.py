@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def linked_entities(mentions: DataFrame) -> DataFrame:
     """JOIN10/AGG26: (canonical, id, entity_type, weight, n): one entity of each canonical form of rows (seq, id,
     canonical, entity_type, weight): the first one's id, and type and weight of the heaviest (the first of equals)."""
-    heavy = F.max_by(F.struct("entity_type", "weight"), F.struct(F.col("weight"), -F.col("seq"))).alias("h")
+    heavy = F.min_by(F.struct("entity_type", "weight"), F.struct(-F.col("weight"), F.col("seq"))).alias("h")
     return mentions.groupBy("canonical").agg(F.min_by("id", "seq").alias("id"), heavy, F.count(F.lit(1)).alias("n")).select("canonical", "id", "h.entity_type", "h.weight", "n")
 
 
@@ -67,22 +69,31 @@ def random_walk(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, steps
                 now = new
                 break
         now = new
-    total = F.sum("score").over(Window.partitionBy())
     sums = now.agg(F.sum("score").alias("total"))
     return now.join(F.broadcast(sums)).select("id", (F.col("score") / F.greatest("total", F.lit(1e-10))).alias("score"))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
-    """GRA08: (start, id) of all nodes that directed paths of up to `most` edges lead to from starts (id)."""
-    edge = edges.select(F.col("source").alias("at"), F.col("target").alias("next")).distinct()
-    seen = materialize(starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct(), "frontier")
-    all_, k = seen.limit(0), 0
-    while (most is None or k < most) and not seen.isEmpty():
-        step = seen.join(edge, "at").select("start", F.col("next").alias("at")).distinct()
-        seen = materialize(step.join(all_, ["start", "at"], "left_anti"), "frontier")
-        all_ = materialize(all_.unionByName(seen), "reached")
-        k += 1
-    return all_.select("start", F.col("at").alias("id"))
+    """GRA08: (start, id) of all nodes that directed paths of up to `most` edges lead to from starts (id).
+
+    Only pairs that are reached are held, so ask for the starts that are needed. Each round's new pairs are written
+    once and found ones aren't written again; a node that is reached keeps no path.
+    """
+    edge = materialize(edges.select(F.col("source").alias("at"), F.col("target").alias("next")).distinct(), "reach-edges")
+    rounds = [materialize(starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct(), "frontier")]
+    found: list[DataFrame] = []
+    while (most is None or len(found) < most) and not rounds[-1].isEmpty():
+        step = rounds[-1].join(edge, "at").select("start", F.col("next").alias("at")).distinct()
+        for old in found:
+            step = step.join(old, ["start", "at"], "left_anti")
+        rounds.append(materialize(step, "frontier"))
+        found.append(rounds[-1])
+        if len(found) == 8:  # few enough tables to look into
+            found = [materialize(reduce(DataFrame.unionByName, found), "reached")]
+            most = None if most is None else most - 7
+    if not found:
+        found = [rounds[0].limit(0)]
+    return reduce(DataFrame.unionByName, found).select("start", F.col("at").alias("id"))
 
 
 def split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: float = 0.1, id_col: str = "id") -> DataFrame:

@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.numbers import lookup, path_weight, sigmoid
+from ..functions.numbers import lookup, sigmoid
 from ..functions.text import jaccard, words
-from ..functions.vectors import dot, norm
+from ..functions.vectors import dot, normalized
+from ..sources.shared import materialize
 
 
-def type_profiles(mentions: DataFrame, dim: int | None = None) -> DataFrame:
-    """(paper_id, entity_type, v, w): weighted sum of unit vectors and sum of weights of rows (paper_id, entity_type, weight, v).
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """(entity_id, u) of rows (entity_id, v): each vector scaled to length 1, once, before it meets its mentions."""
+    return vectors.where(F.col("v").isNotNull()).select("entity_id", normalized(F.col("v")).alias("u"))
+
+
+def type_profiles(mentions: DataFrame, units: DataFrame, dim: int | None = None) -> DataFrame:
+    """(paper_id, entity_type, v, w): weighted sum of unit vectors and sum of weights of mentions (paper_id, entity_id,
+    entity_type, weight), by units (entity_id, u).
 
     The intra-type similarity is a weighted mean of cosines over all pairs; as the numerator is the inner product of
     two such sums, each paper is summed once and no pairs of entities are joined. Entities without a vector don't count.
     Components are summed as columns, so partial sums meet before the shuffle; dim is read from the rows if not given.
     """
-    rows = mentions.where(F.col("v").isNotNull()).withColumn("size", norm(F.col("v")))
     if dim is None:
-        dim = rows.agg(F.max(F.size("v")).alias("d")).first().d or 0
-    rows = rows.withColumn("scale", F.when(F.col("size") > 0, F.col("weight") / F.col("size")).otherwise(0.0))
-    sums = [F.sum(F.get("v", k) * F.col("scale")).alias(f"x{k}") for k in range(dim)]
+        dim = units.agg(F.max(F.size("u")).alias("d")).first().d or 0
+    rows = mentions.join(units, "entity_id")
+    sums = [F.sum(F.get("u", k) * F.col("weight")).alias(f"x{k}") for k in range(dim)]
     each = rows.groupBy("paper_id", "entity_type").agg(F.sum("weight").alias("w"), *sums)
     return each.select("paper_id", "entity_type", F.array(*[F.col(f"x{k}") for k in range(dim)]).cast("array<double>").alias("v"), "w")
 
@@ -35,15 +41,17 @@ def type_similarity(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.select("query_id", "paper_id", "entity_type", F.when(scale > 0, dot(F.col("qv"), F.col("v")) / scale).otherwise(0.0).alias("similarity"))
 
 
-def entity_similarity(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """AGG17: (query_id, paper_id, s_entity) for every pair: sigmoid of the weighted similarities; 0.5 with nothing shared."""
-    each = type_similarity(pairs, profiles).withColumn("part", F.col("similarity") * lookup(F.col("entity_type"), C.TYPE_WEIGHTS, 0.0))
+def entity_similarity(pairs: DataFrame, by_type: DataFrame) -> DataFrame:
+    """AGG17: (query_id, paper_id, s_entity) for every pair, from type_similarity: sigmoid of the weighted similarities;
+    0.5 with nothing shared."""
+    each = by_type.withColumn("part", F.col("similarity") * lookup(F.col("entity_type"), C.TYPE_WEIGHTS, 0.0))
     sums = each.groupBy("query_id", "paper_id").agg(F.sum("part").alias("s"))
     return pairs.join(sums, ["query_id", "paper_id"], "left").select("query_id", "paper_id", sigmoid(F.coalesce("s", F.lit(0.0))).alias("s_entity"))
 
 
 def walks(starts: DataFrame, relations: DataFrame, most: int = 3) -> DataFrame:
-    """GRA04: (source, target, length, weights) of all directed walks of up to `most` relations from starts (source).
+    """GRA04: (source, target, length, weights, seen) of all directed walks of up to `most` relations from starts (source),
+    one row a walk: for the starts whose walks are to be shown. walk_sums counts them without listing.
 
     A walk between a source and a target counts as it first arrives there, so it doesn't pass its own target before.
     """
@@ -61,31 +69,84 @@ def walks(starts: DataFrame, relations: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
+def walk_sums(starts: DataFrame, relations: DataFrame, most: int = 3, decay: float = 0.5) -> DataFrame:
+    """GRA04: (source, target, length, n, weight): how many directed walks of up to `most` (3 at most) relations lead
+    from starts (source) to each target, and the sum of their decayed weights.
+
+    A walk between a source and a target counts as it first arrives there, so it doesn't pass its own target before.
+    Only counts and sums by the nodes passed are carried, never lists of nodes.
+    """
+    if not 1 <= most <= 3:
+        raise ValueError("walks have 1 to 3 relations")
+    edge = relations.groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("w"))
+    at = [F.col("source"), F.col("x1"), F.col("x2")]
+    now, out = starts.select("source").distinct().select("source", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("weight")), None
+    for length in range(1, most + 1):
+        grown = now.join(edge, at[length - 1] == F.col("a"))
+        fresh = F.col("b") != F.col("source")
+        for passed in at[1:length]:
+            fresh = fresh & (F.col("b") != passed)
+        sums = [F.sum(F.col("n") * F.col("k")).alias("n"), F.sum(F.col("weight") * F.col("w") * decay).alias("weight")]
+        found = grown.where(fresh).groupBy("source", F.col("b").alias("target")).agg(*sums).select("source", "target", F.lit(length).cast("long").alias("length"), "n", "weight")
+        out = found if out is None else out.unionByName(found)
+        passed_names = [f"x{k}" for k in range(1, length)]
+        now = grown.select("source", *passed_names, F.col("b").alias(f"x{length}"), (F.col("n") * F.col("k")).alias("n"), (F.col("weight") * F.col("w") * decay).alias("weight"))
+    return out
+
+
 def capped(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
     """WIN05: the first `most` rows of each key."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
 
-def path_similarity(pairs: DataFrame, mentions: DataFrame, relations: DataFrame, most: int = 2, entities: int = 5, entity_pairs: int = 10, paths: int = 5) -> DataFrame:
-    """AGG18: (query_id, paper_id, s_path) for every pair: decayed weights of walks between their first entities."""
+def first_walks(wanted: DataFrame, relations: DataFrame, hops: tuple[int, ...], paths: int, decay: float = 0.5) -> DataFrame:
+    """(source, target, s_path_<h> for each of hops): decayed weights of the first `paths` walks, in the order of the
+    nodes they pass, of up to h (3 at most) relations between wanted pairs (source, target), source <> target.
+
+    A walk of three relations is one relation and one of the first `paths` walks of two that lead on to the target:
+    others can't be among the first. So walks of two are found once for all sources, and none of three is listed whole.
+    """
+    if not all(1 <= h <= 3 for h in hops):
+        raise ValueError("walks have 1 to 3 relations")
+    edge = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), (F.col("weight") * decay).alias("x"))
+    one = edge.select(F.col("a").alias("source"), F.col("b").alias("target"), F.array("b").alias("seen"), "x")
+    found = wanted.join(one, ["source", "target"]).withColumn("length", F.lit(1))
+    if max(hops) > 1:
+        onward = edge.select(F.col("a").alias("mid"), F.col("b").alias("target"), F.col("x").alias("y"))
+        two = edge.select(F.col("a").alias("source"), F.col("b").alias("mid"), "x").join(onward, "mid").where("mid <> target")
+        two = two.select("source", "target", F.array("mid", "target").alias("seen"), (F.col("x") * F.col("y")).alias("x"))
+        found = found.unionByName(wanted.join(two, ["source", "target"]).withColumn("length", F.lit(2)))
+    if max(hops) > 2:
+        rest = capped(two, ["source", "target"], ["seen"], paths).select(F.col("source").alias("mid"), "target", F.col("seen").alias("after"), F.col("x").alias("y"))
+        begin = edge.join(wanted.select(F.col("source").alias("a")).distinct(), "a").select(F.col("a").alias("source"), F.col("b").alias("mid"), "x")
+        three = begin.join(rest, "mid").where("mid <> target").select("source", "target", F.concat(F.array("mid"), "after").alias("seen"), (F.col("x") * F.col("y")).alias("x"))
+        found = found.unionByName(wanted.join(three, ["source", "target"]).withColumn("length", F.lit(3)))
+    for h in hops:
+        w = Window.partitionBy("source", "target").orderBy(F.col("length") > h, "seen")
+        found = found.withColumn(f"n{h}", F.when(F.col("length") <= h, F.row_number().over(w)))
+    sums = [F.sum(F.when(F.col(f"n{h}") <= paths, F.col("x")).otherwise(0.0)).alias(f"s_path_{h}") for h in hops]
+    return found.groupBy("source", "target").agg(*sums)
+
+
+def path_similarities(pairs: DataFrame, mentions: DataFrame, relations: DataFrame, hops: tuple[int, ...] = (3, 2), entities: int = 5, entity_pairs: int = 10, paths: int = 5) -> DataFrame:
+    """AGG18: (query_id, paper_id, s_path_<h> for each of hops) for every pair: decayed weights of walks between their
+    first entities."""
     first = capped(mentions.select("paper_id", "entity_id", "seq"), ["paper_id"], ["seq", "entity_id"], entities)
     q = first.select(F.col("paper_id").alias("query_id"), F.col("entity_id").alias("source"), F.col("seq").alias("qseq"))
     c = first.select("paper_id", F.col("entity_id").alias("target"), F.col("seq").alias("cseq"))
     met = pairs.join(q, "query_id").join(c, "paper_id")
     met = capped(met, ["query_id", "paper_id"], ["qseq", "source", "cseq", "target"], entity_pairs).where("source <> target")
-    wanted = met.select("source", "target").distinct()
-    edge = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").alias("w"))
-    found = wanted.join(edge, (F.col("source") == F.col("a")) & (F.col("target") == F.col("b"))).select("source", "target", F.array("target").alias("seen"), F.array("w").alias("weights"))
-    grown = wanted.join(edge, F.col("source") == F.col("a")).where("b <> target").select("source", "target", F.array("b").alias("seen"), F.array("w").alias("weights"), F.col("b").alias("at"))
-    for _ in range(most - 1):
-        step = grown.join(edge, F.col("at") == F.col("a")).select("source", "target", F.concat("seen", F.array("b")).alias("seen"), F.concat("weights", F.array("w")).alias("weights"), F.col("b").alias("at"))
-        found = found.unionByName(step.where("at = target").drop("at"))
-        grown = step.where("at <> target")
-    found = capped(found, ["source", "target"], ["seen"], paths)
-    sums = found.groupBy("source", "target").agg(F.sum(path_weight(F.col("weights"))).alias("s"))
-    scored = met.join(sums, ["source", "target"]).groupBy("query_id", "paper_id").agg(F.sum("s").alias("s_path"))
-    return pairs.join(scored, ["query_id", "paper_id"], "left").select("query_id", "paper_id", F.coalesce("s_path", F.lit(0.0)).alias("s_path"))
+    met = materialize(met.select("query_id", "paper_id", "source", "target"), "path-pairs")
+    sums = first_walks(met.select("source", "target").distinct(), relations, hops, paths)
+    names = [f"s_path_{h}" for h in hops]
+    scored = met.join(sums, ["source", "target"]).groupBy("query_id", "paper_id").agg(*[F.sum(n).alias(n) for n in names])
+    return pairs.join(scored, ["query_id", "paper_id"], "left").select("query_id", "paper_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+
+
+def path_similarity(pairs: DataFrame, mentions: DataFrame, relations: DataFrame, most: int = 2, **bounds: int) -> DataFrame:
+    """AGG18: (query_id, paper_id, s_path) for every pair, by walks of up to `most` relations."""
+    return path_similarities(pairs, mentions, relations, (most,), **bounds).withColumnRenamed(f"s_path_{most}", "s_path")
 
 
 def shared_entities(pairs: DataFrame, mentions: DataFrame, kind: str) -> DataFrame:

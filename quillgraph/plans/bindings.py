@@ -6,10 +6,13 @@ citations: a customer's order to the orders before it; ranked: a customer's othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..sources.shared import materialize
 
 STEPS = 3  # how many earlier orders an order cites
 
@@ -49,6 +52,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.held: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """A view, or what make() gives, written out the first time and read from there by all that use it."""
+        if name not in self.held:
+            self.held[name] = materialize(make() if make else getattr(self, name), name.replace("_", "-"))
+        return self.held[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -94,7 +104,7 @@ class Tables:
 
     @property
     def relations(self) -> DataFrame:
-        typed = self.contains.join(self.entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id")
+        typed = self.once("contains").join(self.entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id")
         a = typed.select("paper_id", F.col("entity_id").alias("source"), F.col("part_key").alias("ka"), F.col("entity_type").alias("source_type"))
         b = typed.select("paper_id", F.col("entity_id").alias("target"), F.col("part_key").alias("kb"), F.col("entity_type").alias("target_type"))
         pairs = a.join(b, "paper_id").where("ka < kb").join(F.broadcast(self.patterns), ["source_type", "target_type"])

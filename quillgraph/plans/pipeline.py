@@ -28,11 +28,8 @@ def build(papers: DataFrame, vectors: DataFrame | None = None, tagger: T.Batch |
     clean = materialize(R.cleaned_papers(papers, least).dropDuplicates(["id"]), "papers")
     mentions = materialize(T.link(T.tag_entities(clean, tagger), clean), "mentions")
     relations = materialize(T.relate(mentions, classifier), "relations")
-    if vectors is None:
-        with_vectors = mentions.withColumn("v", F.lit(None).cast("array<double>"))
-    else:
-        with_vectors = mentions.join(vectors, "entity_id", "left")
-    return Graph(clean, mentions, relations, S.type_profiles(with_vectors))
+    units = S.unit_vectors(vectors) if vectors is not None else papers.sparkSession.createDataFrame([], "entity_id string, u array<double>")
+    return Graph(clean, mentions, relations, materialize(S.type_profiles(mentions.select("paper_id", "entity_id", "entity_type", "weight"), units), "profiles"))
 
 
 def answer(graph: Graph, queries: DataFrame, settings: P.Settings | None = None, client: T.Batch | None = None) -> DataFrame:
@@ -40,10 +37,11 @@ def answer(graph: Graph, queries: DataFrame, settings: P.Settings | None = None,
     s = settings or P.Settings()
     functions = P.functions_of(queries)
     pairs = materialize(T.candidates(queries, graph.mentions), "candidates")
-    scores = T.function_scores(pairs, graph.profiles, graph.mentions, graph.papers, functions)
+    by_type = materialize(S.type_similarity(pairs, graph.profiles), "type-similarity")
+    scores = T.function_scores(pairs, by_type, graph.mentions, graph.papers, functions)
     if client is None:
-        return P.recommend(pairs, graph.profiles, graph.mentions, graph.relations, graph.papers, scores, functions, s)
-    order = P.rerank(P.retrieve(pairs, graph.profiles, graph.mentions, graph.relations, s), scores, graph.papers, functions, s)
+        return P.recommend(pairs, by_type, graph.mentions, graph.relations, graph.papers, scores, functions, s)
+    order = P.rerank(P.retrieve(pairs, by_type, graph.mentions, graph.relations, s), scores, graph.papers, functions, s)
     prompts = P.prompts(order.withColumnRenamed("s_final", "score"), graph.papers, F.concat(F.lit("## Query Paper "), "query_id"), max(2 * s.recommended, 100))
     return P.verified(P.parsed(T.generate(prompts, client)), graph.papers, s.least_confidence).join(functions, "query_id")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import similarity as S
+from ..plans import stages as T
 from ..plans.bindings import Tables, sql
 from . import query
 from .texts import duck_canonical
@@ -39,6 +39,23 @@ def relations(t: Tables) -> DataFrame:
 CANON = f"WITH e AS (SELECT *, {duck_canonical('text')} AS canonical, (seq % 7)::DOUBLE AS weight FROM entities)"
 
 
+@query(
+    "gra05_relations",
+    sql(
+        "entities contains patterns",
+        CANON + ", f AS (SELECT canonical, arg_min(id, seq) AS id FROM e GROUP BY 1), m AS (SELECT c.paper_id, c.seq, f.id, e.entity_type FROM contains c JOIN e ON e.id = c.entity_id JOIN f ON f.canonical = e.canonical), "
+        "r AS (SELECT DISTINCT a.id AS source, b.id AS target, p.relation_type FROM m a JOIN m b ON a.paper_id = b.paper_id AND a.seq < b.seq AND a.id <> b.id JOIN patterns p ON p.source_type = a.entity_type AND p.target_type = b.entity_type WHERE p.relation_type <> 'contains') "
+        "SELECT source, target, max(relation_type) AS relation_type, 0.5::DOUBLE AS weight FROM r GROUP BY 1, 2",
+    ),
+)
+def built_relations(t: Tables) -> DataFrame:
+    """The relations of the built graph: entities of one paper, in the order of their mentions, by the allowed patterns."""
+    m = mentions(t)
+    link = m.select(F.col("id").alias("mention"), "canonical", "entity_type").join(G.linked_entities(m).select("canonical", F.col("id").alias("entity_id")), "canonical")
+    rows = t.contains.select("paper_id", "seq", F.col("entity_id").alias("mention")).join(link, "mention")
+    return T.relate(rows.select("paper_id", "seq", "entity_id", "entity_type"))
+
+
 def mentions(t: Tables) -> DataFrame:
     return t.entities.select("seq", "id", X.canonical(F.col("text")).alias("canonical"), "entity_type", (F.col("seq") % 7).cast("double").alias("weight"))
 
@@ -97,13 +114,17 @@ def constrained(t: Tables) -> DataFrame:
     "gra04_walks",
     sql(
         "relations",
-        "WITH w AS (SELECT source, target, weight, 1::BIGINT AS length FROM relations UNION ALL SELECT a.source, b.target, a.weight * b.weight, 2 FROM relations a JOIN relations b ON a.target = b.source) SELECT source, length, count(*) AS n, count(DISTINCT target) AS targets, round(sum(weight * pow(0.5, length)), 8)::DOUBLE AS weight FROM w GROUP BY 1, 2",
+        "WITH w AS (SELECT source, target, weight * 0.5 AS x, 1::BIGINT AS length FROM relations WHERE source <> target "
+        "UNION ALL SELECT a.source, b.target, a.weight * b.weight * 0.25, 2 FROM relations a JOIN relations b ON a.target = b.source WHERE b.target <> a.source AND b.target <> a.target "
+        "UNION ALL SELECT a.source, c.target, a.weight * b.weight * c.weight * 0.125, 3 FROM relations a JOIN relations b ON a.target = b.source JOIN relations c ON b.target = c.source "
+        "WHERE c.target <> a.source AND c.target <> a.target AND c.target <> b.target) "
+        "SELECT source, length, count(*) AS n, count(DISTINCT target) AS targets, round(sum(x), 8)::DOUBLE AS weight FROM w GROUP BY 1, 2",
     ),
 )
 def walks(t: Tables) -> DataFrame:
-    r = t.relations
-    w = S.walks(r.select("source").distinct(), r, 2)
-    return w.groupBy("source", "length").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets"), F.round(F.sum(N.path_weight(F.col("weights"))), 8).alias("weight"))
+    r = t.once("relations")
+    w = S.walk_sums(r.select("source"), r, 3)
+    return w.groupBy("source", "length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("targets"), F.round(F.sum("weight"), 8).alias("weight"))
 
 
 @query(
@@ -130,10 +151,10 @@ def walk_sql(steps: int, restart: float) -> str:
     return sql("relations entities", f"WITH {TRANSITION}, {seeds}, {', '.join(parts)} SELECT id, round(score / (SELECT sum(score) FROM {now}), 8)::DOUBLE AS score FROM {now}")
 
 
-@query("gra07_random_walk", walk_sql(5, 0.15))
+@query("gra07_random_walk", walk_sql(20, 0.15))
 def random_walk(t: Tables) -> DataFrame:
     seeds = t.entities.where("entity_type = 'task'").select("id")
-    return G.random_walk(t.relations, seeds, 0.15, 5, None).select("id", F.round("score", 8).alias("score"))
+    return G.random_walk(t.relations, seeds, 0.15, 20, None).select("id", F.round("score", 8).alias("score"))
 
 
 @query(

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import similarity as S
 from ..plans import recommend as P
 from ..plans.bindings import Tables, sql
 from ..plans.evaluate import evaluate
 from . import query
 from .metrics import AP, RR, hit_sql, top10, truth
-from .scores import ENTITY, FUNCTION, PAIRS, PROFILE, canonical_mentions, function_scores, pairs, path_sql, retrieved, vector_mentions
+from .scores import DOUBLES, ENTITY, FUNCTION, PAIRS, PROFILE, by_type, canonical_mentions, function_scores, pairs, path_sql, retrieved, typed_mentions
 
 
 @query("join02_candidates", sql("contains", "SELECT a.paper_id AS query_id, count(DISTINCT b.paper_id) AS candidates FROM contains a JOIN contains b ON a.entity_id = b.entity_id AND a.paper_id <> b.paper_id GROUP BY 1"))
@@ -22,10 +23,17 @@ def candidates(t: Tables) -> DataFrame:
     return a.join(b, "entity_id").where("query_id <> paper_id").groupBy("query_id").agg(F.count_distinct("paper_id").alias("candidates"))
 
 
-@query("join03_typed_pairs", sql("citations contains entities", f"WITH {PAIRS}, m AS (SELECT paper_id, entity_type FROM contains JOIN entities ON id = entity_id) SELECT p.source AS query_id, p.target AS paper_id, count(*) AS n FROM pairs p JOIN m a ON a.paper_id = p.source JOIN m b ON b.paper_id = p.target AND b.entity_type = a.entity_type GROUP BY 1, 2"))
+@query(
+    "join03_typed_pairs",
+    sql(
+        "contains entities",
+        f"WITH {PAIRS}, m AS (SELECT paper_id, entity_type, count(*) AS n FROM contains JOIN entities ON id = entity_id GROUP BY 1, 2) "
+        "SELECT p.source AS query_id, p.target AS paper_id, CAST(sum(a.n * b.n) AS BIGINT) AS n FROM pairs p JOIN m a ON a.paper_id = p.source JOIN m b ON b.paper_id = p.target AND b.entity_type = a.entity_type GROUP BY 1, 2",
+    ),
+)
 def typed_pairs(t: Tables) -> DataFrame:
     """Pairs of entities of one type: counts by type are multiplied, not joined."""
-    n = t.contains.join(t.entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id").groupBy("paper_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    n = typed_mentions(t).groupBy("paper_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
     q = n.select(F.col("paper_id").alias("query_id"), "entity_type", F.col("n").alias("m"))
     return pairs(t).join(q, "query_id").join(n, ["paper_id", "entity_type"]).groupBy("query_id", "paper_id").agg(F.sum(F.col("m") * F.col("n")).alias("n"))
 
@@ -42,7 +50,7 @@ def list_pairs(t: Tables) -> DataFrame:
     return a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.pos") < F.col("b.pos"))).groupBy(F.col("a.query_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pred06_not_itself", sql("citations contains", f"WITH {PAIRS} SELECT source AS query_id, target AS paper_id FROM pairs WHERE source <> target"))
+@query("pred06_not_itself", sql("contains", f"WITH {PAIRS} SELECT source AS query_id, target AS paper_id FROM pairs WHERE source <> target"))
 def not_itself(t: Tables) -> DataFrame:
     p = pairs(t)
     return p.unionByName(p.select("query_id", F.col("query_id").alias("paper_id"))).where("query_id <> paper_id")
@@ -100,33 +108,37 @@ def renumbered(t: Tables) -> DataFrame:
 
 
 def similarity_sql(kind: str) -> str:
-    return sql("citations contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, round(similarity, 6) + 0.0::DOUBLE AS similarity FROM ts WHERE entity_type = '{kind}'")
+    return sql("contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, round(similarity, 6) + 0.0::DOUBLE AS similarity FROM ts WHERE entity_type = '{kind}'")
 
 
-def by_type(t: Tables, kind: str) -> DataFrame:
-    mentions = vector_mentions(t).where(F.col("entity_type") == kind)
-    return S.type_similarity(pairs(t), S.type_profiles(mentions)).select("query_id", "paper_id", F.round("similarity", 6).alias("similarity"))
+def of_type(t: Tables, kind: str) -> DataFrame:
+    return by_type(t).where(F.col("entity_type") == kind).select("query_id", "paper_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("fun01_task_similarity", similarity_sql("task"))
 def task_similarity(t: Tables) -> DataFrame:
-    return by_type(t, "task")
+    return of_type(t, "task")
 
 
 @query("fun02_method_similarity", similarity_sql("method"))
 def method_similarity(t: Tables) -> DataFrame:
-    return by_type(t, "method")
+    return of_type(t, "method")
 
 
-@query("fun03_material_overlap", sql("citations contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, round(as_, 6)::DOUBLE AS overlap FROM sf"))
+@query("fun03_material_overlap", sql("contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, round(as_, 6)::DOUBLE AS overlap FROM sf"))
 def material_overlap(t: Tables) -> DataFrame:
     return S.shared_entities(pairs(t), canonical_mentions(t), "material").withColumn("overlap", F.round("overlap", 6))
 
 
-@query("fun09_cognitive", sql("citations contains entities relations graph_papers", f"WITH {PAIRS}, {PROFILE}, {ENTITY}, {path_sql(2)}, {FUNCTION} SELECT query_id, paper_id, round(s_entity + s_path + s_function, 5)::DOUBLE AS s_cognitive FROM se JOIN sp USING (query_id, paper_id) JOIN ff USING (query_id, paper_id)"))
+@query(
+    "fun09_cognitive",
+    sql(
+        "contains entities relations graph_papers",
+        f"WITH {PAIRS}, {PROFILE}, {ENTITY}, {path_sql(2)}, {FUNCTION} SELECT query_id, paper_id, round(s_entity + s_path_2 + s_function, 5)::DOUBLE AS s_cognitive FROM se JOIN sp USING (query_id, paper_id) JOIN ff USING (query_id, paper_id)",
+    ),
+)
 def cognitive(t: Tables) -> DataFrame:
-    rows = retrieved(t).join(function_scores(t), ["query_id", "paper_id"])
-    return rows.select("query_id", "paper_id", F.round(F.col("s_entity") + F.col("s_path") + F.col("s_function"), 5).alias("s_cognitive"))
+    return P.cognitive(retrieved(t), function_scores(t)).select("query_id", "paper_id", F.round("s_cognitive", 5).alias("s_cognitive"))
 
 
 @query(
@@ -149,10 +161,20 @@ def function_stage(t: Tables) -> DataFrame:
     return f.select("query_id.conv_id", "query_id.turn", F.when(F.col("function") == "use", 0.7).otherwise(0.1).alias("p_use"))
 
 
-@query("join14_triples", "SELECT h.vec_id, h.label FROM embeddings h JOIN embeddings r ON r.vec_id = h.label")
+@query(
+    "join14_triples",
+    f"WITH {DOUBLES}, n AS (SELECT count(*) AS n FROM embeddings) SELECT h.vec_id, h.label, b.vec_id AS tail, round(list_sum(a.v), 6) AS head_sum, round(list_sum(r.v), 6) AS relation_sum, round(list_sum(b.v), 6) AS tail_sum "
+    "FROM embeddings h JOIN e a ON a.vec_id = h.vec_id JOIN e r ON r.vec_id = h.label JOIN e b ON b.vec_id = (h.vec_id * 7 + 1) % (SELECT n FROM n)",
+)
 def resolved_triples(t: Tables) -> DataFrame:
-    r = t.embeddings.select(F.col("vec_id").cast("int").alias("label"))
-    return t.embeddings.select("vec_id", "label").join(r, "label").select("vec_id", "label")
+    """Triples (head, relation, tail) with the vectors of all three."""
+    e = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    triples = e.join(F.broadcast(n)).select("vec_id", "label", ((F.col("vec_id") * 7 + 1) % F.col("n")).alias("tail"))
+    vectors = e.select(F.col("vec_id").alias("name"), "v")
+    rows = V.resolved(triples.select(F.col("vec_id").alias("head"), F.col("label").cast("long").alias("relation"), "tail"), vectors, vectors)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
+    return rows.select(F.col("head").alias("vec_id"), F.col("relation").cast("int").alias("label"), "tail", total("h").alias("head_sum"), total("r").alias("relation_sum"), total("t").alias("tail_sum"))
 
 
 @query("vec06_start_vectors", "SELECT p_partkey, round((('0x' || left(md5(p_partkey || ':3:0'), 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) * sqrt(6.0 / 16), 6) AS fourth FROM part")

@@ -20,57 +20,100 @@ from .texts import duck_canonical
 CASE_WEIGHT = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.TYPE_WEIGHTS.items()) + " END"
 
 #: a vector for each part: one of the table's, by turns
-VECTOR = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS n FROM embeddings), ev AS (SELECT e.id AS entity_id, e.entity_type, v.v FROM entities e JOIN v ON v.vec_id = e.seq % (SELECT count(*) FROM embeddings) WHERE e.seq % 10 <> 9)"
-PROFILE = VECTOR + """, m AS (SELECT c.paper_id, ev.entity_type, c.weight, ev.v, sqrt(list_dot_product(ev.v, ev.v)) AS size FROM contains c JOIN ev ON ev.entity_id = c.entity_id),
+VECTOR = (
+    "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+    "ev AS (SELECT e.id AS entity_id, e.entity_type, v.v FROM entities e JOIN v ON v.vec_id = e.seq % (SELECT count(*) FROM embeddings))"
+)
+PROFILE = (
+    VECTOR
+    + """, m AS (SELECT c.paper_id, ev.entity_type, c.weight, ev.v, sqrt(list_dot_product(ev.v, ev.v)) AS size FROM contains c JOIN ev ON ev.entity_id = c.entity_id),
 qm AS (SELECT p.source, p.target, m.entity_type, m.weight, m.v, m.size FROM pairs p JOIN m ON m.paper_id = p.source),
-ts AS (SELECT a.source AS query_id, a.target AS paper_id, a.entity_type, sum(a.weight * b.weight * list_dot_product(a.v, b.v) / (a.size * b.size)) / sum(a.weight * b.weight) AS similarity FROM qm a JOIN m b ON b.paper_id = a.target AND b.entity_type = a.entity_type GROUP BY 1, 2, 3)"""
-PAIRS = "pairs AS (SELECT source, target FROM citations WHERE step = 1)"
-ENTITY = f"se AS (SELECT p.source AS query_id, p.target AS paper_id, 1 / (1 + exp(-coalesce(sum(ts.similarity * {CASE_WEIGHT.format('ts.entity_type')}), 0))) AS s_entity FROM pairs p LEFT JOIN ts ON ts.query_id = p.source AND ts.paper_id = p.target GROUP BY 1, 2)"
+ts AS (SELECT a.source AS query_id, a.target AS paper_id, a.entity_type, sum(a.weight * b.weight * list_dot_product(a.v, b.v) / (a.size * b.size)) / sum(a.weight * b.weight) AS similarity
+  FROM qm a JOIN m b ON b.paper_id = a.target AND b.entity_type = a.entity_type GROUP BY 1, 2, 3)"""
+)
+#: the queries are the papers whose number is divisible by 50; each is compared with every paper that shares an entity with it
+PAIRS = (
+    "asked AS (SELECT DISTINCT paper_id, entity_id FROM contains WHERE CAST(substr(paper_id, 2) AS BIGINT) % 50 = 0), "
+    "pairs AS (SELECT DISTINCT a.paper_id AS source, c.paper_id AS target FROM asked a JOIN contains c ON c.entity_id = a.entity_id WHERE c.paper_id <> a.paper_id)"
+)
+ENTITY = (
+    f"se AS (SELECT p.source AS query_id, p.target AS paper_id, 1 / (1 + exp(-coalesce(sum(ts.similarity * {CASE_WEIGHT.format('ts.entity_type')}), 0))) AS s_entity "
+    "FROM pairs p LEFT JOIN ts ON ts.query_id = p.source AND ts.paper_id = p.target GROUP BY 1, 2)"
+)
+
+
+def asked(t: Tables) -> DataFrame:
+    return t.graph_papers.where(F.substring("id", 2, 20).cast("long") % 50 == 0).select(F.col("id").alias("query_id"))
 
 
 def pairs(t: Tables) -> DataFrame:
-    return t.citations.where("step = 1").select(F.col("source").alias("query_id"), F.col("target").alias("paper_id"))
+    return t.once("pairs", lambda: T.candidates(asked(t), t.once("contains")))
 
 
-def vector_mentions(t: Tables) -> DataFrame:
+def typed_mentions(t: Tables) -> DataFrame:
+    return t.once("contains").join(t.entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id")
+
+
+def part_vectors(t: Tables) -> DataFrame:
     e = t.embeddings
     n = e.agg(F.count(F.lit(1)).alias("n"))
-    kinds = t.entities.where("seq % 10 <> 9").join(F.broadcast(n)).select(F.col("id").alias("entity_id"), "entity_type", (F.col("seq") % F.col("n")).alias("vec_id"))
-    vectors = kinds.join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
-    return t.contains.join(vectors, "entity_id").select("paper_id", "entity_type", "weight", "v")
+    turn = t.entities.join(F.broadcast(n)).select(F.col("id").alias("entity_id"), (F.col("seq") % F.col("n")).alias("vec_id"))
+    return turn.join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id").select("entity_id", "v")
+
+
+def profiles(t: Tables) -> DataFrame:
+    return S.type_profiles(typed_mentions(t).select("paper_id", "entity_id", "entity_type", "weight"), t.once("units", lambda: S.unit_vectors(part_vectors(t))))
+
 
+def by_type(t: Tables) -> DataFrame:
+    return t.once("by_type", lambda: S.type_similarity(pairs(t), t.once("profiles", lambda: profiles(t))))
 
-@query("agg16_type_similarity", sql("citations contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, entity_type, round(similarity, 6) + 0.0::DOUBLE AS similarity FROM ts"))
+
+@query("agg16_type_similarity", sql("contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, entity_type, round(similarity, 6) + 0.0::DOUBLE AS similarity FROM ts"))
 def type_similarity(t: Tables) -> DataFrame:
-    return S.type_similarity(pairs(t), S.type_profiles(vector_mentions(t))).withColumn("similarity", F.round("similarity", 6))
+    return by_type(t).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("agg17_entity_similarity", sql("citations contains entities", f"WITH {PAIRS}, {PROFILE}, {ENTITY} SELECT query_id, paper_id, round(s_entity, 6) AS s_entity FROM se"))
+@query("agg17_entity_similarity", sql("contains entities", f"WITH {PAIRS}, {PROFILE}, {ENTITY} SELECT query_id, paper_id, round(s_entity, 6) AS s_entity FROM se"))
 def entity_similarity(t: Tables) -> DataFrame:
-    return S.entity_similarity(pairs(t), S.type_profiles(vector_mentions(t))).withColumn("s_entity", F.round("s_entity", 6))
+    return S.entity_similarity(pairs(t), by_type(t)).withColumn("s_entity", F.round("s_entity", 6))
 
 
-def path_sql(hops: int) -> str:
-    walks = ["SELECT w.source, w.target, [r.target] AS seen, r.weight * 0.5 AS x FROM wanted w JOIN relations r ON r.source = w.source AND r.target = w.target"]
-    walks.append("SELECT w.source, w.target, [a.target, b.target], a.weight * b.weight * 0.25 FROM wanted w JOIN relations a ON a.source = w.source JOIN relations b ON b.source = a.target AND b.target = w.target WHERE a.target <> w.target")
-    if hops > 2:
-        walks.append("SELECT w.source, w.target, [a.target, b.target, c.target], a.weight * b.weight * c.weight * 0.125 FROM wanted w JOIN relations a ON a.source = w.source JOIN relations b ON b.source = a.target JOIN relations c ON c.source = b.target AND c.target = w.target WHERE a.target <> w.target AND b.target <> w.target")
+def path_sql(*hops: int) -> str:
+    """sp: s_path_<h> for each of hops, by unrolled walks."""
+    walks = ["SELECT w.source, w.target, 1 AS length, [r.target] AS seen, r.weight * 0.5 AS x FROM wanted w JOIN relations r ON r.source = w.source AND r.target = w.target"]
+    walks.append(
+        "SELECT w.source, w.target, 2, [a.target, b.target], a.weight * b.weight * 0.25 FROM wanted w JOIN relations a ON a.source = w.source "
+        "JOIN relations b ON b.source = a.target AND b.target = w.target WHERE a.target <> w.target"
+    )
+    if max(hops) > 2:
+        walks.append(
+            "SELECT w.source, w.target, 3, [a.target, b.target, c.target], a.weight * b.weight * c.weight * 0.125 FROM wanted w JOIN relations a ON a.source = w.source "
+            "JOIN relations b ON b.source = a.target JOIN relations c ON c.source = b.target AND c.target = w.target WHERE a.target <> w.target AND b.target <> w.target"
+        )
+    capped = [
+        f"capped{h} AS (SELECT source, target, sum(x) AS s FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY seen) AS k FROM walks WHERE length <= {h}) WHERE k <= 5 GROUP BY 1, 2), "
+        f"sp{h} AS (SELECT p.source AS query_id, p.target AS paper_id, coalesce(x.s, 0) AS s_path_{h} FROM pairs p LEFT JOIN "
+        f"(SELECT query_id, paper_id, sum(s) AS s FROM met JOIN capped{h} USING (source, target) GROUP BY 1, 2) x ON x.query_id = p.source AND x.paper_id = p.target)"
+        for h in hops
+    ]
+    joined = "sp" + str(hops[0]) + "".join(f" JOIN sp{h} USING (query_id, paper_id)" for h in hops[1:])
     return (
         "firsts AS (SELECT paper_id, entity_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY seq, entity_id) AS k FROM contains) WHERE k <= 5), "
-        "met AS (SELECT query_id, paper_id, source, target FROM (SELECT p.source AS query_id, p.target AS paper_id, a.entity_id AS source, b.entity_id AS target, row_number() OVER (PARTITION BY p.source, p.target ORDER BY a.seq, a.entity_id, b.seq, b.entity_id) AS k FROM pairs p JOIN firsts a ON a.paper_id = p.source JOIN firsts b ON b.paper_id = p.target) WHERE k <= 10 AND source <> target), "
-        f"wanted AS (SELECT DISTINCT source, target FROM met), walks AS ({' UNION ALL '.join(walks)}), "
-        "capped AS (SELECT source, target, sum(x) AS s FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY seen) AS k FROM walks) WHERE k <= 5 GROUP BY 1, 2), "
-        "sp AS (SELECT p.source AS query_id, p.target AS paper_id, coalesce(x.s, 0) AS s_path FROM pairs p LEFT JOIN (SELECT query_id, paper_id, sum(s) AS s FROM met JOIN capped USING (source, target) GROUP BY 1, 2) x ON x.query_id = p.source AND x.paper_id = p.target)"
+        "met AS (SELECT query_id, paper_id, source, target FROM (SELECT p.source AS query_id, p.target AS paper_id, a.entity_id AS source, b.entity_id AS target, "
+        "row_number() OVER (PARTITION BY p.source, p.target ORDER BY a.seq, a.entity_id, b.seq, b.entity_id) AS k FROM pairs p JOIN firsts a ON a.paper_id = p.source JOIN firsts b ON b.paper_id = p.target) "
+        "WHERE k <= 10 AND source <> target), "
+        f"wanted AS (SELECT DISTINCT source, target FROM met), walks AS ({' UNION ALL '.join(walks)}), {', '.join(capped)}, sp AS (SELECT * FROM {joined})"
     )
 
 
 def part_mentions(t: Tables) -> DataFrame:
-    return t.contains.select("paper_id", "entity_id", "seq")
+    return t.once("contains").select("paper_id", "entity_id", "seq")
 
 
-@query("agg18_path_similarity", sql("citations contains relations", f"WITH {PAIRS}, {path_sql(3)} SELECT query_id, paper_id, round(s_path, 10)::DOUBLE AS s_path FROM sp"))
+@query("agg18_path_similarity", sql("contains relations", f"WITH {PAIRS}, {path_sql(3)} SELECT query_id, paper_id, round(s_path_3, 10)::DOUBLE AS s_path FROM sp"))
 def path_similarity(t: Tables) -> DataFrame:
-    return S.path_similarity(pairs(t), part_mentions(t), t.relations, 3).withColumn("s_path", F.round("s_path", 10))
+    return S.path_similarity(pairs(t), part_mentions(t), t.once("relations"), 3).withColumn("s_path", F.round("s_path", 10))
 
 
 def set_sql(kind: str, name: str) -> str:
@@ -85,10 +128,10 @@ CANONS = f"canon AS (SELECT id, entity_type, {duck_canonical('text')} AS canonic
 
 def canonical_mentions(t: Tables) -> DataFrame:
     e = t.entities.select(F.col("id").alias("entity_id"), "entity_type", X.canonical(F.col("text")).alias("canonical"))
-    return t.contains.join(e, "entity_id").select("paper_id", "entity_type", "canonical")
+    return t.once("contains").join(e, "entity_id").select("paper_id", "entity_type", "canonical")
 
 
-@query("set03_entity_overlap", sql("citations contains entities", f"WITH {PAIRS}, {CANONS}, {set_sql('metric', 'es')} SELECT query_id, paper_id, round(x, 6) AS overlap FROM es"))
+@query("set03_entity_overlap", sql("contains entities", f"WITH {PAIRS}, {CANONS}, {set_sql('metric', 'es')} SELECT query_id, paper_id, round(x, 6) AS overlap FROM es"))
 def overlap(t: Tables) -> DataFrame:
     return S.shared_entities(pairs(t), canonical_mentions(t), "metric").withColumn("overlap", F.round("overlap", 6))
 
@@ -98,11 +141,11 @@ FUNCTION = f"{CANONS}, {set_sql('metric', 'es')}, {set_sql('material', 'ms_')},
 
 def function_scores(t: Tables) -> DataFrame:
     f = t.graph_papers.select(F.col("id").alias("query_id"), "function")
-    scores = T.function_scores(pairs(t), S.type_profiles(vector_mentions(t)), canonical_mentions(t), t.graph_papers, f)
+    scores = T.function_scores(pairs(t), by_type(t), t.once("canonical", lambda: canonical_mentions(t)), t.graph_papers, f)
     return scores.join(f, "query_id").select("query_id", "paper_id", "function", "s_function")
 
 
-@query("fun05_function_scores", sql("citations contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, function, round(s_function, 6) + 0.0::DOUBLE AS s_function FROM ff"))
+@query("fun05_function_scores", sql("contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, function, round(s_function, 6) + 0.0::DOUBLE AS s_function FROM ff"))
 def functions(t: Tables) -> DataFrame:
     return function_scores(t).withColumn("s_function", F.round("s_function", 6))
 
@@ -116,33 +159,73 @@ def quality(t: Tables) -> DataFrame:
     return t.graph_papers.select("id", F.round(N.quality(F.col("citation_count"), F.col("venue"), F.col("year"), 2024), 6).alias("quality"))
 
 
-FINAL = f"fin AS (SELECT r.query_id, r.paper_id, f.function, CASE f.function WHEN 'use' THEN 0.95 WHEN 'compare' THEN 0.8 WHEN 'inspire' THEN 0.7 ELSE 0.9 END * (r.s_entity + r.s_path + f.s_function) + CASE f.function WHEN 'use' THEN 0.05 WHEN 'compare' THEN 0.2 WHEN 'inspire' THEN 0.3 ELSE 0.1 END * {QUALITY} AS s_final FROM (SELECT se.query_id, se.paper_id, s_entity, s_path FROM se JOIN sp USING (query_id, paper_id)) r JOIN ff f USING (query_id, paper_id) JOIN graph_papers g ON g.id = r.paper_id)"
+FINAL = f"fin AS (SELECT r.query_id, r.paper_id, f.function, CASE f.function WHEN 'use' THEN 0.95 WHEN 'compare' THEN 0.8 WHEN 'inspire' THEN 0.7 ELSE 0.9 END * (r.s_entity + r.s_path + f.s_function) + CASE f.function WHEN 'use' THEN 0.05 WHEN 'compare' THEN 0.2 WHEN 'inspire' THEN 0.3 ELSE 0.1 END * {QUALITY} AS s_final FROM (SELECT se.query_id, se.paper_id, s_entity, s_path_2 AS s_path FROM se JOIN sp USING (query_id, paper_id)) r JOIN ff f USING (query_id, paper_id) JOIN graph_papers g ON g.id = r.paper_id)"
+
 
+SETTINGS = P.Settings(recommended=10, least_confidence="medium")
 
-def settings() -> P.Settings:
-    return P.Settings(retrieval_hops=2, recommended=10)
+
+def functions_asked(t: Tables) -> DataFrame:
+    return t.graph_papers.select(F.col("id").alias("query_id"), "function")
 
 
 def retrieved(t: Tables) -> DataFrame:
-    return P.retrieve(pairs(t), S.type_profiles(vector_mentions(t)), part_mentions(t), t.relations, settings())
+    return P.retrieve(pairs(t), by_type(t), part_mentions(t), t.once("relations"), SETTINGS)
+
 
+BLENDED = "b AS (SELECT query_id, paper_id, round(0.6 * s_entity + 0.4 * s_path_3, 6)::DOUBLE AS score FROM se JOIN sp USING (query_id, paper_id))"
 
-@query("math09_retrieve", sql("citations contains entities relations", f"WITH {PAIRS}, {PROFILE}, {ENTITY}, {path_sql(2)}, b AS (SELECT query_id, paper_id, round(0.6 * s_entity + 0.4 * s_path, 6)::DOUBLE AS score FROM se JOIN sp USING (query_id, paper_id)) SELECT query_id, paper_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM b"))
+
+@query(
+    "math09_retrieve",
+    sql(
+        "contains entities relations",
+        f"WITH {PAIRS}, {PROFILE}, {ENTITY}, {path_sql(3)}, {BLENDED}, r AS (SELECT query_id, paper_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM b) SELECT * FROM r WHERE rank <= 2000",
+    ),
+)
 def retrieve(t: Tables) -> DataFrame:
     return retrieved(t).select("query_id", "paper_id", "score", "rank")
 
 
-@query("fun10_rerank", sql("citations contains entities relations graph_papers", f"WITH {PAIRS}, {PROFILE}, {ENTITY}, {path_sql(2)}, {FUNCTION}, {FINAL} SELECT query_id, paper_id, function, round(s_final, 6)::DOUBLE AS s_final FROM fin"))
+RERANKED = f"{PAIRS}, {PROFILE}, {ENTITY}, {path_sql(3, 2)}, {FUNCTION}, {FINAL}, {BLENDED}, found AS (SELECT query_id, paper_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS k FROM b) WHERE k <= 800), final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s_final DESC, paper_id) AS rank FROM (SELECT query_id, paper_id, function, round(s_final, 6)::DOUBLE AS s_final FROM fin JOIN found USING (query_id, paper_id)))"
+
+
+@query("fun10_rerank", sql("contains entities relations graph_papers", f"WITH {RERANKED} SELECT query_id, paper_id, function, s_final, rank FROM final"))
 def rerank(t: Tables) -> DataFrame:
-    f = t.graph_papers.select(F.col("id").alias("query_id"), "function")
-    return P.rerank(retrieved(t), function_scores(t).drop("function"), t.graph_papers, f, settings()).select("query_id", "paper_id", "function", "s_final")
+    return P.rerank(retrieved(t), function_scores(t).drop("function"), t.graph_papers, functions_asked(t), SETTINGS).select("query_id", "paper_id", "function", "s_final", "rank")
 
 
-@query("e2e01_recommend", sql("ranked graph_papers", "SELECT query_id, paper_id, rank, round(0.9 - 0.1 * (rank - 1), 6)::DOUBLE AS score, CASE rank WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 5 THEN 'low' ELSE 'medium' END AS confidence, CASE rank WHEN 1 THEN 'introduction' WHEN 4 THEN 'experiment' WHEN 5 THEN 'discussion' ELSE 'methodology' END AS citation_position, p.function FROM ranked JOIN graph_papers p ON p.id = query_id WHERE rank <= 10 AND rank <> 5 AND paper_id IN (SELECT id FROM graph_papers WHERE year < 2001)"))
+def by_rank(values: tuple[str, ...], default: str) -> str:
+    return "CASE rank " + " ".join("WHEN {} THEN '{}'".format(k, v.replace("'", "''")) for k, v in enumerate(values, 1)) + f" ELSE '{default}' END"
+
+
+@query(
+    "e2e01_recommend",
+    sql(
+        "contains entities relations graph_papers",
+        f"WITH {RERANKED}, o AS (SELECT query_id, paper_id, rank, round(0.9 - 0.1 * (rank - 1), 6)::DOUBLE AS score, {by_rank(C.RANKED_CONFIDENCE, 'medium')} AS confidence, "
+        f"{by_rank(C.RANKED_POSITION, 'methodology')} AS citation_position, function FROM final WHERE rank <= 10) SELECT * FROM o WHERE confidence IN ('medium', 'high')",
+    ),
+)
 def recommend(t: Tables) -> DataFrame:
+    """The whole recommendation: candidates, retrieval, reranking, reasons by rank, verification."""
+    out = P.recommend(pairs(t), by_type(t), part_mentions(t), t.once("relations"), t.graph_papers, function_scores(t).drop("function"), functions_asked(t), SETTINGS)
+    return out.select("query_id", "paper_id", "rank", "score", "confidence", "citation_position", "function")
+
+
+@query(
+    "pred09_verified",
+    sql(
+        "ranked graph_papers",
+        "SELECT query_id, paper_id, rank, round(0.9 - 0.1 * (rank - 1), 6)::DOUBLE AS score, CASE rank WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 5 THEN 'low' ELSE 'medium' END AS confidence, "
+        "CASE rank WHEN 1 THEN 'introduction' WHEN 4 THEN 'experiment' WHEN 5 THEN 'discussion' ELSE 'methodology' END AS citation_position FROM ranked "
+        "WHERE rank <= 10 AND rank <> 5 AND paper_id IN (SELECT id FROM graph_papers WHERE year < 2001)",
+    ),
+)
+def verified(t: Tables) -> DataFrame:
+    """Verification alone: unknown papers and low confidence go."""
     out = P.verified(P.reasoned(t.ranked, 10), t.graph_papers.where("year < 2001"), "medium")
-    f = t.graph_papers.select(F.col("id").alias("query_id"), "function")
-    return out.join(f, "query_id").select("query_id", "paper_id", "rank", "score", "confidence", "citation_position", "function")
+    return out.select("query_id", "paper_id", "rank", "score", "confidence", "citation_position")
 
 
 @query("win06_rank_lookup", sql("ranked", "SELECT query_id, paper_id, rank, md5(CASE rank " + " ".join("WHEN {} THEN '{}'".format(k + 1, v.replace("'", "''")) for k, v in enumerate(C.RANKED_REASON)) + " ELSE '{}' END) AS reason FROM ranked WHERE rank <= 8".format(C.RANKED_REASON[0].replace("'", "''"))))
@@ -204,10 +287,15 @@ def path_weight(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.round(F.log(N.path_weight(F.collect_list(F.col("l_quantity") / 50))), 6).alias("log_weight"))
 
 
-@query("math10_softmax", "WITH x AS (SELECT vec_id, list_transform(embedding[1:4], lambda e: exp(e::DOUBLE)) AS p FROM embeddings) SELECT vec_id, round(list_max(p) / list_sum(p), 6) AS top, list_position(p, list_max(p)) - 1 AS label FROM x")
+@query(
+    "math10_softmax",
+    "WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: exp(e::DOUBLE)) AS p FROM embeddings), y AS (SELECT vec_id, list_transform(p, lambda e: e / list_sum(p)) AS p FROM x) "
+    "SELECT vec_id, round(list_max(p), 6) AS top, list_position(p, list_max(p)) - 1 AS label, round(list_sum(list_transform(list_zip(p, range(1, 65)), lambda z: z[1] * z[2])), 6) AS mean_place FROM y",
+)
 def softmax(t: Tables) -> DataFrame:
-    p = N.softmax(F.slice(F.col("embedding").cast("array<double>"), 1, 4))
-    return t.embeddings.select("vec_id", p.alias("p")).select("vec_id", F.round(F.array_max("p"), 6).alias("top"), (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"))
+    p = t.embeddings.select("vec_id", N.softmax(F.col("embedding").cast("array<double>")).alias("p"))
+    mean = F.aggregate(F.transform("p", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return p.select("vec_id", F.round(F.array_max("p"), 6).alias("top"), (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), F.round(mean, 6).alias("mean_place"))
 
 
 DOUBLES = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -245,10 +333,13 @@ def label_precision(t: Tables) -> DataFrame:
     return M.at_k(hits, (10,)).select("query_id", F.round("p_at_10", 6).alias("p_at_10"))
 
 
-@query("vec04_normalize", f"WITH {DOUBLES} SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM e")
+@query(
+    "vec04_normalize",
+    f"WITH {DOUBLES}, u AS (SELECT vec_id, list_transform(v, lambda x: CAST(round(x / sqrt(list_dot_product(v, v)) * 1000000) AS BIGINT)) AS u FROM e) SELECT vec_id, sha256(array_to_string(u, ',')) AS digest FROM u",
+)
 def normalize(t: Tables) -> DataFrame:
-    v = V.normalized(F.col("v"))
-    return t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", F.round(F.get(v, 0), 6).alias("first"), F.round(F.get(v, 63), 6).alias("last"))
+    v = t.embeddings.select("vec_id", V.normalized(F.col("embedding").cast("array<double>")).alias("u"))
+    return v.select("vec_id", F.sha2(F.array_join(F.transform("u", lambda x: F.round(x * 1000000).cast("long").cast("string")), ","), 256).alias("digest"))
 
 
 TRIPLES = f"WITH {DOUBLES}, n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT h.vec_id, h.label, list_distance(list_transform(list_zip(a.v, r.v), lambda x: x[1] + x[2]), b.v) AS d FROM embeddings h JOIN e a ON a.vec_id = h.vec_id JOIN e r ON r.vec_id = h.label JOIN e b ON b.vec_id = (h.vec_id * 7 + 1) % (SELECT n FROM n))"

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import falsy, simple_clean
+from .shared import file_system
+
+WHOLE = 512 << 20  # bytes of a JSON document, at most
 
 PAPER = "id string, title string, abstract string, authors array<string>, year int, venue string, citation_count bigint, doi string"
 CITATION = "source_paper_id string, target_paper_id string, context string, position string"
@@ -48,8 +51,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_objects(spark: SparkSession, path: str, envelopes: tuple[str, ...]) -> DataFrame:
-    """Column obj (string): the objects of a JSON document, a bare list or under the first envelope key that is a list."""
+def read_objects(spark: SparkSession, path: str, envelopes: tuple[str, ...], lines: bool = False) -> DataFrame:
+    """Column obj (string): the objects of a JSON document, a bare list or under the first envelope key that is a list;
+    lines: of files with one object a line, which are split among tasks whatever their size.
+
+    A document is one row of one task, so one of more than WHOLE bytes is refused: write such tables as lines.
+    """
+    if lines:
+        return spark.read.text(path).select(F.trim("value").alias("obj")).where("obj <> ''")
+    fs, name = file_system(spark, path)
+    for status in fs.globStatus(name) or []:
+        for file in fs.listStatus(status.getPath()):
+            if file.getLen() > WHOLE:
+                raise ValueError(f"{file.getPath()} has more than {WHOLE} bytes; write it with one object a line")
     raw = spark.read.text(path, wholetext=True).select("value")
     root = F.trim("value")
     lists = [F.get_json_object(root, f"$.{k}") for k in envelopes]
@@ -59,10 +73,21 @@ def read_objects(spark: SparkSession, path: str, envelopes: tuple[str, ...]) ->
     return raw.select(F.explode(F.from_json(found, "array<string>")).alias("obj"))
 
 
-def field(obj: Column, names: tuple[str, ...], number: bool = False) -> Column:
+def opened(objects: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """objects (obj) with struct o: the values of all aliases as strings, from one parse of each object."""
+    names = {n.lower(): n for aliases in fields.values() for n in aliases}
+    schema = ", ".join(f"`{n}` string" for n in names.values())
+    rows = objects.select("obj", F.from_json("obj", schema).alias("o"))
+    # names that differ in case only are one column to Spark
+    rest = [n for aliases in fields.values() for n in aliases if names[n.lower()] != n]
+    return rows.select("obj", "o", *[F.get_json_object("obj", f"$.{n}").alias(f"_{n}") for n in rest])
+
+
+def field(rows: DataFrame, names: tuple[str, ...], number: bool = False) -> Column:
     """The first of the names that has a value: null, empty and [] don't count as one, nor does 0 where a number is meant."""
     none = ("", "[]", "{}", "false") + (("0", "0.0") if number else ())
-    found = [F.get_json_object(obj, f"$.{n}") for n in names]
+    own = set(rows.schema["o"].dataType.names)
+    found = [F.col("o").getField(n) if n in own else F.col(f"_{n}") for n in names]
     return F.coalesce(*[F.when(~x.isin(*none), x) for x in found])
 
 
@@ -78,9 +103,9 @@ def lenient_papers(objects: DataFrame, most: int | None = None) -> DataFrame:
     """PRJ01/SRC07: papers by their aliases; year 2000 and count 0 by default; rows without id or title are skipped."""
     if most is not None:
         objects = objects.limit(most)
-    o = F.col("obj")
+    o = opened(objects, PAPER_FIELDS)
     f = {k: field(o, names, k in ("year", "citation_count")) for k, names in PAPER_FIELDS.items()}
-    rows = objects.select(
+    rows = o.select(
         f["id"].alias("id"),
         f["title"].alias("title"),
         F.coalesce(f["abstract"], F.lit("")).alias("abstract"),
@@ -103,9 +128,10 @@ def lenient_citations(objects: DataFrame, ids: DataFrame | None = None, most: in
     """PRJ02/SRC08: citations by their aliases; an unknown position counts as introduction. most applies first."""
     if most is not None:
         objects = objects.limit(most)
-    f = {k: field(F.col("obj"), names) for k, names in CITATION_FIELDS.items()}
+    o = opened(objects, CITATION_FIELDS)
+    f = {k: field(o, names) for k, names in CITATION_FIELDS.items()}
     position = F.when(f["position"].isin(*C.POSITIONS), f["position"]).otherwise("introduction")
-    rows = objects.select(f["source_paper_id"].alias("source_paper_id"), f["target_paper_id"].alias("target_paper_id"), F.coalesce(f["context"], F.lit("")).alias("context"), position.alias("position"))
+    rows = o.select(f["source_paper_id"].alias("source_paper_id"), f["target_paper_id"].alias("target_paper_id"), F.coalesce(f["context"], F.lit("")).alias("context"), position.alias("position"))
     return among(rows.where("source_paper_id IS NOT NULL AND target_paper_id IS NOT NULL"), ids)
 
 
@@ -125,16 +151,16 @@ def among(citations: DataFrame, ids: DataFrame | None) -> DataFrame:
     return citations
 
 
-def read_dataset(spark: SparkSession, papers: str, citations: str, max_papers: int | None = None, max_citations: int | None = None) -> tuple[DataFrame, DataFrame]:
+def read_dataset(spark: SparkSession, papers: str, citations: str, max_papers: int | None = None, max_citations: int | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """SRC09: papers, and the citations among them."""
-    p = lenient_papers(read_objects(spark, papers, ("papers", "data", "items")), max_papers)
-    return p, lenient_citations(read_objects(spark, citations, ("citations", "data", "items")), p, max_citations)
+    p = lenient_papers(read_objects(spark, papers, ("papers", "data", "items"), lines), max_papers)
+    return p, lenient_citations(read_objects(spark, citations, ("citations", "data", "items"), lines), p, max_citations)
 
 
-def read_queries(spark: SparkSession, path: str, papers: DataFrame | None = None) -> DataFrame:
+def read_queries(spark: SparkSession, path: str, papers: DataFrame | None = None, lines: bool = False) -> DataFrame:
     """SRC10: queries by their aliases, those of known papers only."""
-    rows = read_objects(spark, path, ("queries", "test_queries", "data"))
-    f = {k: field(F.col("obj"), names) for k, names in QUERY_FIELDS.items()}
+    rows = opened(read_objects(spark, path, ("queries", "test_queries", "data"), lines), QUERY_FIELDS)
+    f = {k: field(rows, names) for k, names in QUERY_FIELDS.items()}
     out = rows.select(
         f["query_paper_id"].alias("query_paper_id"), F.coalesce(f["citation_context"], F.lit("")).alias("citation_context"),
         F.coalesce(F.from_json(f["ground_truth"], "array<string>"), F.array().cast("array<string>")).alias("ground_truth"), F.coalesce(f["citation_function"], F.lit("background")).alias("citation_function"),

@@ -11,17 +11,31 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a folder of our own on one machine, and an error on a cluster: its
+    executors wouldn't see what others wrote to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in its form."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/quillgraph/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under a folder of the application that goes when its driver ends."""
+    folder = f"{shared_root(spark)}/quillgraph/{spark.sparkContext.applicationId}"
+    fs, name = file_system(spark, folder)
+    if not fs.exists(name):
+        fs.mkdirs(name)
+        fs.deleteOnExit(name)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
@@ -38,3 +52,14 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing will read it again."""
+    for df in written:
+        root = f"{shared_root(df.sparkSession)}/quillgraph/"
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if root.split("://")[-1].lstrip("/") in folder:
+                fs, name = file_system(df.sparkSession, folder)
+                fs.delete(name, True)

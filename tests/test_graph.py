@@ -46,6 +46,43 @@ def test_walks(edges):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_walk_sums_equal_the_listed_walks(spark, edges):
+    r = random.Random(4)
+    more = [(r.choice("abcdefg"), r.choice("abcdefg"), r.random()) for _ in range(30)]  # cycles, loops and repeated relations
+    for frame in (edges, spark.createDataFrame(more, "source string, target string, weight double")):
+        starts = frame.select("source").distinct()
+        want = {}
+        for x in S.walks(starts, frame, 3).collect():
+            k = (x.source, x.target, x.length)
+            weight = 0.5**x.length
+            for w in x.weights:
+                weight *= w
+            n, total = want.get(k, (0, 0.0))
+            want[k] = (n + 1, total + weight)
+        got = {(x.source, x.target, x.length): (x.n, x.weight) for x in S.walk_sums(starts, frame, 3).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_first_walks_against_all_walks(spark):
+    r = random.Random(7)
+    nodes = [f"n{i}" for i in range(12)]
+    rows = list({(r.choice(nodes), r.choice(nodes)): r.random() for _ in range(60)}.items())
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in rows], "source string, target string, weight double")
+    wanted = spark.createDataFrame([(a, b) for a in nodes for b in nodes if a != b], "source string, target string")
+    listed = {}
+    for x in S.walks(frame.select("source").distinct(), frame, 3).collect():
+        weight = 0.5**x.length
+        for w in x.weights:
+            weight *= w
+        listed.setdefault((x.source, x.target), []).append((list(x.seen), x.length, weight))
+    got = {(x.source, x.target): x for x in S.first_walks(wanted, frame, (3, 2), 5).collect()}
+    for k, walks in listed.items():
+        for h in (2, 3):
+            want = sum(w for _, _, w in sorted(x for x in walks if x[1] <= h)[:5])
+            assert got[k][f"s_path_{h}"] == pytest.approx(want)
+    assert got.keys() == listed.keys()
+
+
 def test_path_similarity(spark):
     mentions = spark.createDataFrame([("q", "a", 1), ("q", "x", 2), ("p", "c", 1), ("p", "a", 2)], "paper_id string, entity_id string, seq int")
     edges = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.5), ("a", "c", 1.0), ("x", "a", 1.0)], "source string, target string, weight double")
@@ -107,12 +144,13 @@ def test_split_is_exact(spark):
 def test_entity_similarity_equals_pairwise(spark):
     r = random.Random(1)
     rows = [(p, r.choice(["task", "method"]), r.choice([0.0, 0.5, 1.0]), [r.gauss(0, 1) for _ in range(4)] if r.random() < 0.9 else None) for p in "qabc" for _ in range(5)] + [("a", "task", 1.0, [0.0] * 4)]
-    m = spark.createDataFrame(rows, "paper_id string, entity_type string, weight double, v array<double>")
+    named = spark.createDataFrame([(f"e{i}", *x) for i, x in enumerate(rows)], "entity_id string, paper_id string, entity_type string, weight double, v array<double>")
+    profiles = S.type_profiles(named.drop("v"), S.unit_vectors(named.select("entity_id", "v")))
     pairs = spark.createDataFrame([("q", c) for c in "abcz"], "query_id string, paper_id string")
-    got = {(x.paper_id, x.entity_type): x.similarity for x in S.type_similarity(pairs, S.type_profiles(m)).collect()}
+    got = {(x.paper_id, x.entity_type): x.similarity for x in S.type_similarity(pairs, profiles).collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / ((sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5 or 1)
     for (c, t), s in got.items():
         qs, cs = ([(w, v) for p, k, w, v in rows if p == x and k == t and v] for x in ("q", c))
         scale = sum(w for w, _ in qs) * sum(w for w, _ in cs)
         assert s == pytest.approx(sum(a * b * cos(x, y) for a, x in qs for b, y in cs) / scale if scale else 0.0)
-    assert {x.paper_id: x.s_entity for x in S.entity_similarity(pairs, S.type_profiles(m)).collect()}["z"] == 0.5
+    assert {x.paper_id: x.s_entity for x in S.entity_similarity(pairs, S.type_similarity(pairs, profiles)).collect()}["z"] == 0.5

@@ -3,12 +3,15 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.__main__ import main
-from quillgraph.plans import pipeline
+from quillgraph.plans import pipeline, steps
 from quillgraph.plans.recommend import Settings
+from quillgraph.plans.stages import surviving
 from quillgraph.sources import readers as R
+from quillgraph.sources.config import load_config, settings_from
 
 PAD = " It is written at some length so that nobody drops it for being short."
 PAPERS = [
@@ -67,3 +70,55 @@ def test_command_line(spark, tmp_path):
     row = spark.read.json(str(tmp_path / "m")).first()
     assert row.mrr == 1.0 and row.r_at_5 == 1.0
     assert spark.read.json(str(tmp_path / "o")).select(F.countDistinct("query_id")).first()[0] == 1
+
+
+def test_a_client_that_raises(spark):
+    def client(frame):
+        if "b" in set(frame["query_id"]):
+            raise RuntimeError("no answer")
+        return pd.DataFrame({"query_id": frame["query_id"], "response": ['[{"paper_id": "a", "reason": "r"}]'] * len(frame)})
+
+    graph = pipeline.build(papers(spark))
+    queries = spark.createDataFrame([("q", "we use this"), ("b", None)], "query_id string, context string").coalesce(1)
+    got = pipeline.answer(graph, queries, client=surviving(client)).collect()
+    assert [(r.query_id, r.paper_id) for r in got] == [("q", "a")]
+
+
+def test_steps_and_what_is_skipped(spark, tmp_path):
+    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, PAPERS)))
+    pairs = [("q", "a"), ("a", "b"), ("b", "c"), ("q", "nobody")]
+    (tmp_path / "c.json").write_text("\n".join(json.dumps({"source": a, "target": b}) for a, b in pairs))
+    (tmp_path / "q.json").write_text(json.dumps({"query_paper_id": "q", "context": "use", "ground_truth": ["a", "c"]}))
+    w = steps.Work(spark, str(tmp_path / "w"), str(tmp_path / "p.json"), str(tmp_path / "c.json"), str(tmp_path / "q.json"), lines=True)
+    assert steps.run(w) == list(steps.STEPS)
+    assert w.read("citations").count() == 3 and w.read("splits").count() == 4
+    assert w.read("metrics").first().r_at_5 == 1.0
+    nodes, edges = R.read_graph(spark, w.path("graph"))
+    assert nodes.where("node_type = 'paper'").count() == 4 and edges.where("relation_type = 'contains'").count() > 5
+    assert steps.run(w, skip_if_exists=True) == [] and steps.run(w, "extract", skip_if_exists=True) == []
+    assert steps.run(w, "evaluate") == ["evaluate"]
+    with pytest.raises(ValueError):
+        steps.run(w, "nothing")
+
+
+def test_other_modes(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"papers": PAPERS}))
+    (tmp_path / "q.json").write_text(json.dumps({"queries": [{"query_paper_id": "q", "context": "use", "ground_truth": ["a", "c"]}]}))
+    (tmp_path / "c.yaml").write_text("recommend:\n  recommended: 1\n  gamma: 0.5\nother:\n  deep:\n    key: 3\n")
+    p, out = ["--papers", str(tmp_path / "p.json")], str(tmp_path / "o")
+    main(["test", *p, "--queries", str(tmp_path / "q.json"), "--out", out, "--config", str(tmp_path / "c.yaml")])
+    assert spark.read.json(f"{out}/metrics").count() == 1 and spark.read.json(f"{out}/recommendations").count() <= 5
+    main(["inference", *p, "--query-id", "q", "--context", "use", "--out", f"{out}-i"])
+    assert spark.read.json(f"{out}-i").where("paper_id = 'a'").count() == 1
+    main(["train", *p, "--out", f"{out}-t"])
+    assert spark.read.parquet(f"{out}-t/splits").count() == 4
+    main(["demo", "--out", f"{out}-d"])
+    assert {r.paper_id for r in spark.read.json(f"{out}-d").collect()} <= {"first", "second", "third"}
+    with pytest.raises(ValueError):
+        main(["inference", *p, "--query-id", "nobody", "--context", "use", "--out", f"{out}-n"])
+    with pytest.raises(SystemExit):
+        main(["evaluate", *p, "--out", out])
+    c = load_config(spark, str(tmp_path / "c.yaml"))
+    assert c.other.deep.key == c["other.deep.key"] == 3 and c.get("other.none", 1) == 1 and "recommend.gamma" in c and "no" not in c
+    assert settings_from(c, Settings, "recommend") == Settings(recommended=1, gamma=0.5)
+    assert Settings(recommended=4, retrieved=None).pool == 20 and Settings(recommended=40).pool == 80
