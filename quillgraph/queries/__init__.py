@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import graph, ingest, metrics, more, scores, storage, texts  # noqa: E402,F401
+from . import graph, hooks, ingest, metrics, more, scores, storage, texts  # noqa: E402,F401

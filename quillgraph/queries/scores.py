@@ -196,7 +196,8 @@ def rerank(t: Tables) -> DataFrame:
 
 
 def by_rank(values: tuple[str, ...], default: str) -> str:
-    return "CASE rank " + " ".join("WHEN {} THEN '{}'".format(k, v.replace("'", "''")) for k, v in enumerate(values, 1)) + f" ELSE '{default}' END"
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    return "CASE rank " + " ".join(f"WHEN {k} THEN {text(v)}" for k, v in enumerate(values, 1)) + f" ELSE {text(default)} END"
 
 
 @query(
