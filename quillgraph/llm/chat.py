@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import before_each, let
+
 START, END = "<|im_start|>", "<|im_end|>"  # fixed values: the template's control strings
 
 
@@ -63,19 +65,13 @@ def parse(formatted: Column) -> Column:
         text = F.substring(p, cut + F.lit(1), F.length(p) - F.length(tail) - cut)
         return F.struct(unescape_role(F.substring(p, F.lit(1), cut - 1)).alias("role"), unescape(text).alias("text"), cut.alias("cut"), F.length(text).alias("length"), F.length(p).alias("size"))
 
-    turns = F.transform(body, turn)
-    # where each piece begins, from the sizes of those before it
-    first = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int,length:int>>").alias("out"))
-    placed = F.aggregate(
-        turns,
-        first,
-        lambda acc, t: F.struct(
-            (acc["at"] + len(START) + t["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(t["role"].alias("role"), t["text"].alias("text"), (acc["at"] + len(START) + t["cut"]).alias("start"), t["length"].alias("length")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when((F.element_at(pieces, 1) == "") & F.forall(body, good), placed)
+    def placed(turns: Column) -> Column:
+        # where each piece begins, from the sizes of those before it
+        at = before_each(F.transform(turns, lambda t: len(START) + t["size"]), "int", lambda a, b: a + b, F.lit(0))
+        spot = lambda t, at: F.struct(t["role"].alias("role"), t["text"].alias("text"), (1 + at + len(START) + t["cut"]).alias("start"), t["length"].alias("length"))
+        return F.zip_with(turns, at, spot)
+
+    return F.when((F.element_at(pieces, 1) == "") & F.forall(body, good), let(F.transform(body, turn), placed))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

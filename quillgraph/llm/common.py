@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_path  # noqa: F401
 
+PART = 256  # elements of an array that a running total takes at once
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -24,6 +26,32 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def before_each(values: Column, kind: str, merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array, merge (an associative function) over all elements before it.
+
+    Folded in parts of PART elements and then over the parts, so an array of m elements is copied some m / PART times less
+    often than by one fold.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(zero.alias("at"), none.alias("out"))
+    step = lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def joined(parts: Column) -> Column:
+        bases = F.aggregate(F.transform(parts, lambda p: p["at"]), start, step, lambda a: a["out"])
+        return F.flatten(F.zip_with(parts, bases, lambda p, b: F.transform(p["out"], lambda v: merge(b, v))))
+
+    def split(all_: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(PART))
+        return let(F.transform(starts, lambda i: F.aggregate(F.slice(all_, i + 1, PART), start, step)), joined)
+
+    return let(values, split)
+
+
 def expand(left: np.ndarray, start: np.ndarray, count: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of each of left with start, start + 1 ... (count of them), chunk pairs at once; a row's pairs may be cut."""
     ends = np.cumsum(count)

@@ -28,14 +28,13 @@ columns are ignored by `scan` and kept by `redact`.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, shuffle_partitions
+from .common import before_each, free_name, let, materialize, shuffle_partitions
 
 # The base patterns, their least lengths and the order of kinds
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,7 +50,7 @@ Z = 3.29  # a test rejects randomness beyond so many deviations
 PRIOR = 200  # evenly spread pairs of symbols added to the corpus's, so that few words give little evidence
 WORD = 12  # least length of the words by which the combination is standardised
 SHRINK = 100  # words of mean deviation 0 and variance 1 added to them
-PART = 256  # elements of an array that a running total takes at once
+CENTRE = 0.25  # how far their mean deviation may lie from 0
 SPAN = "array<struct<start:int,end:int>>"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -71,32 +70,6 @@ ENCODINGS = [
 ]
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _before(values: Column, kind: str, merge: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """For each element of an array, merge (an associative function) over all elements before it.
-
-    Folded in parts of PART elements and then over the parts, so an array of m elements is copied some m / PART times less
-    often than by one fold.
-    """
-    none = F.array().cast(f"array<{kind}>")
-    start = F.struct(zero.alias("at"), none.alias("out"))
-    step = lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-
-    def joined(parts: Column) -> Column:
-        bases = F.aggregate(F.transform(parts, lambda p: p["at"]), start, step, lambda a: a["out"])
-        return F.flatten(F.zip_with(parts, bases, lambda p, b: F.transform(p["out"], lambda v: merge(b, v))))
-
-    def split(all_: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(PART))
-        return _let(F.transform(starts, lambda i: F.aggregate(F.slice(all_, i + 1, PART), start, step)), joined)
-
-    return _let(values, split)
-
-
 def _placed(text: Column, pattern: str, least: int, group: int) -> Column:
     """Spans of the leftmost non-overlapping matches of pattern whose group has the least length.
 
@@ -107,12 +80,12 @@ def _placed(text: Column, pattern: str, least: int, group: int) -> Column:
     sized = F.arrays_zip(lengths(F.split(text, pattern)).alias("gap"), all_(0).alias("size"), all_(group).alias("value"))
 
     def spans(told: Column) -> Column:
-        at = _before(F.transform(told, lambda x: x["gap"] + x["size"]), "int", lambda a, b: a + b, F.lit(0))
+        at = before_each(F.transform(told, lambda x: x["gap"] + x["size"]), "int", lambda a, b: a + b, F.lit(0))
         found = F.zip_with(at, told, lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))
         return F.transform(F.filter(found, lambda s: s["value"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
     # the last gap has no match behind it
-    return F.when(text.rlike(pattern), _let(F.filter(sized, lambda x: x["size"].isNotNull()), spans)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(F.filter(sized, lambda x: x["size"].isNotNull()), spans)).otherwise(F.array().cast(SPAN))
 
 
 def _encoding(token: Column) -> Column:
@@ -193,8 +166,10 @@ def battery(docs: DataFrame, text_col: str = "text") -> list[Ordinary]:
     z = long.select("t.abc", _tested(F.col("t"), tests)["z"].alias("z"))
     for row in z.groupBy("abc").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("sum"), F.sum(F.col("z") * F.col("z")).alias("squares")).collect():
         o, n = tests[row.abc], row.n + SHRINK
-        o.centre = row["sum"] / n
-        o.spread = math.sqrt((row.squares + SHRINK) / n - o.centre**2)
+        mean = row["sum"] / n
+        # held within what a mean of three tests can have, as some encodings' words are mostly keys themselves
+        o.centre = min(max(mean, -CENTRE), CENTRE)
+        o.spread = min(max(math.sqrt((row.squares + SHRINK) / n - mean**2), 0.5), 1.0)
     return tests
 
 
@@ -270,7 +245,7 @@ def _evidence(t: Column, tests: list[Ordinary]) -> Column:
     of = lambda name: F.get(F.array(*[F.lit(float(getattr(o, name))) for o in tests]), t["abc"])
     centre, spread = of("centre"), of("spread")
     judged = lambda x: F.when(x["random"], -F.log(_upper_tail((x["z"] - centre) / spread))).otherwise(0.0)
-    return _let(_tested(t, tests), judged)
+    return let(_tested(t, tests), judged)
 
 
 def find(docs: DataFrame, tests: list[Ordinary], text_col: str = "text", found_col: str = "found") -> DataFrame:
@@ -350,7 +325,7 @@ def redact(docs: DataFrame, rate: float = 0.05, mask: str = "[SECRET]", text_col
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.transform(all_spans(F.col(found_col), thresholds(found, rate, found_col)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     # what each span, in order, leaves of the text between it and those before it
-    seen = _before(F.transform(F.col(spans_col), lambda s: s["end"]), "int", F.greatest, F.lit(0))
+    seen = before_each(F.transform(F.col(spans_col), lambda s: s["end"]), "int", F.greatest, F.lit(0))
     last = F.coalesce(F.array_max(F.transform(F.col(spans_col), lambda s: s["end"])), F.lit(0))
     piece = lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mask))).otherwise("")
     clean = F.concat(F.array_join(F.zip_with(F.col(spans_col), seen, piece), ""), F.substring(text, last + 1, F.length(text)))
