@@ -8,7 +8,8 @@ radius differing bits leave untouched somewhere, keyed by those blocks.
 Everything is DataFrame functions. Two of the 64 votes share a long, so a text may weigh up to 2^31.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero; equal texts have equal
-fingerprints; repeated rows each get their own row; null ids come last in the descending order of ids; a single
+fingerprints; repeated rows each get their own row; null ids come last in the descending order of ids, and
+rows of one id come by the XXH64 of their text; a single
 document is its own next; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -58,66 +59,73 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, place, doc_id, text, next_id, next_text): each row with the next by descending id, the first after the last.
+    """(bucket, place, doc_id, text, next_id, next_text): each row with the next by descending id (null ids last, rows of
+    one id by hash of the text), the first after the last.
 
-    Ids are dealt by range into buckets, bounded by ids that occur, and each bound's rows also go to the bucket
-    above, as what comes next after its last row. So one shuffle brings all texts together and no task sorts all.
+    Ids are dealt by range into buckets, and an id with more rows than a bucket should hold has buckets of its own, by
+    ranges of the hash; so one shuffle brings all texts together and no task sorts all. The last row of a bucket gets
+    the first of the next one by a join of one row a bucket.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     parts = min(2000, 4 * shuffle_partitions(docs.sparkSession))
-    found = rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20_000).alias("b"), F.max("doc_id").alias("top")).first()
-    bounds = sorted(set(found.b or []))
-    at = _bucket(F.col("doc_id"), bounds)
-    is_bound = F.get(F.array(*[F.lit(b) for b in bounds]), at) == F.col("doc_id") if bounds else F.lit(False)
-    spot = lambda bucket, late: F.struct(bucket.alias("bucket"), F.lit(late).alias("late"))
-    none = F.array().cast("array<struct<bucket:int,late:int>>")
-    spots = F.concat(
-        F.array(spot(at, 0)),
-        F.when(is_bound, F.array(spot(at + 1, 1))).otherwise(none),
-        F.when(F.col("doc_id") == F.lit(found.top), F.array(spot(F.lit(0), 2))).otherwise(none),
-    )
-    rows = rows.select("doc_id", "text", F.explode(spots).alias("s")).select("s.*", "doc_id", "text")
-    order = Window.partitionBy("bucket").orderBy("late", F.col("doc_id").desc_nulls_last(), "text")
-    first = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select(
-        "bucket",
-        F.row_number().over(order).alias("place"),
-        "late",
-        "doc_id",
-        "text",
-        F.lead("doc_id").over(order).alias("next_id"),
-        F.coalesce(F.lead("text").over(order), F.when(F.lit(found.top is None), F.first("text").over(first))).alias("next_text"),
-    )
-    return rows.where(F.col("late") == 0).drop("late")
-
-
-def within_radius(fps: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
-    """(a, b): all pairs a < b of the distinct fingerprints fps (fp: long) that differ in at most radius bits.
-
-    64 bits are cut into radius + spare blocks; any pair within the radius agrees in some `spare` of them. A pair is
-    returned by the first table that holds it.
-    """
+    found = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20_000).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    fair = 2 * found.n // parts + 1
+    many = {r.doc_id: r["count"] // fair + 1 for r in rows.groupBy("doc_id").count().where(F.col("count") > fair).collect()}  # parts / 2 rows at most
+    own = [i for i in many if i is not None]
+    bounds = sorted({*(found.b or []), *own, *(i - 1 for i in own if i > -(1 << 63))})
+    pieces = F.when(F.col("doc_id").isNull(), F.lit(many.get(None, 1))).otherwise(F.lit(1))
+    if own:
+        pieces = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i in own for x in (i, many[i])]), F.col("doc_id")), pieces)
+    piece = F.least(F.floor((F.col("h") / float(1 << 64) + 0.5) * pieces).cast("int"), pieces - 1)
+    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_bucket(F.col("doc_id"), bounds))
+    rows = rows.withColumn("bucket", at.cast("long") * (1 << 20) - piece)  # the order is by descending bucket
+    there = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # about parts rows
+    if not there:
+        return rows.select("bucket", F.lit(1).alias("place"), "doc_id", "text", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "h", "text")
+    last = F.lead(F.lit(False), 1, True).over(order).alias("last")
+    placed = rows.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("doc_id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text"), last)
+    before = F.create_map(*[F.lit(x) for b, above in zip(there, [*there[1:], there[0]], strict=True) for x in (b, above)])
+    firsts = placed.where("place = 1").select(F.element_at(before, F.col("bucket")).alias("bucket"), F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
+    joined = placed.join(firsts, "bucket")
+    then = lambda a, b: F.when(F.col("last"), F.col(a)).otherwise(F.col(b)).alias(b)
+    return joined.select("bucket", "place", "doc_id", "text", then("first_id", "next_id"), then("first_text", "next_text"))
+
+
+def _meeting(fps: DataFrame, radius: int, spare: int) -> DataFrame:
+    """(l.a, l.n, r.b, r.m) of pairs a < b of rows fps (fp, n) within the radius, each from the first table that holds it."""
     blocks = radius + spare
     edges = [64 * k // blocks for k in range(blocks + 1)]
     block = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(blocks)]
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     masks = [signed(sum(block[k] for k in chosen)) for chosen in combinations(range(blocks), spare)]
     table = F.array(*[F.lit(m) for m in masks])
-    keyed = fps.select("fp", F.posexplode(F.transform(table, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
-    a, b = keyed.select(F.col("fp").alias("a"), "t", "key"), keyed.select(F.col("fp").alias("b"), "t", "key")
+    keyed = fps.select("fp", "n", F.posexplode(F.transform(table, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
+    a, b = keyed.select(F.col("fp").alias("a"), "n", "t", "key"), keyed.select(F.col("fp").alias("b"), F.col("n").alias("m"), "t", "key")
     apart = F.col("a").bitwiseXOR(F.col("b"))
     earlier = F.exists(F.slice(table, 1, F.col("l.t")), lambda m: apart.bitwiseAND(m) == 0)
     on = (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & ~earlier
-    return a.alias("l").join(b.alias("r"), on).select("a", "b")
+    return a.alias("l").join(b.alias("r"), on)
+
+
+def within_radius(fps: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
+    """(a, b): all pairs a < b of the distinct fingerprints fps (fp: long) that differ in at most radius bits.
+
+    64 bits are cut into radius + spare blocks; any pair within the radius agrees in some `spare` of them. A pair is
+    returned by the first table that holds it. Documents of equal fingerprints are one; neighbour_counts doesn't list pairs.
+    """
+    return _meeting(fps.select("fp", F.lit(1).alias("n")), radius, spare).select("a", "b")
+
 
+def neighbour_counts(fps: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
+    """(fp, n_near) for the distinct fingerprints of rows (fp): how many other rows lie within the radius of one.
 
-def neighbour_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, n_near) for the distinct fingerprints of rows (fp): how many other rows lie within the radius of one."""
-    counts = materialize(fps.groupBy("fp").count(), "fingerprint-counts")
-    pairs = within_radius(counts, radius)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(counts, F.col("b") == F.col("fp")).groupBy("a").agg(F.sum("count").alias("n"))
-    return counts.join(near, F.col("fp") == F.col("a"), "left").select("fp", (F.col("count") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"))
+    Pairs are added up in the tasks that find them, so what is shuffled grows with the fingerprints."""
+    counts = materialize(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fingerprint-counts")
+    either = F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("m").alias("k")), F.struct(F.col("b").alias("fp"), F.col("n").alias("k")))).alias("e")
+    near = _meeting(counts, radius, spare).select(either).groupBy(F.col("e.fp").alias("fp")).agg(F.sum("e.k").alias("others"))
+    return counts.join(near, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,8 @@ def rows():
 
 
 def expect(data):
-    order = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
+    hashed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)  # noqa: E731  signed order
+    order = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), hashed(x[1])))
     for k, (d, t) in enumerate(order):
         t, n = t or "", order[(k + 1) % len(order)][1] or ""
         h = len(t) // 2
@@ -53,6 +54,26 @@ def test_null_ids_and_one_row(spark):
         assert sorted(got, key=str) == sorted((w[:7] for w in expect(data)), key=str)
 
 
+def test_most_rows_under_one_id(spark):
+    r = random.Random(6)
+    words = lambda: " ".join("".join(r.choices("abcd", k=4)) for _ in range(5))
+    data = [(None, words()) for _ in range(150)] + [(5, words()) for _ in range(150)] + [(i, words()) for i in range(40)] + [(-(1 << 63), words()), ((1 << 63) - 1, words())]
+    docs = spark.createDataFrame([(*x, 0, "", "") for x in data], SCHEMA)
+    assert sorted((tuple(x)[:7] for x in P.edited_fingerprints(docs).collect()), key=str) == sorted((w[:7] for w in expect(data)), key=str)
+    held = [x["count"] for x in P.with_next(docs).groupBy("bucket").count().collect()]
+    assert sum(held) == len(data) and max(held) < 80
+
+
+def test_counts_of_a_dense_group(spark):
+    r = random.Random(9)
+    center = r.getrandbits(64)
+    fps = [center ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(300)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = {x: sum(((x ^ y) & ((1 << 64) - 1)).bit_count() <= 3 for y in signed) - 1 for x in set(signed)}
+    assert {x.fp: x.n_near for x in P.neighbour_counts(frame).collect()} == want
+
+
 def test_within_radius(spark):
     r = random.Random(3)
     fps = {r.getrandbits(64) for _ in range(40)}
