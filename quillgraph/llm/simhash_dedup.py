@@ -11,6 +11,7 @@ A null id is never the name of a component unless nothing else is in it. Columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ CHUNK = 2_000_000  # pairs compared at once
 SET_BLOCK, SET_CHUNK = 512, 256  # the same for whole sets of shingles
 SETS = 16 << 20  # bytes of sets that a task holds, about
 #: Bits of sets with Jaccard similarity 0.8 differ with p = acos(2 * 0.8 / 1.8) / pi = 0.1515: 1 - (1 - (1 - p)^16)^64
-#: = 0.992 of such pairs agree in a table, and 0.9997 of them differ in at most 34 of 128 bits
+#: = 0.992 of such pairs agree in one of 64 tables of 16 bits, and 0.9997 of them differ in at most 34 of 128 bits
+DIFFER, MISSED = 0.1515, 0.008
+BITS, MATES = 16, 256  # least bits of a table's key, and sets that one may hold by chance before its keys grow
 TABLES, NEAR = 64, 34
 
 
@@ -171,19 +174,46 @@ def similar(t: dict[str, np.ndarray], least: float) -> Callable[[np.ndarray, np.
     return near
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
+def tables_for(count: int) -> list[np.ndarray]:
+    """Which of the TABLES x 16 bits each table's key takes, for count sets.
+
+    Up to MATES x 2^16 sets, each 16 successive bits are a table. Beyond, keys grow with the logarithm of the count, so
+    that a key holds no more than MATES unrelated sets, and there are so many tables of bits chosen at random that as few
+    pairs are missed; the bits of one pair differ a little more or less than on average, so p has a margin.
+    """
+    width = max(BITS, math.ceil(math.log2(max(count, 1) / MATES)))
+    size = TABLES * 16
+    if width == BITS:
+        return list(np.arange(size).reshape(TABLES, BITS))
+    margin = math.sqrt(DIFFER * (1 - DIFFER) / size)
+    many = math.ceil(math.log(MISSED) / math.log(1 - (1 - DIFFER - margin) ** width))
+    r = np.random.default_rng(11)
+    return [np.sort(r.choice(size, width, replace=False)) for _ in range(many)]
+
+
+def table_keys(bits: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """(rows, tables) keys of rows of packed bits; the table's number is part of the key."""
+    flat = np.unpackbits(bits, axis=1)
+    out = np.empty((len(bits), len(tables)), np.int64)
+    for k, own in enumerate(tables):
+        out[:, k] = flat[:, own] @ (1 << np.arange(len(own), dtype=np.int64)) + (k << 40)
+    return out
+
+
+def candidate_links(nodes: DataFrame, tables: list[np.ndarray] | None = None) -> DataFrame:
     """(src, dst: long): links that connect nodes (node: long, bits: binary) which agree in a table and are near."""
+    count = nodes.count()
+    tables = tables_for(count) if tables is None else tables
 
     def enumerate_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "node", "probe", "a", "b"]
-        mark = np.arange(TABLES, dtype=np.int64) << 16
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(node), 10_000):
-                bits = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)[lo : lo + 10_000]), np.uint8).reshape(-1, TABLES * 2 + 16)
-                key = np.ascontiguousarray(bits[:, : TABLES * 2]).view(np.uint16).astype(np.int64) + mark
+            for lo in range(0, len(node), 5_000):
+                bits = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)[lo : lo + 5_000]), np.uint8).reshape(-1, TABLES * 2 + 16)
+                key = table_keys(bits[:, : TABLES * 2], tables)
                 check = np.ascontiguousarray(bits[:, TABLES * 2 :]).view(np.int64)
-                each, a, b = (np.repeat(c, TABLES) for c in (node[lo : lo + 10_000], check[:, 0], check[:, 1]))
+                each, a, b = (np.repeat(c, len(tables)) for c in (node[lo : lo + 5_000], check[:, 0], check[:, 1]))
                 rows = [key.ravel(), each, np.zeros(len(each), bool), a, b]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
 
@@ -192,7 +222,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         return lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= NEAR
 
     entries = nodes.select("node", "bits").mapInArrow(enumerate_tables, "key long, node long, probe boolean, a long, b long")
-    parts = max(shuffle_partitions(nodes.sparkSession), int(nodes.count() * TABLES / 400_000) + 1)
+    parts = max(shuffle_partitions(nodes.sparkSession), count * len(tables) // 400_000 + 1)
     return block_links(entries, near, BLOCK, parts, CHUNK, "simhash-coarse")
 
 
@@ -245,8 +275,8 @@ def drop_near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5, id
     """One row, all columns, of each group of near-duplicates: that with the smallest id (null last), then text hash.
 
     Groups are connected by pairs whose whole sets of word shingles have a Jaccard similarity of least or more.
-    Candidates agree in one of TABLES blocks of 16 SimHash bits and within NEAR of 128 others; TABLES finds over
-    99 % of the pairs at similarity 0.8 and more of the closer ones. Every link is then verified on the sets.
+    Candidates agree in the SimHash bits of a table and within NEAR of 128 others; the tables find over 99 % of the
+    pairs at similarity 0.8 and more of the closer ones. Every link is then verified on the sets.
     """
     each, of = _similar(docs, least, words, id_col, text_col)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quillgraph.llm import simhash_dedup as S
 from quillgraph.llm.common import contracted
 
@@ -47,6 +49,21 @@ def test_recall_and_precision_at_the_threshold(spark):
     assert recall >= 0.985 and at_border >= 0.97 and precision == 1.0
 
 
+def test_tables_keep_recall_as_keys_grow():
+    rows = edited_pairs(400, random.Random(15))
+    sets = [shingle_set(t) for _, t in rows]
+    true = [k for k in range(0, len(rows), 2) if 0.8 <= jaccard(sets[k], sets[k + 1]) < 0.85]
+    bits = np.frombuffer(b"".join(S.signature(S.shingles(t)).tobytes() for _, t in rows), np.uint8).reshape(len(rows), -1)[:, : S.TABLES * 2]
+    sizes = []
+    for count in (1000, 1 << 26, 1 << 34):
+        tables = S.tables_for(count)
+        sizes.append((len(tables), len(tables[0])))
+        keys = S.table_keys(bits, tables)
+        met = [(keys[k] == keys[k + 1]).any() for k in true]
+        assert len(true) > 60 and sum(met) >= 0.97 * len(true), sizes
+    assert sizes[0] == (64, 16) and sizes[1][1] == 18 and sizes[2][1] == 26 and sizes[2][0] < 600
+
+
 def test_equal_simhash_bits_are_not_enough(spark):
     # one shingle repeated outvotes the rest of the text, but the sets share one shingle of many
     r = random.Random(3)
