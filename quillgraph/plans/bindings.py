@@ -117,13 +117,19 @@ class Tables:
 
     @property
     def citations(self) -> DataFrame:
-        a, b = self.ordered.alias("a"), self.ordered.alias("b")
-        pairs = a.join(b, F.col("a.o_custkey") == F.col("b.o_custkey")).where((F.col("a.n") > F.col("b.n")) & (F.col("a.n") - F.col("b.n") <= STEPS))
-        return pairs.select(F.col("a.id").alias("source"), F.col("b.id").alias("target"), (F.col("a.n") - F.col("b.n")).cast("long").alias("step"))
+        # the orders before an order stand next to it, so none has to be joined
+        by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+        named = self.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), "o_custkey", "o_orderdate", "o_orderkey")
+        before = F.array(*[F.struct(F.lag("id", k).over(by_date).alias("target"), F.lit(k).cast("long").alias("step")) for k in range(1, STEPS + 1)])
+        rows = named.select(F.col("id").alias("source"), before.alias("before")).select("source", F.explode("before").alias("b"))
+        return rows.where("b.target IS NOT NULL").select("source", "b.target", "b.step")
 
     @property
     def ranked(self) -> DataFrame:
-        q, c = self.ordered.alias("q"), self.ordered.alias("c")
-        pairs = q.join(c, (F.col("q.o_custkey") == F.col("c.o_custkey")) & (F.col("q.id") != F.col("c.id")))
-        rank = F.row_number().over(Window.partitionBy("q.id").orderBy(F.desc("c.o_totalprice"), "c.id"))
-        return pairs.select(F.col("q.id").alias("query_id"), F.col("c.id").alias("paper_id"), rank.cast("long").alias("rank"))
+        # an order's rank among a customer's others is its rank among all, less one if the query stands before it
+        by_value = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "id")
+        named = self.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), "o_custkey", "o_totalprice")
+        placed = named.select("id", "o_custkey", F.row_number().over(by_value).cast("long").alias("place"))
+        q = placed.select(F.col("id").alias("query_id"), "o_custkey", F.col("place").alias("own"))
+        pairs = q.join(placed.withColumnRenamed("id", "paper_id"), "o_custkey").where("place <> own")
+        return pairs.select("query_id", "paper_id", (F.col("place") - (F.col("place") > F.col("own")).cast("long")).alias("rank"))
