@@ -5,7 +5,8 @@ quality classifier -> SimHash near-dedup -> secret scan -> source mixing -> BPE
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared
 folder and reads it again as the next stage's docs. All but the last return the columns of documents. Null texts count
 as empty, null ids and sources are kept as they are, repeated rows are documents of their own, except that the
-near-duplicate stage keeps one row of each group, and an empty table gives empty results.
+near-duplicate stage keeps one row of each group, and an empty table gives empty results. Columns of docs other than
+those of documents are ignored.
 """
 
 from __future__ import annotations
@@ -26,23 +27,25 @@ WORDS, SIMILARITY = 5, 0.8
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-level field rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep_good(docs, quality.train(docs, labels), threshold=0.3).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    return quality.keep_good(docs, quality.train(docs, labels), threshold=0.3)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return simhash_dedup.drop_near_duplicates(docs, least=SIMILARITY, words=WORDS).select(*COLUMNS)
+    return simhash_dedup.drop_near_duplicates(docs.select(*COLUMNS), least=SIMILARITY, words=WORDS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows."""
-    clean = secrets.redact(docs.withColumn("_before", F.length("text")))
+    clean = secrets.redact(docs.select(*COLUMNS).withColumn("_before", F.length("text")))
     size = F.when(F.length("text") == F.col("_before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return clean.withColumn("n_chars", size).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
+    docs = docs.select(*COLUMNS)
     mixed = mixing.mix(docs)
     taken = mixed.where(F.col("copies") > 0).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
     taken = materialize(taken.withColumnsRenamed({"doc_id": "d", "source": "s"}), "pipeline-mix")

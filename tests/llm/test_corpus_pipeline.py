@@ -84,3 +84,13 @@ def test_run_and_empty_tables(spark, tables, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns(spark, tables):
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = ["d", "s", "words", "copies", "copy", "size", "fp", "node", "key", "score", "ids", "_found", "_spans", "_before", "_d", "_h", "_n", "id", "y", "found"]
+    more = docs.selectExpr("*", *[f"'x' AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = (sorted(map(str, stage(spark, frame, path).collect())) for frame in (docs, more))
+        assert a == b, name
