@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.numbers import lookup, sigmoid
 from ..functions.text import jaccard, words
-from ..functions.vectors import dot, normalized
+from ..functions.vectors import dot_of, normalized
 from ..sources.shared import materialize
 
 
@@ -33,12 +33,15 @@ def type_profiles(mentions: DataFrame, units: DataFrame, dim: int | None = None)
     return each.select("paper_id", "entity_type", F.array(*[F.col(f"x{k}") for k in range(dim)]).cast("array<double>").alias("v"), "w")
 
 
-def type_similarity(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """AGG16: (query_id, paper_id, entity_type, similarity) of pairs (query_id, paper_id), for types that both have."""
+def type_similarity(pairs: DataFrame, profiles: DataFrame, dim: int | None = None) -> DataFrame:
+    """AGG16: (query_id, paper_id, entity_type, similarity) of pairs (query_id, paper_id), for types that both have; dim
+    is read from the profiles if not given."""
+    if dim is None:
+        dim = profiles.agg(F.max(F.size("v")).alias("d")).first().d or 0
     q = profiles.select(F.col("paper_id").alias("query_id"), "entity_type", F.col("v").alias("qv"), F.col("w").alias("qw"))
     both = pairs.join(q, "query_id").join(profiles, ["paper_id", "entity_type"])
     scale = F.col("qw") * F.col("w")
-    return both.select("query_id", "paper_id", "entity_type", F.when(scale > 0, dot(F.col("qv"), F.col("v")) / scale).otherwise(0.0).alias("similarity"))
+    return both.select("query_id", "paper_id", "entity_type", F.when(scale > 0, dot_of(F.col("qv"), F.col("v"), dim) / scale).otherwise(0.0).alias("similarity"))
 
 
 def entity_similarity(pairs: DataFrame, by_type: DataFrame) -> DataFrame:
