@@ -1,14 +1,15 @@
 """WARC archives of web pages, dictionary-compressed.
 
-Each task writes one .warc.zst file into a folder that all executors share: a dictionary is built with Zstandard from
-the file's first records, stored in a leading skippable frame (magic 0x184D2A5D), and each record then is a frame of
-its own, compressed with the dictionary. Files are written under a temporary name and renamed, so a task that runs
+Each task writes .warc.zst files into a folder that all executors share, a new one where the last has ROLL bytes: a
+dictionary is built with Zstandard from the file's first records, stored in a leading skippable frame (magic
+0x184D2A5D), and each record then is a frame of its own, compressed with the dictionary; the first is a warcinfo record. Files are written under a temporary name and renamed, so a task that runs
 again after a lost executor replaces its file whole.
 
 Of records with equal payloads of at least `least` bytes the one with the largest page id is a response and the others
 are revisits that refer to it; smaller payloads always are responses.
 
-Defined results: a null html is an empty payload; a null url is written as an empty target; a null page id is written
+Defined results: a null html is an empty payload; a null url is written as an empty target, and white space and control
+characters within one are percent-encoded; a null page id is written
 and read back as null and is a revisit only if another page has the payload; repeated rows that share the largest id
 are each responses; an empty table gives no archives and an empty result; other columns are ignored.
 """
@@ -17,9 +18,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -34,6 +38,7 @@ DICT_FRAME = 0x184D2A5D  # fixed value: magic of the skippable frame that holds
 DICT_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20  # records that a file's dictionary is built from
 LEVEL = 3
+ROLL = 1 << 30  # compressed bytes after which a task begins another file
 DATE = "2024-01-01T00:00:00Z"  # records carry a fixed date, so that archives of equal pages are equal
 REVISIT = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"  # fixed value: the profile's name
 
@@ -53,6 +58,21 @@ def assign(pages: DataFrame, least: int = 1000) -> DataFrame:
     )
 
 
+INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\n"
+
+
+def target(url: str) -> str:
+    """A URL that fits on a header line."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: quote(m.group(), safe=""), url.strip())
+
+
+def info() -> bytes:
+    """The record that describes an archive."""
+    block = b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:sha1:{hashlib.sha1(block).hexdigest()}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: the response with its payload, or a revisit with the response's HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -62,7 +82,7 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None)
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join(url.split())}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -81,25 +101,27 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(sample)[-DICT_BYTES:].rjust(16, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def write_archive(records: Iterator[bytes], out) -> int:
-    """Write the dictionary's frame and a frame for each record; returns how many there were."""
+def write_archive(records: Iterator[bytes], out, most: int = ROLL) -> int:
+    """Write the dictionary's frame and a frame for each record, until `most` bytes are written; returns how many records
+    there were, the leading warcinfo not among them."""
     first, size = [], 0
     for r in records:
         first.append(r)
         size += len(r)
-        if size >= SAMPLE_BYTES:
+        if size >= min(SAMPLE_BYTES, most):
             break
     if not first:
         return 0
     d = dictionary(first)
     packed = zstandard.ZstdCompressor(level=LEVEL).compress(d.as_bytes())
-    out.write(struct.pack("<II", DICT_FRAME, len(packed)) + packed)
     c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=True)
+    written = out.write(struct.pack("<II", DICT_FRAME, len(packed)) + packed) + out.write(c.compress(info()))
     n = 0
-    for some in (first, records):
-        for r in some:
-            out.write(c.compress(r))
-            n += 1
+    for r in chain(first, records):
+        written += out.write(c.compress(r))
+        n += 1
+        if n >= len(first) and written >= most:
+            break
     return n
 
 
@@ -139,22 +161,22 @@ def _page(urn: str | None) -> int | None:
     return None if name == "null" else int(name)
 
 
-def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
+def write(pages: DataFrame, folder: str, least: int = 1000, roll: int = ROLL) -> DataFrame:
     """Write pages (page_id, url, html) as archives in folder, a URI that all executors reach; (path, records) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        part = TaskContext.get().partitionId()
-        path, own = f"{root}/part-{part:05d}.warc.zst", f"{root}/.part-{part:05d}-{uuid.uuid4().hex}"
+        part, paths, counts = TaskContext.get().partitionId(), [], []
         store.create_dir(root, recursive=True)
         rows = (r for b in batches for lo in range(0, b.num_rows, 64) for r in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True))
-        with store.open_output_stream(own, compression=None) as out:
-            n = write_archive((record(i, u, h.encode("utf-8", "surrogatepass"), t) for i, u, h, t in rows), out)
-        if n:
+        records = (record(i, u, h.encode("utf-8", "surrogatepass"), t) for i, u, h, t in rows)
+        while (head := next(records, None)) is not None:
+            path, own = f"{root}/part-{part:05d}-{len(paths):04d}.warc.zst", f"{root}/.part-{part:05d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(own, compression=None) as out:
+                counts.append(write_archive(chain([head], records), out, roll))
             store.move(own, path)
-        else:
-            store.delete_file(own)
-        yield pa.RecordBatch.from_pydict({"path": [path] * (n > 0), "records": [n] * (n > 0)}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+            paths.append(path)
+        yield pa.RecordBatch.from_pydict({"path": paths, "records": counts}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
     return assign(pages, least).mapInArrow(run, "path string, records long")
 
@@ -183,6 +205,8 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 rows, size = [], 0
                 with store.open_input_stream(path, compression=None) as raw:
                     for r in read_archive(raw):
+                        if r.startswith(INFO):
+                            continue
                         rows.append(one(r))
                         size += len(r)
                         if size > 8 << 20:
