@@ -47,6 +47,7 @@ SIDE = LENGTH - FIRST  # bytes of an anchor's context on either side
 HALF = SIDE // 2
 SEGMENT = 1 << 20  # positions hashed at once
 SLICE = 1024  # documents whose anchors are combined before the shuffle
+TASK = 8 << 20  # bytes of text whose anchors one task holds
 SETTLED = 2  # in place of the 16 bits before an anchor, which are odd or 0
 LAST = (1 << 63) - 1  # what a null id counts as
 U = np.uint64
@@ -280,7 +281,8 @@ def later_windows(around: DataFrame, parts: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(doc, text_hash, first, last): spans of bytes in rows (doc, text_hash, text) to remove, last exclusive."""
-    parts = 2 * shuffle_partitions(rows.sparkSession)  # a task holds its anchors as arrays
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(rows.sparkSession), size // TASK + 1)  # a task holds its anchors as arrays
     spots = materialize(shared_anchors(anchors(rows), parts), "suffix-anchors")
     around = materialize(contexts(rows, spots.where(~F.col("covered"))), "suffix-contexts")
     later = materialize(later_windows(around, parts), "suffix-windows")
@@ -309,7 +311,8 @@ def doubled_spans(rows: DataFrame) -> DataFrame:
 
     Ranks over 1, 2, 4 and 8 bytes are the bytes themselves; the rounds rank 16, 32 and, by pairs that overlap, 50 bytes.
     """
-    parts = 4 * shuffle_partitions(rows.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(rows.sparkSession), 8 * size // TASK + 1)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
