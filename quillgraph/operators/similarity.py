@@ -11,6 +11,8 @@ from ..functions.text import jaccard, words
 from ..functions.vectors import dot_of, normalized
 from ..sources.shared import materialize
 
+SMALL = 64 << 20  # bytes of vectors that every task may hold
+
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """(entity_id, u) of rows (entity_id, v): each vector scaled to length 1, once, before it meets its mentions."""
@@ -23,22 +25,28 @@ def type_profiles(mentions: DataFrame, units: DataFrame, dim: int | None = None)
 
     The intra-type similarity is a weighted mean of cosines over all pairs; as the numerator is the inner product of
     two such sums, each paper is summed once and no pairs of entities are joined. Entities without a vector don't count.
-    Components are summed as columns, so partial sums meet before the shuffle; dim is read from the rows if not given.
+    Components are summed as columns. Up to SMALL bytes of vectors go to all tasks, and mentions are dealt by paper
+    before they meet them, so no vector is shuffled; more are joined by entity, and partial sums meet before the shuffle.
     """
-    if dim is None:
-        dim = units.agg(F.max(F.size("u")).alias("d")).first().d or 0
-    rows = mentions.join(units, "entity_id")
+    size = units.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("u")).alias("d")).first()
+    dim = (size.d or 0) if dim is None else dim
+    if size.n * dim * 8 <= SMALL:
+        rows = mentions.repartition("paper_id").join(F.broadcast(units), "entity_id")
+    else:
+        rows = mentions.join(units, "entity_id")
     sums = [F.sum(F.get("u", k) * F.col("weight")).alias(f"x{k}") for k in range(dim)]
     each = rows.groupBy("paper_id", "entity_type").agg(F.sum("weight").alias("w"), *sums)
     return each.select("paper_id", "entity_type", F.array(*[F.col(f"x{k}") for k in range(dim)]).cast("array<double>").alias("v"), "w")
 
 
-def type_similarity(pairs: DataFrame, profiles: DataFrame, dim: int | None = None) -> DataFrame:
-    """AGG16: (query_id, paper_id, entity_type, similarity) of pairs (query_id, paper_id), for types that both have; dim
-    is read from the profiles if not given."""
+def type_similarity(pairs: DataFrame, profiles: DataFrame, dim: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """AGG16: (query_id, paper_id, entity_type, similarity) of pairs (query_id, paper_id), for types that both have.
+
+    asked: the queries' profiles, where they are made apart; dim is read from the profiles if not given."""
     if dim is None:
         dim = profiles.agg(F.max(F.size("v")).alias("d")).first().d or 0
-    q = profiles.select(F.col("paper_id").alias("query_id"), "entity_type", F.col("v").alias("qv"), F.col("w").alias("qw"))
+    asked = profiles if asked is None else asked
+    q = asked.select(F.col("paper_id").alias("query_id"), "entity_type", F.col("v").alias("qv"), F.col("w").alias("qw"))
     both = pairs.join(q, "query_id").join(profiles, ["paper_id", "entity_type"])
     scale = F.col("qw") * F.col("w")
     return both.select("query_id", "paper_id", "entity_type", F.when(scale > 0, dot_of(F.col("qv"), F.col("v"), dim) / scale).otherwise(0.0).alias("similarity"))

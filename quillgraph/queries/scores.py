@@ -61,12 +61,15 @@ def part_vectors(t: Tables) -> DataFrame:
     return turn.join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id").select("entity_id", "v")
 
 
-def profiles(t: Tables) -> DataFrame:
-    return S.type_profiles(typed_mentions(t).select("paper_id", "entity_id", "entity_type", "weight"), t.once("units", lambda: S.unit_vectors(part_vectors(t))))
-
-
 def by_type(t: Tables) -> DataFrame:
-    return t.once("by_type", lambda: S.type_similarity(pairs(t), t.once("profiles", lambda: profiles(t))))
+    def make() -> DataFrame:
+        units = t.once("units", lambda: S.unit_vectors(part_vectors(t)))
+        mentions = typed_mentions(t).select("paper_id", "entity_id", "entity_type", "weight")
+        own = mentions.join(asked(t).select(F.col("query_id").alias("paper_id")), "paper_id", "left_semi")
+        dim = units.agg(F.max(F.size("u")).alias("d")).first().d or 0
+        return S.type_similarity(pairs(t), S.type_profiles(mentions, units, dim), dim, S.type_profiles(own, units, dim))
+
+    return t.once("by_type", make)
 
 
 @query("agg16_type_similarity", sql("contains entities", f"WITH {PAIRS}, {PROFILE} SELECT query_id, paper_id, entity_type, round(similarity, 6) + 0.0::DOUBLE AS similarity FROM ts"))
