@@ -63,6 +63,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """Work on texts is by row, so a file that comes in fewer splits than there are cores is dealt out first."""
+        rows, cores = self.spark.read.parquet(f"{self.dir}/documents.parquet"), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     @property
     def papers(self) -> DataFrame:
         return self.documents.select(
