@@ -27,8 +27,9 @@ def candidates(t: Tables) -> DataFrame:
     "join03_typed_pairs",
     sql(
         "contains entities",
-        f"WITH {PAIRS}, m AS (SELECT paper_id, entity_type, count(*) AS n FROM contains JOIN entities ON id = entity_id GROUP BY 1, 2) "
-        "SELECT p.source AS query_id, p.target AS paper_id, CAST(sum(a.n * b.n) AS BIGINT) AS n FROM pairs p JOIN m a ON a.paper_id = p.source JOIN m b ON b.paper_id = p.target AND b.entity_type = a.entity_type GROUP BY 1, 2",
+        f"WITH {PAIRS}, m AS MATERIALIZED (SELECT paper_id, entity_type, count(*) AS n FROM contains JOIN entities ON id = entity_id GROUP BY 1, 2), "
+        "x AS MATERIALIZED (SELECT p.source, p.target, a.entity_type, a.n FROM pairs p JOIN m a ON a.paper_id = p.source) "
+        "SELECT x.source AS query_id, x.target AS paper_id, CAST(sum(x.n * b.n) AS BIGINT) AS n FROM x JOIN m b ON b.paper_id = x.target AND b.entity_type = x.entity_type GROUP BY 1, 2",
     ),
 )
 def typed_pairs(t: Tables) -> DataFrame:
