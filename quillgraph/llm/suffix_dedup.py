@@ -15,8 +15,8 @@ repeat. Ranks are hashes that agree across documents:
 2. Pairs of ranks at the offsets before and behind the anchor rank it over its whole context, which holds all its
    windows. An anchor whose context occurs in an earlier document has all of its windows covered.
 3. Of the rest, those go on that share half a context more, on either side, with another document. Spark groups these
-   once more by rank, now with the bytes around them, and ranks each of their windows by the pair of what lies before
-   and behind the anchor; a window is covered if an earlier document has its rank.
+   once more by rank and the half context on that side, now with the bytes around them, and ranks each of their windows
+   by the pair of what lies before and behind the anchor; a window is covered if an earlier document has its rank.
 
 Before anything is shuffled, anchors are combined within each slice of documents: those whose context an earlier
 document of the slice has are settled, and are dealt out evenly. So a rank that very many documents share reaches its
@@ -48,6 +48,7 @@ HALF = SIDE // 2
 SEGMENT = 1 << 20  # positions hashed at once
 SLICE = 1024  # documents whose anchors are combined before the shuffle
 TASK = 8 << 20  # bytes of text whose anchors one task holds
+BEFORE, BEHIND = 1, 2
 SETTLED = 2  # in place of the 16 bits before an anchor, which are odd or 0
 LAST = (1 << 63) - 1  # what a null id counts as
 U = np.uint64
@@ -135,10 +136,12 @@ def _run_minima(keys: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(rank: np.ndarray, side: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose context has an earlier document, and rows that need their windows ranked."""
+def _judge(rank: np.ndarray, side: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose context has an earlier document; rows that need their windows ranked, and on which sides of the anchor:
+    BEFORE, BEHIND or both."""
+    none = np.zeros(0, int)
     if not len(rank):
-        return np.zeros(0, int), np.zeros(0, int)
+        return none, none, none
     order = np.argsort(rank, kind="stable")
     r = rank[order]
     new = np.r_[True, r[1:] != r[:-1]]
@@ -146,22 +149,22 @@ def _judge(rank: np.ndarray, side: np.ndarray, place: np.ndarray, doc: np.ndarra
     low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
     shared = np.sort(order[(low < high)[np.cumsum(new) - 1]])  # the others' ranks are unique to their document
     if not len(shared):
-        return shared, shared
+        return none, none, none
     rank, side, place, doc = rank[shared], side[shared], place[shared], doc[shared]
     covered = doc > _run_minima([side, rank], doc)
     left = np.flatnonzero(~covered)  # the first document of each context stands for all that have it
     if not len(left):
-        return shared[covered], shared[left]
+        return shared[covered], none, none
     rank, place, doc = rank[left], place[left], doc[left]
     l12, r12 = place >> U(48), place >> U(32) & U(0xFFFF)
-    longer = np.zeros(len(left), bool)
-    for half in (l12, r12):
-        longer |= (half > 0) & (_run_minima([half, rank], doc) < -_run_minima([half, rank], -doc))
-    return shared[covered], shared[left[longer]]
+    longer = np.zeros(len(left), int)
+    for half, sign in ((l12, BEFORE), (r12, BEHIND)):
+        longer |= sign * ((half > 0) & (_run_minima([half, rank], doc) < -_run_minima([half, rank], -doc)))
+    return shared[covered], shared[left[longer > 0]], longer[longer > 0]
 
 
 ROW = "rank long, side long, place long, doc long, text_hash long"
-SPOT = "doc long, text_hash long, pos int, covered boolean"
+SPOT = "doc long, text_hash long, pos int, sides int"  # 0: covered
 
 
 def _combined(rank: np.ndarray, side: np.ndarray, place: np.ndarray, doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +193,7 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def shared_anchors(found: DataFrame, parts: int) -> DataFrame:
-    """(doc, text_hash, pos, covered) of anchors that a document earlier than their own shares in part or whole."""
+    """(doc, text_hash, pos, sides) of anchors that a document earlier than their own shares in part or whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -201,20 +204,21 @@ def shared_anchors(found: DataFrame, parts: int) -> DataFrame:
         doc, th = t.column("doc").to_numpy(), t.column("text_hash").to_numpy()
         settled = place >> U(48) == U(SETTLED)
         asked = np.flatnonzero(~settled)
-        covered, open_ = _judge(rank[asked], side[asked], place[asked], doc[asked])
+        covered, open_, sides = _judge(rank[asked], side[asked], place[asked], doc[asked])
         covered, open_ = np.concatenate([np.flatnonzero(settled), asked[covered]]), asked[open_]
         at = np.concatenate([covered, open_])
         pos = (place[at] & U(0xFFFFFFFF)).astype(np.int32)
-        yes = np.r_[np.ones(len(covered), bool), np.zeros(len(open_), bool)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), pa.array(pos), pa.array(yes)], ["doc", "text_hash", "pos", "covered"])
+        sides = np.r_[np.zeros(len(covered), np.int32), sides.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), pa.array(pos), pa.array(sides)], ["doc", "text_hash", "pos", "sides"])
 
     return found.repartition(parts, "rank").mapInArrow(run, SPOT)
 
 
-def _windows(text: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _windows(text: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray, doc: np.ndarray, side_: np.ndarray) -> np.ndarray:
     """(anchors, SIDE + 1): whether the window that starts so many bytes before the anchor is in an earlier document.
 
-    text: the contexts, as rows of bytes; n, pos: their documents' sizes and their places there.
+    text: the contexts, as rows of bytes; n, pos: their documents' sizes and their places there; side_: BEFORE for windows
+    that start HALF a side or more before the anchor, BEHIND for those that end as far behind it.
     """
     many, side = len(text), np.arange(SIDE + 1)
     # ranks of what lies up to so many bytes before the anchor, and behind it, grow byte by byte
@@ -225,7 +229,7 @@ def _windows(text: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray,
         b = (behind[:, k - 1] ^ text[:, SIDE + FIRST + k - 1].astype(U) + U(1)) * U(0xD6E8FEB86659FD93)
         behind[:, k] = b ^ b >> U(31)
     start = pos[:, None] - side
-    inside = (start >= 0) & (start + LENGTH <= n[:, None])
+    inside = (start >= 0) & (start + LENGTH <= n[:, None]) & np.where(side_[:, None] == BEFORE, side >= HALF, side <= HALF)
     out = np.zeros((many, SIDE + 1), bool)
     for k in side:
         at = np.flatnonzero(inside[:, k])
@@ -235,27 +239,37 @@ def _windows(text: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray,
 
 
 def contexts(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    """(rank, doc, text_hash, pos, size, context) of the anchors spots (doc, text_hash, pos)."""
+    """(key, rank, doc, text_hash, pos, size, side, context) of the anchors spots (doc, text_hash, pos, sides), a row for
+    each side. The key is the rank with the HALF bytes on that side, which windows on that side all hold: a rank that
+    stands in very many contexts is dealt out by its neighbours.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 doc, th, text = (batch.column(c)[k].as_py() for c in range(3))
                 raw = text.encode("utf-8", "surrogatepass")
-                pos = np.unique(batch.column(3)[k].values.to_numpy())
+                found = batch.column(3)[k].values
+                at, code = (found.field(f).to_numpy() for f in ("pos", "sides"))
+                pos = np.concatenate([at[code & sign > 0] for sign in (BEFORE, BEHIND)])
+                side = np.repeat([BEFORE, BEHIND], [(code & sign > 0).sum() for sign in (BEFORE, BEHIND)]).astype(np.int32)
+                once = np.unique(pos.astype(np.int64) * 4 + side, return_index=True)[1]
+                pos, side = pos[once], side[once]
                 padded = np.frombuffer(b"\xff" * SIDE + raw + b"\xff" * SIDE, np.uint8)
                 around = padded[pos[:, None] + np.arange(FIRST + 2 * SIDE)]
                 h = _mixed_rows(around[:, SIDE : SIDE + FIRST], 1)
+                near = np.where((side == BEFORE)[:, None], around[:, SIDE - HALF : SIDE], around[:, SIDE + FIRST : SIDE + FIRST + HALF])
+                key = (h ^ _mixed_rows(np.ascontiguousarray(near), 6)) * U(0x9E3779B97F4A7C15) ^ side.astype(U)
                 m = len(pos)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(around.shape[1]), m, [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.full(m, doc)), pa.array(np.full(m, th)), pa.array(pos.astype(np.int32)), pa.array(np.full(m, len(raw))), packed],
-                    ["rank", "doc", "text_hash", "pos", "size", "context"],
+                    [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(np.full(m, doc)), pa.array(np.full(m, th)), pa.array(pos.astype(np.int32)), pa.array(np.full(m, len(raw))), pa.array(side), packed],
+                    ["key", "rank", "doc", "text_hash", "pos", "size", "side", "context"],
                 )
 
-    lists = spots.groupBy("doc", "text_hash").agg(F.collect_list("pos").alias("at"))
+    lists = spots.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pos", "sides")).alias("at"))
     texts = rows.join(lists, ["doc", "text_hash"]).select("doc", "text_hash", "text", "at")
-    return texts.mapInArrow(run, "rank long, doc long, text_hash long, pos int, size long, context binary")
+    return texts.mapInArrow(run, "key long, rank long, doc long, text_hash long, pos int, size long, side int, context binary")
 
 
 def later_windows(around: DataFrame, parts: int) -> DataFrame:
@@ -266,9 +280,9 @@ def later_windows(around: DataFrame, parts: int) -> DataFrame:
         if not rows:
             return
         t = pa.Table.from_batches(rows).combine_chunks()
-        doc, th, pos, size = (t.column(c).to_numpy() for c in ("doc", "text_hash", "pos", "size"))
+        doc, th, pos, size, side = (t.column(c).to_numpy() for c in ("doc", "text_hash", "pos", "size", "side"))
         text = np.frombuffer(b"".join(t.column("context").to_pylist()), np.uint8).reshape(-1, FIRST + 2 * SIDE)
-        gone = _windows(text, size, pos.astype(np.int64), t.column("rank").to_numpy().view(U), doc)
+        gone = _windows(text, size, pos.astype(np.int64), t.column("rank").to_numpy().view(U), doc, side)
         # runs of windows: from the one that starts first to the end of the last
         edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, near = np.nonzero(edge == 1)
@@ -276,7 +290,7 @@ def later_windows(around: DataFrame, parts: int) -> DataFrame:
         first, last = pos[row] - far, pos[row] - near + LENGTH
         yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(th[row]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "text_hash", "first", "last"])
 
-    return around.repartition(parts, "rank").mapInArrow(run, "doc long, text_hash long, first int, last int")
+    return around.repartition(parts, "key").mapInArrow(run, "doc long, text_hash long, first int, last int")
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -284,9 +298,9 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(rows.sparkSession), size // TASK + 1)  # a task holds its anchors as arrays
     spots = materialize(shared_anchors(anchors(rows), parts), "suffix-anchors")
-    around = materialize(contexts(rows, spots.where(~F.col("covered"))), "suffix-contexts")
+    around = materialize(contexts(rows, spots.where("sides > 0")), "suffix-contexts")
     later = materialize(later_windows(around, parts), "suffix-windows")
-    whole = spots.where("covered").select("doc", "text_hash", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("first"), (F.col("pos") + LENGTH).alias("last"))
+    whole = spots.where("sides = 0").select("doc", "text_hash", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("first"), (F.col("pos") + LENGTH).alias("last"))
     return whole.unionByName(later)
 
 
