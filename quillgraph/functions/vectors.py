@@ -10,24 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048  # candidate vectors of a block
-WRITTEN = 256  # components of an inner product that is written out
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_of(a: Column, b: Column, dim: int) -> Column:
-    """The inner product of arrays of dim components, written out term by term, so that it is compiled code; longer ones
-    than WRITTEN go through dot()."""
-    if not 0 < dim <= WRITTEN:
-        return dot(a, b)
-    terms = [F.get(a, k) * F.get(b, k) for k in range(dim)]
-    while len(terms) > 1:  # a balanced sum keeps the expression shallow
-        terms = [terms[k] + terms[k + 1] if k + 1 < len(terms) else terms[k] for k in range(0, len(terms), 2)]
-    return terms[0]
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.numbers import lookup, sigmoid
 from ..functions.text import jaccard, words
-from ..functions.vectors import dot_of, normalized
+from ..functions.vectors import normalized
 from ..sources.shared import materialize
 
 SMALL = 64 << 20  # bytes of vectors that every task may hold
@@ -20,8 +20,8 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def type_profiles(mentions: DataFrame, units: DataFrame, dim: int | None = None) -> DataFrame:
-    """(paper_id, entity_type, v, w): weighted sum of unit vectors and sum of weights of mentions (paper_id, entity_id,
-    entity_type, weight), by units (entity_id, u).
+    """(paper_id, entity_type, w, x0, x1, ...): sum of weights, and components of the weighted sum of unit vectors, of
+    mentions (paper_id, entity_id, entity_type, weight), by units (entity_id, u).
 
     The intra-type similarity is a weighted mean of cosines over all pairs; as the numerator is the inner product of
     two such sums, each paper is summed once and no pairs of entities are joined. Entities without a vector don't count.
@@ -35,21 +35,22 @@ def type_profiles(mentions: DataFrame, units: DataFrame, dim: int | None = None)
     else:
         rows = mentions.join(units, "entity_id")
     sums = [F.sum(F.get("u", k) * F.col("weight")).alias(f"x{k}") for k in range(dim)]
-    each = rows.groupBy("paper_id", "entity_type").agg(F.sum("weight").alias("w"), *sums)
-    return each.select("paper_id", "entity_type", F.array(*[F.col(f"x{k}") for k in range(dim)]).cast("array<double>").alias("v"), "w")
+    return rows.groupBy("paper_id", "entity_type").agg(F.sum("weight").alias("w"), *sums)
 
 
-def type_similarity(pairs: DataFrame, profiles: DataFrame, dim: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+def type_similarity(pairs: DataFrame, profiles: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """AGG16: (query_id, paper_id, entity_type, similarity) of pairs (query_id, paper_id), for types that both have.
 
-    asked: the queries' profiles, where they are made apart; dim is read from the profiles if not given."""
-    if dim is None:
-        dim = profiles.agg(F.max(F.size("v")).alias("d")).first().d or 0
-    asked = profiles if asked is None else asked
-    q = asked.select(F.col("paper_id").alias("query_id"), "entity_type", F.col("v").alias("qv"), F.col("w").alias("qw"))
+    asked: the queries' profiles, where they are made apart. Components are columns, so their inner product is compiled
+    code in methods of a few terms each, rather than a function over arrays."""
+    parts = [c for c in profiles.columns if c[0] == "x" and c[1:].isdigit()]
+    q = (profiles if asked is None else asked).select(F.col("paper_id").alias("query_id"), "entity_type", F.col("w").alias("qw"), *[F.col(c).alias(f"q{c}") for c in parts])
     both = pairs.join(q, "query_id").join(profiles, ["paper_id", "entity_type"])
+    terms = [F.col(f"q{c}") * F.col(c) for c in parts] or [F.lit(0.0)]
+    while len(terms) > 1:  # a balanced sum keeps the expression shallow
+        terms = [terms[k] + terms[k + 1] if k + 1 < len(terms) else terms[k] for k in range(0, len(terms), 2)]
     scale = F.col("qw") * F.col("w")
-    return both.select("query_id", "paper_id", "entity_type", F.when(scale > 0, dot_of(F.col("qv"), F.col("v"), dim) / scale).otherwise(0.0).alias("similarity"))
+    return both.select("query_id", "paper_id", "entity_type", F.when(scale > 0, terms[0] / scale).otherwise(0.0).alias("similarity"))
 
 
 def entity_similarity(pairs: DataFrame, by_type: DataFrame) -> DataFrame:

@@ -66,8 +66,7 @@ def by_type(t: Tables) -> DataFrame:
         units = t.once("units", lambda: S.unit_vectors(part_vectors(t)))
         mentions = typed_mentions(t).select("paper_id", "entity_id", "entity_type", "weight")
         own = mentions.join(asked(t).select(F.col("query_id").alias("paper_id")), "paper_id", "left_semi")
-        dim = units.agg(F.max(F.size("u")).alias("d")).first().d or 0
-        return S.type_similarity(pairs(t), S.type_profiles(mentions, units, dim), dim, S.type_profiles(own, units, dim))
+        return S.type_similarity(pairs(t), S.type_profiles(mentions, units), S.type_profiles(own, units))
 
     return t.once("by_type", make)
 
