@@ -52,14 +52,3 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*written: DataFrame) -> None:
-    """Delete what materialize wrote, once nothing will read it again."""
-    for df in written:
-        root = f"{shared_root(df.sparkSession)}/quillgraph/"
-        for file in df.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            if root.split("://")[-1].lstrip("/") in folder:
-                fs, name = file_system(df.sparkSession, folder)
-                fs.delete(name, True)
