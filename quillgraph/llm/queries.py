@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, fingerprints, mixing, quality, secrets, simhash_dedup, suffix_dedup, warc
+from . import bpe, chat, embedding_dedup, fingerprints, mixing, packing, prefix_trie, quality, secrets, simhash_dedup, suffix_dedup, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +107,50 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=4, words=4)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe.public_vocabulary("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), period=5, most=9)
+
+
+OP12_SQL = """
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(length(r) || ':' || r || x ORDER BY turn NULLS FIRST, r, x) AS k, list(octet_length(encode(x)) ORDER BY turn NULLS FIRST, r, x) AS s
+  FROM raw GROUP BY conv_id
+), steps AS (
+  SELECT *, [4294967295] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM own
+), hashed AS (
+  SELECT *, xor(list_reduce(steps, lambda c, b: CASE WHEN b < 0 THEN xor(c >> 1, (c & 1) * 3988292384) ELSE xor(c, b) END), 4294967295) % 9 AS h FROM steps
+), rebuilt AS (
+  SELECT a.conv_id, coalesce(b.k[1:a.h], []) || a.k[a.h + 1:] AS k, coalesce(b.s[1:a.h], []) || a.s[a.h + 1:] AS s
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, k, s, unnest(range(0, len(k) + 1)) AS d FROM rebuilt
+), nodes AS (
+  SELECT d, k[1:d] AS key, min(conv_id) AS conv_id, count(*) AS n_convs, max(CASE WHEN d > 0 THEN s[d] ELSE 0 END) AS size,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(k) = d), '') AS ends
+  FROM prefixes GROUP BY 1, 2
+), children AS (
+  SELECT d - 1 AS d, key[1:d - 1] AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+), counted AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (d, key)
+), sums AS (
+  SELECT a AS d, key[1:a] AS key, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY 1, 2
+)
+SELECT c.conv_id, c.d AS depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN sums ON sums.d = c.d AND sums.key = c.key LEFT JOIN nodes up ON up.d = c.d - 1 AND up.key = c.key[1:c.d - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_chat_formatting": OP6_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_chat_formatting": OP6_SQL, "op12_prefix_trie": OP12_SQL}
