@@ -111,6 +111,10 @@ class Coder:
             return self.quick.encode_ordinary(text)
         return self.bare.encode(text, add_special_tokens=False).ids
 
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids of a short text in which special tokens' strings are ordinary text."""
+        return self._whole(text)
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []

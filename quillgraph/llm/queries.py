@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, fingerprints, mixing, packing, prefix_trie, quality, secrets, simhash_dedup, suffix_dedup, warc
+from . import alignment, bpe, chat, embedding_dedup, fingerprints, mixing, packing, prefix_trie, quality, secrets, simhash_dedup, suffix_dedup, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), period=5, most=9)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return alignment.align(docs, bpe.public_vocabulary("byte_bpe_50k.json"), bpe.public_vocabulary("piece_bpe_32k.model"))
+
+
 OP12_SQL = """
 WITH raw AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
