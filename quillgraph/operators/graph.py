@@ -35,8 +35,9 @@ def incident(edges: DataFrame) -> DataFrame:
 
 
 def transition(edges: DataFrame) -> DataFrame:
-    """WIN08/AGG22/GRA10: edges with p: weight by the out-weight of the source, guarded against 0."""
-    total = F.sum("weight").over(Window.partitionBy("source"))
+    """WIN08/AGG22/GRA10: edges with p: weight by the out-weight of the source, guarded against 0. The out-weight is
+    rounded, so that p doesn't depend on the order in which weights were added."""
+    total = F.round(F.sum("weight").over(Window.partitionBy("source")), 9)
     return edges.withColumn("p", F.col("weight") / F.greatest(total, F.lit(1e-10)))
 
 

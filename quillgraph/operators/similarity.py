@@ -169,11 +169,24 @@ def shared_entities(pairs: DataFrame, mentions: DataFrame, kind: str) -> DataFra
     return rows.select("query_id", "paper_id", jaccard(F.coalesce("qset", none), F.coalesce("set", none)).alias("overlap"))
 
 
+def title_set(title: Column) -> Column:
+    return F.array_distinct(words(title))
+
+
+def head_set(abstract: Column) -> Column:
+    """The first fifty words, each once."""
+    return F.array_distinct(F.slice(words(abstract), 1, 50))
+
+
+def text_similarity(titles: Column, heads: Column) -> Column:
+    """SET04/FUN04: 0.4 by the similarity of titles and 0.6 by that of the abstracts' first fifty words."""
+    return 0.4 * titles + 0.6 * heads
+
+
 def abstract_similarity(title: str, abstract: str, title2: str, abstract2: str) -> Column:
-    """SET04/FUN04: 0.4 by titles and 0.6 by the first fifty words of the abstracts."""
-    head = lambda c: F.array_distinct(F.slice(words(F.col(c)), 1, 50))
-    whole = lambda c: F.array_distinct(words(F.col(c)))
-    return 0.4 * jaccard(whole(title), whole(title2)) + 0.6 * jaccard(head(abstract), head(abstract2))
+    """SET04/FUN04 of two columns of titles and two of abstracts."""
+    titles = jaccard(title_set(F.col(title)), title_set(F.col(title2)))
+    return text_similarity(titles, jaccard(head_set(F.col(abstract)), head_set(F.col(abstract2))))
 
 
 def function_score(function: Column, ts: Column, ms: Column, es: Column, as_: Column, ps: Column, ds: Column) -> Column:

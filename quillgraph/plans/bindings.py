@@ -1,6 +1,7 @@
 """The citation model over the driver's tables: the same views for Spark and, as SQL, for the oracle.
 
-papers: documents; graph_papers: orders; entities: parts; contains: order lines; relations: parts that share an order;
+papers: documents; graph_papers: orders; entities: parts; order_texts: documents, by
+turns, as the orders' titles and abstracts; contains: order lines; relations: parts that share an order;
 citations: a customer's order to the orders before it; ranked: a customer's other orders by value, as recommendations.
 """
 
@@ -19,6 +20,7 @@ STEPS = 3  # how many earlier orders an order cites
 VIEWS = {
     "papers": "SELECT doc_id AS id, regexp_extract(text, '^[^.]*') AS title, text AS abstract, source AS venue, CAST(2000 + doc_id % 24 AS INTEGER) AS year, n_chars AS citation_count, lang FROM documents",
     "graph_papers": "SELECT 'o' || o_orderkey AS id, o_orderpriority AS venue, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(floor(o_totalprice / 1000) AS BIGINT) AS citation_count, CASE o_orderpriority WHEN '1-URGENT' THEN 'use' WHEN '2-HIGH' THEN 'compare' WHEN '3-MEDIUM' THEN 'inspire' ELSE 'background' END AS function FROM orders",
+    "order_texts": "SELECT 'o' || o_orderkey AS id, regexp_extract(text, '^[^.]*') AS title, text AS abstract FROM orders LEFT JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents)",
     "entities": "SELECT 'p' || p_partkey AS id, p_partkey AS seq, p_name AS text, CASE p_type WHEN 'PROMO' THEN 'task' WHEN 'ECONOMY' THEN 'method' WHEN 'STANDARD' THEN 'material' WHEN 'MEDIUM' THEN 'metric' ELSE 'other' END AS entity_type FROM part",
     "contains": "SELECT paper_id, entity_id, part_key, weight, seq FROM (SELECT 'o' || l_orderkey AS paper_id, 'p' || l_partkey AS entity_id, l_partkey AS part_key, l_quantity / 50 AS weight, l_linenumber AS seq, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem) WHERE n = 1",
     "relations": "SELECT a.entity_id AS source, b.entity_id AS target, p.relation_type, 1.0 / (1 + count(*)) AS weight FROM contains a JOIN contains b ON a.paper_id = b.paper_id AND a.part_key < b.part_key JOIN entities x ON x.id = a.entity_id JOIN entities y ON y.id = b.entity_id JOIN patterns p ON p.source_type = x.entity_type AND p.target_type = y.entity_type GROUP BY 1, 2, 3",
@@ -92,6 +94,13 @@ class Tables:
             F.when(p == "1-URGENT", "use").when(p == "2-HIGH", "compare").when(p == "3-MEDIUM", "inspire").otherwise("background").alias("function"),
         )
 
+    def of_order_texts(self, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """graph_papers' (id, venue) with what cut() makes of their texts (title, abstract): a document's by turns, cut
+        before it goes to the orders that have it."""
+        n = self.documents.agg(F.count(F.lit(1)).alias("n"))
+        turn = self.orders.join(F.broadcast(n)).select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("venue"), (F.col("o_orderkey") % F.col("n")).alias("doc_id"))
+        return turn.join(cut(self.papers.select(F.col("id").alias("doc_id"), "title", "abstract")), "doc_id").drop("doc_id")
+
     @property
     def entities(self) -> DataFrame:
         t = F.col("p_type")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.constants import RELATION_TYPES
 from ..operators import graph as G
 from ..operators import similarity as S
 from ..plans import stages as T
@@ -89,7 +90,7 @@ def patterns(t: Tables) -> DataFrame:
     return rows.select("source_type", "target_type", "pairs", (F.col("pairs") * F.coalesce("k", F.lit(0))).alias("allowed"))
 
 
-TRANSITION = "m AS (SELECT source, target, weight / greatest(sum(weight) OVER (PARTITION BY source), 1e-10) AS p FROM relations)"
+TRANSITION = "m AS (SELECT source, target, weight / greatest(round(sum(weight) OVER (PARTITION BY source), 9), 1e-10) AS p FROM relations)"
 
 
 @query("win08_transition", sql("relations", f"WITH {TRANSITION} SELECT source, target, round(p, 6)::DOUBLE AS p FROM m"))
@@ -97,17 +98,27 @@ def transition(t: Tables) -> DataFrame:
     return G.transition(t.relations).select("source", "target", F.round("p", 6).alias("p"))
 
 
-@query("agg22_out_weight", sql("relations", "SELECT source, round(sum(weight), 6)::DOUBLE AS out_weight FROM relations GROUP BY 1"))
+@query("agg22_out_weight", sql("relations", "SELECT source, round(round(sum(weight), 9), 6)::DOUBLE AS out_weight FROM relations GROUP BY 1"))
 def out_weight(t: Tables) -> DataFrame:
-    return t.relations.groupBy("source").agg(F.round(F.sum("weight"), 6).alias("out_weight"))
+    return t.relations.groupBy("source").agg(F.round(F.round(F.sum("weight"), 9), 6).alias("out_weight"))
 
 
-@query("gra09_constrained_transition", sql("contains entities patterns", "WITH r AS (SELECT a.entity_id AS source, b.entity_id AS target, count(*)::DOUBLE AS weight FROM contains a JOIN contains b ON a.paper_id = b.paper_id AND a.part_key < b.part_key GROUP BY 1, 2), k AS (SELECT r.* FROM r JOIN entities x ON x.id = r.source JOIN entities y ON y.id = r.target WHERE x.entity_type = 'task' AND y.entity_type = 'method') SELECT source, target, round(weight / sum(weight) OVER (PARTITION BY source), 6) AS p FROM k"))
+@query(
+    "gra09_constrained_transition",
+    sql(
+        "contains entities patterns",
+        "WITH r AS (SELECT a.entity_id AS source, b.entity_id AS target, count(*)::DOUBLE AS weight FROM contains a JOIN contains b ON a.paper_id = b.paper_id AND a.part_key < b.part_key GROUP BY 1, 2), "
+        "k AS (SELECT r.*, p.relation_type FROM r JOIN entities x ON x.id = r.source JOIN entities y ON y.id = r.target JOIN patterns p ON p.source_type = x.entity_type AND p.target_type = y.entity_type) "
+        "SELECT source, target, relation_type, round(weight / sum(weight) OVER (PARTITION BY source), 6) AS p FROM k",
+    ),
+)
 def constrained(t: Tables) -> DataFrame:
-    c = t.contains
+    """Entities of one paper, with each relation type there is: the pattern of their types decides which of them stay."""
+    c = t.once("contains")
     a, b = c.select("paper_id", F.col("entity_id").alias("source"), F.col("part_key").alias("ka")), c.select("paper_id", F.col("entity_id").alias("target"), F.col("part_key").alias("kb"))
-    edges = a.join(b, "paper_id").where("ka < kb").groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("relation_type", F.lit("implement"))
-    return G.constrained(edges, t.entities, t.patterns).select("source", "target", F.round("p", 6).alias("p"))
+    edges = a.join(b, "paper_id").where("ka < kb").groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    edges = edges.withColumn("relation_type", F.explode(F.array(*[F.lit(r) for r in RELATION_TYPES])))
+    return G.constrained(edges, t.entities, t.patterns).select("source", "target", "relation_type", F.round("p", 6).alias("p"))
 
 
 @query(

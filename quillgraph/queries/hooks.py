@@ -86,7 +86,7 @@ def abstracts(t: Tables) -> DataFrame:
 
 
 def function_sql(name: str) -> str:
-    return sql("contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, round(s_function, 6) + 0.0::DOUBLE AS score FROM ff WHERE function = '{name}'")
+    return sql("contains entities graph_papers order_texts", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, round(s_function, 6) + 0.0::DOUBLE AS score FROM ff WHERE function = '{name}'")
 
 
 def of_function(t: Tables, name: str) -> DataFrame:

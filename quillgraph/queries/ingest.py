@@ -154,11 +154,12 @@ def entity_pairs(t: Tables) -> DataFrame:
     return a.join(b, "paper_id").where("a < b").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join13_merged_papers", "SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'split' ELSE 'raw' END AS origin FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("join13_merged_papers", "SELECT 'd' || doc_id AS id, CASE WHEN lang IN ('en', 'de') THEN 'split' ELSE 'raw' END AS origin FROM documents")
 def merged_papers(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("seq"))
-    a = rows.where("seq % 3 = 0").withColumn("origin", F.lit("split"))
-    b = rows.where("seq % 2 = 0").withColumn("origin", F.lit("raw"))
+    """All raw papers, and those of two languages as a split: the split's rows come first."""
+    rows = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("seq"), "lang")
+    a = rows.where("lang IN ('en', 'de')").withColumn("origin", F.lit("split"))
+    b = rows.withColumn("origin", F.lit("raw"))
     return R.merged(a, b).select("id", "origin")
 
 

@@ -208,9 +208,9 @@ def truth_sets(t: Tables) -> DataFrame:
     return sets.select("source", F.size("s").cast("long").alias("n"), F.array_join("s", ",").alias("targets"))
 
 
-@query("agg24_topic_set", f"SELECT DISTINCT unnest({duck_topics('text')}) AS topic FROM documents WHERE lang = 'en'")
+@query("agg24_topic_set", f"SELECT DISTINCT unnest({duck_topics('text')}) AS topic FROM documents")
 def topic_set(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select(F.explode(X.topics(F.col("text"))).alias("topic")).distinct()
+    return t.documents.select(F.explode(X.topics(F.col("text"))).alias("topic")).distinct()
 
 
 @query(

@@ -126,7 +126,7 @@ def method_similarity(t: Tables) -> DataFrame:
     return of_type(t, "method")
 
 
-@query("fun03_material_overlap", sql("contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, round(as_, 6)::DOUBLE AS overlap FROM sf"))
+@query("fun03_material_overlap", sql("contains entities graph_papers order_texts", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, round(as_, 6)::DOUBLE AS overlap FROM sf"))
 def material_overlap(t: Tables) -> DataFrame:
     return S.shared_entities(pairs(t), canonical_mentions(t), "material").withColumn("overlap", F.round("overlap", 6))
 
@@ -134,7 +134,7 @@ def material_overlap(t: Tables) -> DataFrame:
 @query(
     "fun09_cognitive",
     sql(
-        "contains entities relations graph_papers",
+        "contains entities relations graph_papers order_texts",
         f"WITH {PAIRS}, {PROFILE}, {ENTITY}, {path_sql(2)}, {FUNCTION} SELECT query_id, paper_id, round(s_entity + s_path_2 + s_function, 5)::DOUBLE AS s_cognitive FROM se JOIN sp USING (query_id, paper_id) JOIN ff USING (query_id, paper_id)",
     ),
 )

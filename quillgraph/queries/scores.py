@@ -15,7 +15,7 @@ from ..plans import recommend as P
 from ..plans import stages as T
 from ..plans.bindings import Tables, sql
 from . import query
-from .texts import duck_canonical
+from .texts import SET, duck_canonical
 
 CASE_WEIGHT = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.TYPE_WEIGHTS.items()) + " END"
 
@@ -118,11 +118,14 @@ def path_similarity(t: Tables) -> DataFrame:
     return S.path_similarity(pairs(t), part_mentions(t), t.once("relations"), 3).withColumn("s_path", F.round("s_path", 10))
 
 
-def set_sql(kind: str, name: str) -> str:
-    return (
-        f"{name}s AS (SELECT c.paper_id, list(DISTINCT e.canonical) AS s FROM contains c JOIN canon e ON e.id = c.entity_id WHERE e.entity_type = '{kind}' AND e.canonical <> '' GROUP BY 1), "
-        f"{name} AS (SELECT p.source AS query_id, p.target AS paper_id, coalesce(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 0) AS x FROM pairs p LEFT JOIN {name}s a ON a.paper_id = p.source LEFT JOIN {name}s b ON b.paper_id = p.target)"
-    ).replace("coalesce(len(list_intersect(a.s, b.s))", "CASE WHEN a.s IS NULL OR b.s IS NULL THEN 0::DOUBLE ELSE coalesce(len(list_intersect(a.s, b.s))").replace("list_concat(a.s, b.s))), 0) AS x", "list_concat(a.s, b.s))), 0) END AS x").replace("len(list_distinct(list_concat(a.s, b.s))), 0)", "len(list_distinct(list_concat(a.s, b.s)))::DOUBLE, 0)")
+def overlap_sql(a: str, b: str) -> str:
+    """Jaccard of two lists of distinct values in SQL; a missing list is empty."""
+    union = f"len(list_distinct(coalesce({a}, []) || coalesce({b}, [])))"
+    return f"CASE WHEN {union} > 0 THEN len(list_intersect(coalesce({a}, []), coalesce({b}, []))) / {union}::DOUBLE ELSE 0::DOUBLE END"
+
+
+def entity_sets_sql(kind: str) -> str:
+    return f"SELECT c.paper_id, list(DISTINCT e.canonical) AS s FROM contains c JOIN canon e ON e.id = c.entity_id WHERE e.entity_type = '{kind}' AND e.canonical <> '' GROUP BY 1"
 
 
 CANONS = f"canon AS (SELECT id, entity_type, {duck_canonical('text')} AS canonical FROM entities)"
@@ -133,21 +136,52 @@ def canonical_mentions(t: Tables) -> DataFrame:
     return t.once("contains").join(e, "entity_id").select("paper_id", "entity_type", "canonical")
 
 
-@query("set03_entity_overlap", sql("contains entities", f"WITH {PAIRS}, {CANONS}, {set_sql('metric', 'es')} SELECT query_id, paper_id, round(x, 6) AS overlap FROM es"))
+@query(
+    "set03_entity_overlap",
+    sql(
+        "contains entities",
+        f"WITH {PAIRS}, {CANONS}, m AS ({entity_sets_sql('metric')}) SELECT p.source AS query_id, p.target AS paper_id, round({overlap_sql('a.s', 'b.s')}, 6) AS overlap "
+        "FROM pairs p LEFT JOIN m a ON a.paper_id = p.source LEFT JOIN m b ON b.paper_id = p.target",
+    ),
+)
 def overlap(t: Tables) -> DataFrame:
     return S.shared_entities(pairs(t), canonical_mentions(t), "metric").withColumn("overlap", F.round("overlap", 6))
 
 
-FUNCTION = f"{CANONS}, {set_sql('metric', 'es')}, {set_sql('material', 'ms_')}, sf AS (SELECT p.source AS query_id, p.target AS paper_id, q.function, coalesce(t.similarity, 0) AS ts, coalesce(m.similarity, 0) AS ms, es.x AS es, a.x AS as_, CASE WHEN lower(q.venue) = lower(c.venue) THEN 1.0 ELSE 0.0 END AS ds FROM pairs p JOIN graph_papers q ON q.id = p.source JOIN graph_papers c ON c.id = p.target LEFT JOIN ts t ON t.query_id = p.source AND t.paper_id = p.target AND t.entity_type = 'task' LEFT JOIN ts m ON m.query_id = p.source AND m.paper_id = p.target AND m.entity_type = 'method' JOIN es ON es.query_id = p.source AND es.paper_id = p.target JOIN ms_ a ON a.query_id = p.source AND a.paper_id = p.target), ff AS (SELECT query_id, paper_id, function, (CASE function WHEN 'use' THEN ms + es + as_ WHEN 'compare' THEN (ts + es + as_) / 3 + (1 - ms) WHEN 'inspire' THEN (1 - ds) + ms ELSE ts + ds END)::DOUBLE AS s_function FROM sf)"
+#: all that is compared of a paper, one row each
+SETS = f"""{CANONS}, ms AS ({entity_sets_sql('metric')}), mas AS ({entity_sets_sql('material')}),
+sets AS (
+  SELECT g.id, g.venue, g.function, ms.s AS metrics, mas.s AS materials, {SET.format("coalesce(o.title, '')")} AS title,
+    list_distinct(list_filter(regexp_split_to_array(lower(coalesce(o.abstract, '')), '\\s+'), lambda x: x <> '')[1:50]) AS head
+  FROM graph_papers g LEFT JOIN order_texts o ON o.id = g.id LEFT JOIN ms ON ms.paper_id = g.id LEFT JOIN mas ON mas.paper_id = g.id
+)"""
+#: the parts of the functions' scores by pair, and the score
+FUNCTION = f"""{SETS},
+sf AS (
+  SELECT p.source AS query_id, p.target AS paper_id, q.function, coalesce(t.similarity, 0) AS ts, coalesce(m.similarity, 0) AS ms,
+    {overlap_sql('q.metrics', 'c.metrics')} AS es, {overlap_sql('q.materials', 'c.materials')} AS as_,
+    0.4 * {overlap_sql('q.title', 'c.title')} + 0.6 * {overlap_sql('q.head', 'c.head')} AS ps, CASE WHEN lower(q.venue) = lower(c.venue) THEN 1.0 ELSE 0.0 END AS ds
+  FROM pairs p JOIN sets q ON q.id = p.source JOIN sets c ON c.id = p.target
+  LEFT JOIN ts t ON t.query_id = p.source AND t.paper_id = p.target AND t.entity_type = 'task'
+  LEFT JOIN ts m ON m.query_id = p.source AND m.paper_id = p.target AND m.entity_type = 'method'
+),
+ff AS (
+  SELECT query_id, paper_id, function,
+    CAST(CASE function WHEN 'use' THEN ms + es + as_ WHEN 'compare' THEN (ts + es + as_) / 3 + (1 - ms) WHEN 'inspire' THEN (1 - ds) + ms ELSE ts + ds + ps END AS DOUBLE) AS s_function
+  FROM sf
+)"""
+
+
+def paper_sets(t: Tables) -> DataFrame:
+    return t.once("paper_sets", lambda: T.paper_sets(t.of_order_texts(T.text_sets), t.once("canonical", lambda: canonical_mentions(t))))
 
 
 def function_scores(t: Tables) -> DataFrame:
     f = t.graph_papers.select(F.col("id").alias("query_id"), "function")
-    scores = T.function_scores(pairs(t), by_type(t), t.once("canonical", lambda: canonical_mentions(t)), t.graph_papers, f)
-    return scores.join(f, "query_id").select("query_id", "paper_id", "function", "s_function")
+    return T.function_scores(pairs(t), by_type(t), paper_sets(t), f).join(f, "query_id").select("query_id", "paper_id", "function", "s_function")
 
 
-@query("fun05_function_scores", sql("contains entities graph_papers", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, function, round(s_function, 6) + 0.0::DOUBLE AS s_function FROM ff"))
+@query("fun05_function_scores", sql("contains entities graph_papers order_texts", f"WITH {PAIRS}, {PROFILE}, {FUNCTION} SELECT query_id, paper_id, function, round(s_function, 6) + 0.0::DOUBLE AS s_function FROM ff"))
 def functions(t: Tables) -> DataFrame:
     return function_scores(t).withColumn("s_function", F.round("s_function", 6))
 
@@ -192,7 +226,7 @@ def retrieve(t: Tables) -> DataFrame:
 RERANKED = f"{PAIRS}, {PROFILE}, {ENTITY}, {path_sql(3, 2)}, {FUNCTION}, {FINAL}, {BLENDED}, found AS (SELECT query_id, paper_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS k FROM b) WHERE k <= 800), final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s_final DESC, paper_id) AS rank FROM (SELECT query_id, paper_id, function, round(s_final, 6)::DOUBLE AS s_final FROM fin JOIN found USING (query_id, paper_id)))"
 
 
-@query("fun10_rerank", sql("contains entities relations graph_papers", f"WITH {RERANKED} SELECT query_id, paper_id, function, s_final, rank FROM final"))
+@query("fun10_rerank", sql("contains entities relations graph_papers order_texts", f"WITH {RERANKED} SELECT query_id, paper_id, function, s_final, rank FROM final"))
 def rerank(t: Tables) -> DataFrame:
     return P.rerank(retrieved(t), function_scores(t).drop("function"), t.graph_papers, functions_asked(t), SETTINGS).select("query_id", "paper_id", "function", "s_final", "rank")
 
@@ -205,7 +239,7 @@ def by_rank(values: tuple[str, ...], default: str) -> str:
 @query(
     "e2e01_recommend",
     sql(
-        "contains entities relations graph_papers",
+        "contains entities relations graph_papers order_texts",
         f"WITH {RERANKED}, o AS (SELECT query_id, paper_id, rank, round(0.9 - 0.1 * (rank - 1), 6)::DOUBLE AS score, {by_rank(C.RANKED_CONFIDENCE, 'medium')} AS confidence, "
         f"{by_rank(C.RANKED_POSITION, 'methodology')} AS citation_position, function FROM final WHERE rank <= 10) SELECT * FROM o WHERE confidence IN ('medium', 'high')",
     ),
