@@ -1,16 +1,10 @@
-"""Vector functions on array<double> columns, and exact nearest neighbours."""
+"""Vector functions on array<double> columns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # candidate vectors of a block
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -57,58 +51,3 @@ def initial(key: Column, dim: int, seed: int = 0, size: int | None = None) -> Co
     bound = (6.0 / ((size or dim) + dim)) ** 0.5
     draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), k.cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (draw(k) * 2 - 1) * bound)
-
-
-def nearest(vectors: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vec_col: str = "v") -> DataFrame:
-    """VEC02/VEC03: (query_id, id, score, rank): each vector's k nearest others, exact.
-
-    Candidates are dealt into blocks of BLOCK; every query goes to each block once, and a block returns its best k for
-    it, so what is ranked at the end is k rows a query and block. metric: cosine (larger is nearer) or l2, the squared
-    distance. Scores are rounded before they are ranked, ties go by id.
-    """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.select(own.alias("block"), F.lit(False).alias("asks"), "id", "v").unionByName(
-        rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v")
-    )
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        block, asks = t.column("block").to_numpy(), t.column("asks").to_numpy()
-        ids = t.column("id").to_numpy()
-        m = t.column("v").chunk(0).flatten().to_numpy().reshape(t.num_rows, -1)
-        for b in np.unique(block):
-            q, c = np.flatnonzero((block == b) & asks), np.flatnonzero((block == b) & ~asks)
-            c = c[np.argsort(ids[c], kind="stable")]
-            if not len(c):
-                continue
-            cand = m[c]
-            size = np.sqrt((cand * cand).sum(1))
-            for lo in range(0, len(q), 512):
-                part = q[lo : lo + 512]
-                x = m[part]
-                inner = x @ cand.T
-                if metric == "cosine":
-                    scale = np.sqrt((x * x).sum(1))[:, None] * size
-                    score = np.round(np.divide(inner, scale, out=np.zeros_like(inner), where=scale > 0), 6)
-                    order = -score
-                else:
-                    score = np.round((x * x).sum(1)[:, None] + size**2 - 2 * inner, 6)
-                    order = score.copy()
-                order[ids[part][:, None] == ids[c][None, :]] = np.inf
-                best = np.argsort(order, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(part)), best.shape[1])
-                col = best.ravel()
-                real = np.isfinite(order[row, col])
-                row, col = row[real], col[real]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part][row]), pa.array(ids[c][col]), pa.array(score[row, col] + 0.0)], ["query_id", "id", "score"])
-
-    found = dealt.repartition(blocks, "block").mapInArrow(search, f"query_id {kind}, id {kind}, score double")
-    order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id")))
-    return ranked.where(F.col("rank") <= k)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import metrics as M
+from ..operators import neighbours as K
 from ..operators.similarity import abstract_similarity
 from ..plans import pipeline
 from ..plans import recommend as P
@@ -51,7 +51,7 @@ def citation_ends(t: Tables) -> DataFrame:
 
 @query("top05_nearest_three", KNN + " SELECT query_id, id, rank FROM k WHERE rank <= 3")
 def nearest_three(t: Tables) -> DataFrame:
-    return V.nearest(t.embeddings, 3, "cosine", "vec_id", "embedding").select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return K.nearest(t.embeddings, 3, "cosine", "vec_id", "embedding").select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 JSON_ROW = (

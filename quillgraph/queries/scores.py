@@ -10,10 +10,13 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import metrics as M
+from ..operators import neighbours as K
 from ..operators import similarity as S
 from ..plans import recommend as P
 from ..plans import stages as T
 from ..plans.bindings import Tables, sql
+from ..sources.shared import shared_path
+from ..sources.vector_index import VectorIndex
 from . import query
 from .texts import SET, duck_canonical
 
@@ -348,14 +351,22 @@ def cosine(t: Tables) -> DataFrame:
 KNN = f"WITH {DOUBLES}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
 
 
+@query("src14_vector_index", KNN + " SELECT query_id, id, score, rank FROM k WHERE rank <= 10 AND query_id % 50 = 0")
+def indexed(t: Tables) -> DataFrame:
+    """All vectors in an inverted file on Parquet; the stated queries read the cells that may hold their neighbours."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = VectorIndex.build(rows, shared_path(t.spark, "vector-index"))
+    return index.search(rows.where("id % 50 = 0"), 10, 8, exact=True).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("vec03_nearest", KNN + " SELECT query_id, id, score, rank FROM k WHERE rank <= 10")
 def nearest(t: Tables) -> DataFrame:
-    return V.nearest(t.embeddings, 10, "cosine", "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
+    return K.nearest(t.embeddings, 10, "cosine", "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("vec03_nearest_l2", f"WITH {DOUBLES}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 5")
 def nearest_l2(t: Tables) -> DataFrame:
-    return V.nearest(t.embeddings, 5, "l2", "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
+    return K.nearest(t.embeddings, 5, "l2", "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -363,7 +374,7 @@ def nearest_l2(t: Tables) -> DataFrame:
     KNN + ", h AS (SELECT k.query_id, k.rank, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS hit FROM k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.id WHERE rank <= 10) SELECT query_id, round(sum(hit) / 10.0, 6)::DOUBLE AS p_at_10 FROM h GROUP BY 1",
 )
 def label_precision(t: Tables) -> DataFrame:
-    ranked = V.nearest(t.embeddings, 10, "cosine", "vec_id", "embedding").select("query_id", F.col("id").alias("paper_id"), "rank")
+    ranked = K.nearest(t.embeddings, 10, "cosine", "vec_id", "embedding").select("query_id", F.col("id").alias("paper_id"), "rank")
     label = t.embeddings.select("vec_id", "label")
     rows = ranked.join(label.withColumnsRenamed({"vec_id": "query_id", "label": "a"}), "query_id").join(label.withColumnsRenamed({"vec_id": "paper_id", "label": "b"}), "paper_id")
     hits = rows.withColumn("hit", (F.col("a") == F.col("b")).cast("int")).withColumn("n_truth", F.lit(1))
