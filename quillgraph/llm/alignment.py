@@ -9,10 +9,11 @@ that isn't one: A reads pieces that no such place falls into, and no entry of B
 (checked when its file is loaded; otherwise a text is one unit). So a text falls apart into units at these places, the
 whole plan above runs once for each different unit, and a document's groups are those of its units in order.
 
-Documents are dealt into slices of neighbouring rows. For each slice and different unit there is one row with the list of
-places where it stands; only these rows are shuffled, by unit to meet what is known of it and by slice to come back to
-their documents. They are exploded there, within a partition, so no row for each token or word is ever shuffled. How
-many documents hold an id pair linked is counted from distinct (document, pair) rows, combined before the shuffle.
+Documents are dealt into slices: neighbouring rows of a task, of some million characters. A task gives one row for each
+slice and different unit, with the list of its places; nothing but these rows is shuffled, by unit to meet what is known
+of it and by slice to come back to the documents. There the units' groups and counts are put together, slice by slice,
+and the (document, id pair) rows of which the corpus-wide counts are made are combined before they are shuffled. A task
+holds one slice at once; a longer document is a slice of its own.
 
 Defined results: texts that are null or empty, or that a tokenizer doesn't give back byte by byte, have no tokens: zeros
 and an empty groups column; repeated rows are documents of their own; a null id is kept; an empty table gives an empty
@@ -21,24 +22,25 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
 from . import bpe
-from .common import materialize, shuffle_partitions
-from .prefix_trie import dense, named
+from .prefix_trie import dense
 
 SPACE = "▁"
 #: A space after one of these starts a unit: printable ASCII and Latin, Greek, Cyrillic, kana and common Han characters,
 #: none of which any library takes for white space
-SEAM = r"(?<=[!-~¡-ɏΑ-ΡΣ-ώЀ-џ‐-‧‰-⁞₠-₵ぁ-ゔァ-ヺ一-龥])(?= )"
-SLICE_BITS = 12  # a slice has up to 2^SLICE_BITS neighbouring documents
-PLACE_BITS = 31  # a place is the document's number in its slice and, in the lower bits, the unit's in its document
-SMALL = 200_000  # rows of documents without tokens that are sent to every task; more are joined by shuffle
+BEFORE = "!-~¡-ɏΑ-ΡΣ-ώЀ-џ‐-‧‰-⁞₠-₵ぁ-ゔァ-ヺ一-龥"
+SEAM, NO_SEAM = re.compile(f"(?<=[{BEFORE}])(?= )"), re.compile(f"[^{BEFORE}] ")
+SLICE = 8 << 20  # characters of a slice
 
 TOKENS = "a_ids array<int>, a_lengths array<int>, b_ids array<int>, b_lengths array<int>, whole boolean"
 
@@ -55,11 +57,11 @@ class Pair:
         self.b_space = self.b.piece_to_id(SPACE)
 
     def encode(self, units: list[str]) -> list[tuple]:
-        """TOKENS of each unit; a unit starts with the space that B adds by itself."""
+        """TOKENS of each unit after a space, which B adds by itself."""
         out = []
-        for unit, b_ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True):
-            raw = unit.encode()
-            a_ids = self.a.encode_plain(unit)
+        for unit, b_ids in zip(units, self.b.encode(units, num_threads=1), strict=True):
+            raw = b" " + unit.encode()
+            a_ids = self.a.encode_plain(" " + unit)
             b_ids = b_ids or [self.b_space]
             a_bytes, b_bytes = [self.a.quick.decode_single_token_bytes(i) for i in a_ids], [self.b_bytes[i] for i in b_ids]
             out.append((a_ids, [len(x) for x in a_bytes], b_ids, [len(x) for x in b_bytes], b"".join(a_bytes) == raw == b"".join(b_bytes)))
@@ -95,18 +97,54 @@ def tokenized(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return units.select("u", "unit").mapInArrow(run, f"u long, {TOKENS}")
 
 
+def units_of(text: str, split: bool) -> list[str]:
+    """The units of a text without the space that each starts with."""
+    if not split:
+        return [text]
+    if NO_SEAM.search(text) is None and not text.startswith(" "):
+        return text.split(" ")
+    return [u[1:] for u in SEAM.split(" " + text)]
+
+
 def occurrences(docs: DataFrame, split: bool) -> DataFrame:
-    """(slice, unit, places): where each different unit of a slice of documents stands. Units start with a space; each
-    document also has a first unit '#' and its id, which is how documents without tokens are kept."""
-    text = F.col("text").cast("string")
-    spaced = F.concat(F.lit(" "), text)
-    units = F.split(spaced, SEAM) if split else F.array(spaced)
-    units = F.when(F.length(text) > 0, units).otherwise(F.array().cast("array<string>"))
-    head = F.array(F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.concat(head, units).alias("units"))
-    rows = rows.select("row", F.posexplode("units").alias("pos", "unit"))
-    place = F.shiftleft(F.col("row").bitwiseAND((1 << SLICE_BITS) - 1), PLACE_BITS) + F.col("pos")
-    return rows.groupBy(F.shiftright("row", SLICE_BITS).alias("slice"), "unit").agg(F.collect_list(place).alias("places"))
+    """(slice, doc_id, unit, places): a row for each different unit of a slice of documents, without its space, with its
+    places among all units of the slice; and for each document a row without a unit, whose place is before its first."""
+
+    def rows(start: int, ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+        names: dict[str, int] = {}
+        flat, heads = [], []
+        for text in texts:
+            heads.append(len(flat))
+            flat.append(-1)
+            if text:
+                flat += [names.setdefault(u, len(names)) for u in units_of(text, split)]
+        which = np.array(flat, np.int32)
+        order = np.argsort(which, kind="stable")[len(heads) :].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(which[which >= 0], minlength=len(names)))]) + len(heads)
+        places = pa.ListArray.from_arrays(np.concatenate([np.arange(len(heads)), ends]).astype(np.int32), pa.array(np.concatenate([np.array(heads, np.int32), order])))
+        n = len(heads) + len(names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, start)), pa.array([*ids, *[None] * len(names)], pa.int64()), pa.array([*[None] * len(heads), *names], pa.string()), places], ["slice", "doc_id", "unit", "places"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, ids, texts, size = 0, [], [], 0
+        for b in batches:
+            for row, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                text = text.as_py()
+                if ids and size + len(text or "") > SLICE:
+                    yield rows(start, ids, texts)
+                    ids, texts, size = [], [], 0
+                if not ids:
+                    start = row
+                ids.append(doc)
+                texts.append(text)
+                size += len(text or "") + 1
+        if ids:
+            yield rows(start, ids, texts)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return numbered.mapInArrow(run, "slice long, doc_id long, unit string, places array<int>")
 
 
 def ends(tokens: DataFrame, side: str) -> DataFrame:
@@ -115,18 +153,19 @@ def ends(tokens: DataFrame, side: str) -> DataFrame:
     return rows.select("u", "pos", F.col("t.id").alias("id"), F.sum("t.n").over(Window.partitionBy("u").orderBy("pos")).alias("end"))
 
 
-def grouped(tokens: DataFrame) -> DataFrame:
+def grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, side, pos, id, g): every token of both with its group, counted from 0 within the unit; written."""
-    a, b = (materialize(ends(tokens, side), f"align-{side}") for side in "ab")
-    shared = a.select("u", "end").join(b.select("u", "end"), ["u", "end"]).withColumn("cut", F.lit(1))
-    shared = materialize(shared, "align-cuts")
+    a, b = (scratch.write(ends(tokens, side), f"align-{side}") for side in "ab")
+    shared = scratch.write(a.select("u", "end").join(b.select("u", "end"), ["u", "end"]).withColumn("cut", F.lit(1)), "align-cuts")
     before = Window.partitionBy("u").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
 
     def numbered(rows: DataFrame, side: str) -> DataFrame:
         rows = rows.join(shared, ["u", "end"], "left")
         return rows.select("u", F.lit(side).alias("side"), "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
 
-    return materialize(numbered(a, "a").unionByName(numbered(b, "b")), "align-groups")
+    out = scratch.write(numbered(a, "a").unionByName(numbered(b, "b")), "align-groups")
+    scratch.drop(a, b, shared)
+    return out
 
 
 def unit_groups(tokens: DataFrame) -> DataFrame:
@@ -152,52 +191,85 @@ def unit_links(tokens: DataFrame) -> DataFrame:
     return a.join(b, ["u", "g"]).groupBy("u", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
 
 
-def by_document(places: DataFrame, parts: int) -> DataFrame:
-    """places (slice, places, ...) with a row for each place, dealt by slice: (slice, doc, pos, ...)."""
-    dealt = places.repartition(parts, "slice").withColumn("place", F.explode("places")).drop("places")
-    doc = F.shiftright("place", PLACE_BITS).cast("int")
-    return dealt.select("slice", doc.alias("doc"), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("pos"), *[c for c in dealt.columns if c not in ("slice", "place")])
-
-
-def without(rows: DataFrame, bad: DataFrame | None) -> DataFrame:
-    """rows but for the documents in bad."""
-    return rows if bad is None else rows.join(bad, ["slice", "doc"], "left_anti")
+def _documents(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a slice: the places of documents' heads, whether each document has tokens at all, and for every unit
+    at its place, in order, its row and its document."""
+    head = t.column("u").is_null().to_numpy()
+    lists = t.column("places").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(t.num_rows), size)
+    order = np.argsort(lists.flatten().to_numpy(), kind="stable")
+    row = row[order]
+    at = np.flatnonzero(head[row])  # places run from 0 without gaps
+    doc = np.cumsum(head[row]) - 1
+    whole = np.ones(len(at), bool)
+    whole[doc[~t.column("whole").combine_chunks().to_numpy(zero_copy_only=False)[row]]] = False
+    unit = ~head[row]
+    return row[at], whole, row[unit], doc[unit]
+
+
+def _held(t: pa.Table) -> pa.Table:
+    """(pair, held): how many of a slice's documents hold each id pair linked."""
+    _, whole, row, doc = _documents(t)
+    row, doc = row[whole[doc]], doc[whole[doc]]
+    some = np.unique(doc * t.num_rows + row)
+    doc, row = some // t.num_rows, some % t.num_rows
+    lists = t.column("pairs").combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    pairs, local = np.unique(lists.values.to_numpy(), return_inverse=True)
+    n = lists.value_lengths().fill_null(0).to_numpy()[row]
+    at = np.repeat(offsets[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    held = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + local[at]) % max(1, len(pairs))
+    count = np.bincount(held, minlength=len(pairs))
+    return pa.table({"pair": pa.array(pairs[count > 0], pa.int64()), "held": pa.array(count[count > 0], pa.int64())})
+
+
+COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def _assembled(t: pa.Table) -> pa.Table:
+    """The documents of a slice, from what is known of their units."""
+    heads, whole, row, doc = _documents(t)
+    row, doc = row[whole[doc]], doc[whole[doc]]
+    groups = t.column("groups").to_pylist()
+    size = np.bincount(doc, minlength=len(heads))
+    ends = np.cumsum(size)
+    out = {"doc_id": t.column("doc_id").take(pa.array(heads))}
+    for c in COUNTS:
+        running = np.concatenate([[0], np.cumsum(t.column(c).combine_chunks().fill_null(0).to_numpy()[row])])
+        out[c] = pa.array(running[ends] - running[ends - size], pa.int64())
+    rows = row.tolist()
+    texts = (";".join([groups[r] for r in rows[e - n : e]]) for e, n in zip(ends.tolist(), size.tolist(), strict=True))
+    out["groups_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts])
+    return pa.table(out)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each document."""
-    spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    stands = materialize(occurrences(docs, splits_at_spaces(path_b)), "align-units")
-    heads = stands.where(F.col("unit").startswith("#")).select("slice", F.explode("places").alias("place"), F.substring("unit", 2, 30).alias("doc_id"))
-    heads = heads.select("slice", F.shiftright("place", PLACE_BITS).cast("int").alias("doc"), F.when(F.col("doc_id") != "", F.col("doc_id").cast("long")).alias("doc_id"))
-    stands = stands.where(F.col("unit").startswith(" "))
-    units = dense(stands.select("unit").distinct(), "u", "align-unit-names")
-    tokens = materialize(tokenized(units, path_a, path_b), "align-tokens")
-    stands = materialize(stands.join(units, "unit").drop("unit"), "align-stands")
-
-    bad = stands.join(tokens.where(~F.col("whole")).select("u"), "u").select("slice", F.explode("places").alias("place"))
-    bad = materialize(bad.select("slice", F.shiftright("place", PLACE_BITS).cast("int").alias("doc")).distinct(), "align-bad")
-    n_bad = bad.count()
-    bad = None if not n_bad else F.broadcast(bad) if n_bad <= SMALL else bad
-
-    rows = grouped(tokens.where("whole"))
-    links = named(materialize(unit_links(rows).select("u", "a", "b", F.col("a").alias("id_a"), "n"), "align-unit-links"), ["a", "b"], "pair", "align-links")
-    held = stands.join(links.groupBy("u").agg(F.collect_list("pair").alias("pairs")), "u").drop("u")
-    # a unit counts once for a document, however often it stands there
-    first = F.array_distinct(F.transform("places", lambda p: F.shiftleft(F.shiftright(p, PLACE_BITS), PLACE_BITS)))
-    held = without(by_document(held.withColumn("places", first), parts), bad).select("slice", "doc", F.explode("pairs").alias("pair"))
-    held = materialize(held.groupBy("slice", "doc", "pair").agg(F.lit(1).alias("one")).groupBy("pair").agg(F.count("*").alias("held")), "align-held")
-
-    pairs = links.groupBy("pair").agg(F.any_value("id_a").alias("a")).join(held, "pair")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(occurrences(docs, splits_at_spaces(path_b)), "align-units")
+    units = dense(found.where("unit IS NOT NULL").select("unit").distinct(), "u", "align-unit-names")
+    tokens = scratch.write(tokenized(units, path_a, path_b), "align-tokens")
+    stands = scratch.write(found.join(units, "unit").select("slice", "u", "places"), "align-stands")
+    heads = scratch.write(found.where("unit IS NULL").select("slice", "doc_id", "places"), "align-heads")
+    scratch.drop(found)
+
+    def told(known: DataFrame) -> DataFrame:
+        """The rows of a slice: its units with what is known of them, and its documents' heads, in one task."""
+        rows = stands.join(known, "u").unionByName(heads, allowMissingColumns=True)
+        return rows.withColumn("whole", F.coalesce("whole", F.lit(True))).groupBy("slice")
+
+    rows = grouped(tokens.where("whole"), scratch)
+    links = scratch.write(unit_links(rows), "align-unit-links")
+    names = dense(links.select("a", "b").distinct(), "pair", "align-pair-names")
+    of_unit = tokens.select("u", "whole").join(links.join(names, ["a", "b"]).groupBy("u").agg(F.collect_list("pair").alias("pairs")), "u", "left")
+    held = told(of_unit).applyInArrow(_held, "pair long, held long").groupBy("pair").agg(F.sum("held").alias("held"))
+    pairs = scratch.write(names.join(held, "pair"), "align-held")
     most = pairs.groupBy("a").agg(F.max("held").alias("most"))
-    pairs = materialize(pairs.join(most, "a").select("pair", "held", (F.col("held") == F.col("most")).cast("long").alias("best")), "align-pairs")
-    scores = links.join(pairs, "pair").groupBy("u").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
-    known = materialize(unit_groups(rows).join(scores, "u"), "align-known")
-
-    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    found = without(by_document(stands.join(known, "u").drop("u"), parts), bad)
-    sums = found.groupBy("slice", "doc").agg(*[F.sum(c).cast("long").alias(c) for c in counts])
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"]), ";")
-    digests = found.select("slice", "doc", "pos", "groups").groupBy("slice", "doc").agg(F.sha2(text, 256).alias("groups_sha256"))
-    out = heads.join(sums, ["slice", "doc"], "left").join(digests, ["slice", "doc"], "left")
-    return out.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
+    pairs = pairs.join(most, "a").select("a", "b", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
+    scores = links.join(pairs, ["a", "b"]).groupBy("u").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
+    known = tokens.select("u", "whole").join(unit_groups(rows).join(scores, "u"), "u", "left")
+    known = scratch.write(known, "align-known")
+    scratch.drop(rows, links, tokens)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string"
+    return told(known).applyInArrow(_assembled, schema)
