@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_cleanup = threading.Lock()
+_writers: WeakKeyDictionary[SparkSession, int] = WeakKeyDictionary()  # writes under way
+_before: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()  # the setting before the first of them
+
 
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset, a folder of our own on one machine, and an error on a cluster: its
@@ -44,11 +50,43 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     The shuffle files that the write needed are deleted when it is done. narrow: rows are few bytes each, so they are
     gathered into files of the advisory partition size rather than one for each task that made them.
     """
+    path = shared_path(df.sparkSession, label)
+    _write(df.hint("rebalance") if narrow else df, path, {})
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str, options: dict[str, str]) -> None:
     spark = df.sparkSession
-    path, before = shared_path(spark, label), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    with _cleanup:  # the setting is the session's, and queries may run from several threads
+        _writers[spark] = _writers.get(spark, 0) + 1
+        if _writers[spark] == 1:
+            _before[spark] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
     try:
-        (df.hint("rebalance") if narrow else df).write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _cleanup:
+            _writers[spark] -= 1
+            if not _writers[spark]:
+                spark.conf.set(CLEANUP, _before.pop(spark))
+                del _writers[spark]
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted as soon as what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """As materialize, packed tighter."""
+        path = shared_path(self.spark, label)
+        _write(df, path, {"compression": "zstd"})
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = path, back
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            fs, name = file_system(self.spark, self.paths.pop(id(df))[0])
+            fs.delete(name, True)
