@@ -9,11 +9,11 @@ that isn't one: A reads pieces that no such place falls into, and no entry of B
 (checked when its file is loaded; otherwise a text is one unit). So a text falls apart into units at these places, the
 whole plan above runs once for each different unit, and a document's groups are those of its units in order.
 
-Documents are dealt into slices: neighbouring rows of a task, of some million characters. A task gives one row for each
-slice and different unit, with the list of its places; nothing but these rows is shuffled, by unit to meet what is known
-of it and by slice to come back to the documents. There the units' groups and counts are put together, slice by slice,
-and the (document, id pair) rows of which the corpus-wide counts are made are combined before they are shuffled. A task
-holds one slice at once; a longer document is a slice of its own.
+Documents are dealt into slices: neighbouring rows of a task, of some million characters. A task numbers the different
+units of a slice and gives a row for each of them, and one row with the slice's units in order, as numbers. Units are
+shuffled to meet what is known of them, and by slice to come back to their documents. There the units' groups and counts
+are put together, slice by slice, and the (document, id pair) rows of which the corpus-wide counts are made are combined
+before they are shuffled. A task holds one slice at once; a longer document is a slice of its own.
 
 Defined results: texts that are null or empty, or that a tokenizer doesn't give back byte by byte, have no tokens: zeros
 and an empty groups column; repeated rows are documents of their own; a null id is kept; an empty table gives an empty
@@ -24,15 +24,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
 from . import bpe
+from .common import shuffle_partitions
 from .prefix_trie import dense
 
 SPACE = "▁"
@@ -42,6 +44,7 @@ BEFORE = "!-~¡-ɏΑ-ΡΣ-ώЀ-џ‐-‧‰-⁞₠-₵ぁ-ゔァ-ヺ一-龥"
 SEAM, NO_SEAM = re.compile(f"(?<=[{BEFORE}])(?= )"), re.compile(f"[^{BEFORE}] ")
 SLICE = 8 << 20  # characters of a slice
 
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 TOKENS = "a_ids array<int>, a_lengths array<int>, b_ids array<int>, b_lengths array<int>, whole boolean"
 
 
@@ -106,26 +109,28 @@ def units_of(text: str, split: bool) -> list[str]:
     return [u[1:] for u in SEAM.split(" " + text)]
 
 
-def occurrences(docs: DataFrame, split: bool) -> DataFrame:
-    """(slice, doc_id, unit, places): a row for each different unit of a slice of documents, without its space, with its
-    places among all units of the slice; and for each document a row without a unit, whose place is before its first."""
+#: ids and units are a slice's documents and units in order, as packed numbers: rows with arrays of that size are slow to
+#: pass on to Python, and so are all rows beside them
+SLICED = "slice long, number int, unit string, ids binary, units binary"
+NO_ID = -(1 << 63)
+
+
+def sliced(docs: DataFrame, split: bool) -> DataFrame:
+    """SLICED rows: the different units of each slice, without their space, with their numbers; and a row for each slice with
+    its documents' ids and all its units in order, as numbers, each document's after a -1."""
 
     def rows(start: int, ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
         names: dict[str, int] = {}
-        flat, heads = [], []
+        flat: list[int] = []
         for text in texts:
-            heads.append(len(flat))
             flat.append(-1)
             if text:
                 flat += [names.setdefault(u, len(names)) for u in units_of(text, split)]
-        which = np.array(flat, np.int32)
-        order = np.argsort(which, kind="stable")[len(heads) :].astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(which[which >= 0], minlength=len(names)))]) + len(heads)
-        places = pa.ListArray.from_arrays(np.concatenate([np.arange(len(heads)), ends]).astype(np.int32), pa.array(np.concatenate([np.array(heads, np.int32), order])))
-        n = len(heads) + len(names)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, start)), pa.array([*ids, *[None] * len(names)], pa.int64()), pa.array([*[None] * len(heads), *names], pa.string()), places], ["slice", "doc_id", "unit", "places"]
-        )
+        n = len(names)
+        whole = lambda values, kind: pa.array([np.array(values, kind).tobytes(), *[None] * n], pa.binary())
+        number = pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(np.arange(n, dtype=np.int32))])
+        columns = [pa.array(np.full(n + 1, start)), number, pa.array([None, *names], pa.string()), whole([NO_ID if i is None else i for i in ids], "<i8"), whole(flat, "<i4")]
+        return pa.RecordBatch.from_arrays(columns, ["slice", "number", "unit", "ids", "units"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, ids, texts, size = 0, [], [], 0
@@ -144,7 +149,7 @@ def occurrences(docs: DataFrame, split: bool) -> DataFrame:
             yield rows(start, ids, texts)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return numbered.mapInArrow(run, "slice long, doc_id long, unit string, places array<int>")
+    return numbered.mapInArrow(run, SLICED)
 
 
 def ends(tokens: DataFrame, side: str) -> DataFrame:
@@ -153,59 +158,70 @@ def ends(tokens: DataFrame, side: str) -> DataFrame:
     return rows.select("u", "pos", F.col("t.id").alias("id"), F.sum("t.n").over(Window.partitionBy("u").orderBy("pos")).alias("end"))
 
 
-def grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, side, pos, id, g): every token of both with its group, counted from 0 within the unit; written."""
-    a, b = (scratch.write(ends(tokens, side), f"align-{side}") for side in "ab")
-    shared = scratch.write(a.select("u", "end").join(b.select("u", "end"), ["u", "end"]).withColumn("cut", F.lit(1)), "align-cuts")
+def grouped(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, pos, id, g) of A and of B: every token with its group, counted from 0 within the unit."""
+    a, b = ends(tokens, "a"), ends(tokens, "b")
     before = Window.partitionBy("u").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
 
-    def numbered(rows: DataFrame, side: str) -> DataFrame:
-        rows = rows.join(shared, ["u", "end"], "left")
-        return rows.select("u", F.lit(side).alias("side"), "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
+    def numbered(rows: DataFrame, other: DataFrame) -> DataFrame:
+        rows = rows.join(other.select("u", "end", F.lit(1).alias("cut")), ["u", "end"], "left")
+        return rows.select("u", "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
 
-    out = scratch.write(numbered(a, "a").unionByName(numbered(b, "b")), "align-groups")
-    scratch.drop(a, b, shared)
-    return out
+    return numbered(a, b), numbered(b, a)
 
 
-def unit_groups(tokens: DataFrame) -> DataFrame:
-    """(u, n_a, n_b, n_groups, n_links, groups): the counts of each unit, and its groups as text. tokens: as grouped()."""
+def unit_groups(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(u, n_a, n_b, n_groups, n_links, groups): the counts of each unit, and its groups as text. a, b: as grouped()."""
 
-    def listed(side: str) -> Column:
-        mine = F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id"))))
-        return F.array_join(F.transform(mine, lambda t: t["id"]).cast("array<string>"), ",").alias(side)
+    def listed(rows: DataFrame, side: str) -> DataFrame:
+        ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"])
+        return rows.groupBy("u", "g").agg(F.array_join(ids.cast("array<string>"), ",").alias(side), F.count("*").alias(f"n_{side}"))
 
-    count = lambda side: F.count(F.when(F.col("side") == side, 1))
-    each = tokens.groupBy("u", "g").agg(listed("a"), listed("b"), count("a").alias("n_a"), count("b").alias("n_b"))
-    each = each.withColumn("both", F.concat_ws("|", "a", "b"))
+    each = listed(a, "a").join(listed(b, "b"), ["u", "g"]).withColumn("both", F.concat_ws("|", "a", "b"))
     return each.groupBy("u").agg(
         F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "both"))), lambda x: x["both"]), ";").alias("groups"),
     )
 
 
-def unit_links(tokens: DataFrame) -> DataFrame:
-    """(u, a, b, n): the id pairs that are linked in each unit, and how often. tokens: as grouped()."""
-    counted = tokens.groupBy("u", "g", "side", "id").agg(F.count("*").alias("n"))
-    a, b = (counted.where(F.col("side") == s).select("u", "g", F.col("id").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
-    return a.join(b, ["u", "g"]).groupBy("u", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
-
-
-def _documents(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows of a slice: the places of documents' heads, whether each document has tokens at all, and for every unit
-    at its place, in order, its row and its document."""
-    head = t.column("u").is_null().to_numpy()
-    lists = t.column("places").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(t.num_rows), size)
-    order = np.argsort(lists.flatten().to_numpy(), kind="stable")
-    row = row[order]
-    at = np.flatnonzero(head[row])  # places run from 0 without gaps
-    doc = np.cumsum(head[row]) - 1
-    whole = np.ones(len(at), bool)
+def unit_links(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(u, a, b, n): the id pairs that are linked in each unit, and how often. a, b: as grouped()."""
+    counted = lambda rows, side: rows.groupBy("u", "g", F.col("id").alias(side)).agg(F.count("*").alias(f"n_{side}"))
+    both = counted(a, "a").join(counted(b, "b"), ["u", "g"])
+    return both.groupBy("u", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+
+
+@contextmanager
+def by_part_of_key(spark: SparkSession) -> Iterator[None]:
+    """Within it, joins on (u, ...) take rows as they are dealt by u: tokens are dealt by unit once, exploded there, and never
+    shuffled as rows."""
+    before = spark.conf.get(CO_PARTITION, None)
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CO_PARTITION)
+        else:
+            spark.conf.set(CO_PARTITION, before)
+
+
+def _documents(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a slice: the documents' ids, whether each has tokens at all, and for every unit in order its row and
+    its document."""
+    number = t.column("number").combine_chunks()
+    at = int(np.flatnonzero(number.is_null())[0])
+    row_of = np.zeros(t.num_rows, np.int64)  # by the unit's number
+    known = np.flatnonzero(number.is_valid())
+    row_of[number.drop_null().to_numpy()] = known
+    units = np.frombuffer(t.column("units")[at].as_py(), "<i4")
+    ids = np.frombuffer(t.column("ids")[at].as_py(), "<i8")
+    ids = pa.array(ids, mask=ids == NO_ID)
+    head = units < 0
+    row, doc = row_of[units[~head]], np.cumsum(head)[~head] - 1
+    whole = np.ones(len(ids), bool)
     whole[doc[~t.column("whole").combine_chunks().to_numpy(zero_copy_only=False)[row]]] = False
-    unit = ~head[row]
-    return row[at], whole, row[unit], doc[unit]
+    return ids, whole, row, doc
 
 
 def _held(t: pa.Table) -> pa.Table:
@@ -229,12 +245,12 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _assembled(t: pa.Table) -> pa.Table:
     """The documents of a slice, from what is known of their units."""
-    heads, whole, row, doc = _documents(t)
+    ids, whole, row, doc = _documents(t)
     row, doc = row[whole[doc]], doc[whole[doc]]
     groups = t.column("groups").to_pylist()
-    size = np.bincount(doc, minlength=len(heads))
+    size = np.bincount(doc, minlength=len(ids))
     ends = np.cumsum(size)
-    out = {"doc_id": t.column("doc_id").take(pa.array(heads))}
+    out = {"doc_id": ids}
     for c in COUNTS:
         running = np.concatenate([[0], np.cumsum(t.column(c).combine_chunks().fill_null(0).to_numpy()[row])])
         out[c] = pa.array(running[ends] - running[ends - size], pa.int64())
@@ -244,32 +260,63 @@ def _assembled(t: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
+def by_slice(rows: DataFrame, make: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What make() gives of each slice's rows, which come together and one slice after the other."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for b in batches:
+            at = b.column(0).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(at)) + 1), len(at)] if len(at) else []
+            start = 0
+            for end in ends:
+                if open_ and open_[-1].column(0)[0].as_py() != at[start]:
+                    yield from make(pa.Table.from_batches(open_)).to_batches()
+                    open_ = []
+                open_.append(b.slice(start, end - start))
+                start = end
+        if open_:
+            yield from make(pa.Table.from_batches(open_)).to_batches()
+
+    parts = 4 * shuffle_partitions(rows.sparkSession)
+    return rows.select("slice", *[c for c in columns if c != "slice"]).repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(run, schema)
+
+
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each document."""
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.write(occurrences(docs, splits_at_spaces(path_b)), "align-units")
-    units = dense(found.where("unit IS NOT NULL").select("unit").distinct(), "u", "align-unit-names")
-    tokens = scratch.write(tokenized(units, path_a, path_b), "align-tokens")
-    stands = scratch.write(found.join(units, "unit").select("slice", "u", "places"), "align-stands")
-    heads = scratch.write(found.where("unit IS NULL").select("slice", "doc_id", "places"), "align-heads")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    found = scratch.write(sliced(docs, splits_at_spaces(path_b)), "align-units")
+    names = dense(found.where("unit IS NOT NULL").select("unit").distinct(), "u", "align-unit-names")
+    tokens = scratch.write(tokenized(names, path_a, path_b), "align-tokens")
+
+    stands = scratch.write(found.where("unit IS NOT NULL").select("slice", "number", "unit").join(names, "unit").drop("unit"), "align-stands")
+    heads = scratch.write(found.where("unit IS NULL").select("slice", "ids", "units"), "align-slices")
     scratch.drop(found)
 
     def told(known: DataFrame) -> DataFrame:
-        """The rows of a slice: its units with what is known of them, and its documents' heads, in one task."""
-        rows = stands.join(known, "u").unionByName(heads, allowMissingColumns=True)
-        return rows.withColumn("whole", F.coalesce("whole", F.lit(True))).groupBy("slice")
-
-    rows = grouped(tokens.where("whole"), scratch)
-    links = scratch.write(unit_links(rows), "align-unit-links")
-    names = dense(links.select("a", "b").distinct(), "pair", "align-pair-names")
-    of_unit = tokens.select("u", "whole").join(links.join(names, ["a", "b"]).groupBy("u").agg(F.collect_list("pair").alias("pairs")), "u", "left")
-    held = told(of_unit).applyInArrow(_held, "pair long, held long").groupBy("pair").agg(F.sum("held").alias("held"))
-    pairs = scratch.write(names.join(held, "pair"), "align-held")
+        """The rows of a slice, its units with what is known of them, in one task."""
+        rows = stands.join(known, "u").drop("u").unionByName(heads, allowMissingColumns=True)
+        return rows.withColumn("whole", F.coalesce("whole", F.lit(True)))
+
+    dealt = tokens.where("whole").repartition(4 * shuffle_partitions(spark), "u")
+    with by_part_of_key(spark):
+        links = scratch.write(unit_links(*grouped(dealt)), "align-unit-links")
+    pairs = dense(links.select("a", "b").distinct(), "pair", "align-pair-names")
+    of_unit = links.join(pairs, ["a", "b"]).groupBy("u").agg(F.collect_list("pair").alias("pairs"))
+    of_unit = scratch.write(tokens.select("u", "whole").join(of_unit, "u", "left"), "align-unit-pairs")
+    held = by_slice(told(of_unit), _held, "pair long, held long").groupBy("pair").agg(F.sum("held").alias("held"))
+    pairs = scratch.write(pairs.join(held, "pair"), "align-held")
+    scratch.drop(of_unit)
     most = pairs.groupBy("a").agg(F.max("held").alias("most"))
     pairs = pairs.join(most, "a").select("a", "b", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
     scores = links.join(pairs, ["a", "b"]).groupBy("u").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
-    known = tokens.select("u", "whole").join(unit_groups(rows).join(scores, "u"), "u", "left")
-    known = scratch.write(known, "align-known")
-    scratch.drop(rows, links, tokens)
+    scores = scratch.write(scores, "align-scores")
+    scratch.drop(links)
+    with by_part_of_key(spark):
+        texts = scratch.write(unit_groups(*grouped(dealt)), "align-texts")
+    known = scratch.write(tokens.select("u", "whole").join(texts.join(scores, "u"), "u", "left"), "align-known")
+    scratch.drop(texts, scores, tokens)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string"
-    return told(known).applyInArrow(_assembled, schema)
+    return by_slice(told(known), _assembled, schema)
