@@ -51,3 +51,8 @@ def initial(key: Column, dim: int, seed: int = 0, size: int | None = None) -> Co
     bound = (6.0 / ((size or dim) + dim)) ** 0.5
     draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), k.cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (draw(k) * 2 - 1) * bound)
+
+
+def initial_relation(key: Column, dim: int, seed: int = 0, size: int | None = None) -> Column:
+    """VEC06: a relation's start vector: as an entity's, scaled to length 1."""
+    return normalized(initial(key, dim, seed, size))

@@ -81,28 +81,59 @@ def walks(starts: DataFrame, relations: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """left joined with right on key, where rows of left with one key may be very many: beyond `most` they are dealt to parts
+    that each meet the key's rows of right."""
+    hot = left.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_parts"))
+    hot = materialize(hot, "split-keys", narrow=True)
+    if hot.isEmpty():
+        return left.join(right, key)
+    parts = F.coalesce("_parts", F.lit(1))
+    rest = [c for c in left.columns if c != key]
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*rest), parts).cast("int")).drop("_parts")
+    sent = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(sent, [key, "_part"]).drop("_part")
+
+
 def walk_sums(starts: DataFrame, relations: DataFrame, most: int = 3, decay: float = 0.5) -> DataFrame:
     """GRA04: (source, target, length, n, weight): how many directed walks of up to `most` (3 at most) relations lead
     from starts (source) to each target, and the sum of their decayed weights.
 
-    A walk between a source and a target counts as it first arrives there, so it doesn't pass its own target before.
-    Only counts and sums by the nodes passed are carried, never lists of nodes.
+    A walk between a source and a target counts as it first arrives there, so it doesn't pass its own target before. No
+    walk is listed: walks are summed by their ends after each relation, passing or not, and those that have been at
+    their target before are taken off: over a relation to it and a way back to it, or over a loop on it.
     """
     if not 1 <= most <= 3:
         raise ValueError("walks have 1 to 3 relations")
-    edge = relations.groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("w"))
-    at = [F.col("source"), F.col("x1"), F.col("x2")]
-    now, out = starts.select("source").distinct().select("source", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("weight")), None
-    for length in range(1, most + 1):
-        grown = now.join(edge, at[length - 1] == F.col("a"))
-        fresh = F.col("b") != F.col("source")
-        for passed in at[1:length]:
-            fresh = fresh & (F.col("b") != passed)
-        sums = [F.sum(F.col("n") * F.col("k")).alias("n"), F.sum(F.col("weight") * F.col("w") * decay).alias("weight")]
-        found = grown.where(fresh).groupBy("source", F.col("b").alias("target")).agg(*sums).select("source", "target", F.lit(length).cast("long").alias("length"), "n", "weight")
+    edge = relations.groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.count(F.lit(1)).alias("k"), (F.sum("weight") * decay).alias("w"))
+    edge = materialize(edge, "walk-edges")
+    sums = [F.sum(F.col("n") * F.col("k")).alias("n"), F.sum(F.col("weight") * F.col("w")).alias("weight")]
+    one = edge.join(starts.select(F.col("source").alias("a")).distinct(), "a", "left_semi").withColumnsRenamed({"a": "source", "b": "target", "k": "n", "w": "weight"})
+    by_end = [one]
+    for _ in range(1, most):
+        last = split_join(by_end[-1].withColumnRenamed("target", "a"), edge, "a").groupBy("source", F.col("b").alias("target")).agg(*sums)
+        by_end.append(materialize(last, "walk-sums"))
+    # of each target: its loop, and its ways back over one relation between
+    loop = edge.where("a = b").select(F.col("a").alias("target"), F.col("k").alias("ln"), F.col("w").alias("lw"))
+    there, again = edge.select(F.col("a").alias("target"), F.col("b").alias("x"), F.col("k").alias("k1"), F.col("w").alias("w1")), edge.select(F.col("a").alias("x"), F.col("b").alias("target"), F.col("k").alias("k2"), F.col("w").alias("w2"))
+    ways = there.join(again, ["target", "x"]).groupBy("target").agg(F.sum(F.col("k1") * F.col("k2")).alias("cn"), F.sum(F.col("w1") * F.col("w2")).alias("cw"))
+    back = materialize(loop.join(ways, "target", "full"), "walk-ways-back", narrow=True)
+    out = None
+    for length, walks_ in enumerate(by_end, 1):
+        rows = walks_.where("source <> target").join(back, "target", "left")
+        for n, suffix in (("n", "n"), ("weight", "w")):
+            zero = F.lit(0) if n == "n" else F.lit(0.0)
+            has = lambda c: F.coalesce(c, zero)  # noqa: B023, E731
+            if length > 1:
+                rows = rows.join(by_end[length - 2].select("source", "target", F.col(n).alias(f"{n}_1")), ["source", "target"], "left")
+            if length == 2:
+                rows = rows.withColumn(n, F.col(n) - has(f"{n}_1") * has(f"l{suffix}"))
+            if length == 3:
+                rows = rows.join(by_end[0].select("source", "target", F.col(n).alias(f"{n}_2")), ["source", "target"], "left")
+                loops = has(f"l{suffix}")
+                rows = rows.withColumn(n, F.col(n) - has(f"{n}_2") * has(f"c{suffix}") - has(f"{n}_1") * loops + has(f"{n}_2") * loops * loops)
+        found = rows.where("n > 0").select("source", "target", F.lit(length).cast("long").alias("length"), "n", "weight")
         out = found if out is None else out.unionByName(found)
-        passed_names = [f"x{k}" for k in range(1, length)]
-        now = grown.select("source", *passed_names, F.col("b").alias(f"x{length}"), (F.col("n") * F.col("k")).alias("n"), (F.col("weight") * F.col("w") * decay).alias("weight"))
     return out
 
 
@@ -117,22 +148,27 @@ def first_walks(wanted: DataFrame, relations: DataFrame, hops: tuple[int, ...],
     nodes they pass, of up to h (3 at most) relations between wanted pairs (source, target), source <> target.
 
     A walk of three relations is one relation and one of the first `paths` walks of two that lead on to the target:
-    others can't be among the first. So walks of two are found once for all sources, and none of three is listed whole.
+    others can't be among the first. So walks of two are found once, from the sources and what one relation leads to from
+    them, to the targets alone; and none of three is listed whole. A node that very many relations lead to is split.
     """
     if not all(1 <= h <= 3 for h in hops):
         raise ValueError("walks have 1 to 3 relations")
     edge = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), (F.col("weight") * decay).alias("x"))
+    sources, targets = wanted.select("source").distinct(), wanted.select(F.col("target").alias("b")).distinct()
     one = edge.select(F.col("a").alias("source"), F.col("b").alias("target"), F.array("b").alias("seen"), "x")
     found = wanted.join(one, ["source", "target"]).withColumn("length", F.lit(1))
     if max(hops) > 1:
-        onward = edge.select(F.col("a").alias("mid"), F.col("b").alias("target"), F.col("x").alias("y"))
-        two = edge.select(F.col("a").alias("source"), F.col("b").alias("mid"), "x").join(onward, "mid").where("mid <> target")
+        begin = edge.join(sources.withColumnRenamed("source", "a"), "a", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("mid"), "x")
+        starts = sources if max(hops) == 2 else sources.unionByName(begin.select(F.col("mid").alias("source"))).distinct()
+        onward = edge.join(targets, "b", "left_semi").select(F.col("a").alias("mid"), F.col("b").alias("target"), F.col("x").alias("y"))
+        opening = edge.join(starts.withColumnRenamed("source", "a"), "a", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("mid"), "x")
+        two = split_join(opening, onward, "mid").where("mid <> target")
         two = two.select("source", "target", F.array("mid", "target").alias("seen"), (F.col("x") * F.col("y")).alias("x"))
+        two = materialize(capped(two, ["source", "target"], ["seen"], paths), "walks-of-two")
         found = found.unionByName(wanted.join(two, ["source", "target"]).withColumn("length", F.lit(2)))
     if max(hops) > 2:
-        rest = capped(two, ["source", "target"], ["seen"], paths).select(F.col("source").alias("mid"), "target", F.col("seen").alias("after"), F.col("x").alias("y"))
-        begin = edge.join(wanted.select(F.col("source").alias("a")).distinct(), "a").select(F.col("a").alias("source"), F.col("b").alias("mid"), "x")
-        three = begin.join(rest, "mid").where("mid <> target").select("source", "target", F.concat(F.array("mid"), "after").alias("seen"), (F.col("x") * F.col("y")).alias("x"))
+        rest = two.select(F.col("source").alias("mid"), "target", F.col("seen").alias("after"), F.col("x").alias("y"))
+        three = split_join(begin, rest, "mid").where("mid <> target").select("source", "target", F.concat(F.array("mid"), "after").alias("seen"), (F.col("x") * F.col("y")).alias("x"))
         found = found.unionByName(wanted.join(three, ["source", "target"]).withColumn("length", F.lit(3)))
     for h in hops:
         w = Window.partitionBy("source", "target").orderBy(F.col("length") > h, "seen")
@@ -143,13 +179,14 @@ def first_walks(wanted: DataFrame, relations: DataFrame, hops: tuple[int, ...],
 
 def path_similarities(pairs: DataFrame, mentions: DataFrame, relations: DataFrame, hops: tuple[int, ...] = (3, 2), entities: int = 5, entity_pairs: int = 10, paths: int = 5) -> DataFrame:
     """AGG18: (query_id, paper_id, s_path_<h> for each of hops) for every pair: decayed weights of walks between their
-    first entities."""
+    first entities. A paper's first entities are one row, and pairs of entities are formed and cut within a pair's row."""
     first = capped(mentions.select("paper_id", "entity_id", "seq"), ["paper_id"], ["seq", "entity_id"], entities)
-    q = first.select(F.col("paper_id").alias("query_id"), F.col("entity_id").alias("source"), F.col("seq").alias("qseq"))
-    c = first.select("paper_id", F.col("entity_id").alias("target"), F.col("seq").alias("cseq"))
-    met = pairs.join(q, "query_id").join(c, "paper_id")
-    met = capped(met, ["query_id", "paper_id"], ["qseq", "source", "cseq", "target"], entity_pairs).where("source <> target")
-    met = materialize(met.select("query_id", "paper_id", "source", "target"), "path-pairs")
+    first = first.groupBy("paper_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "entity_id"))), lambda e: e["entity_id"]).alias("first"))
+    first = materialize(first, "first-entities")
+    met = pairs.join(first.withColumnsRenamed({"paper_id": "query_id", "first": "asked"}), "query_id").join(first, "paper_id")
+    both = F.flatten(F.transform("asked", lambda a: F.transform("first", lambda b: F.struct(a.alias("source"), b.alias("target")))))
+    met = met.select("query_id", "paper_id", F.explode(F.slice(both, 1, entity_pairs)).alias("e")).select("query_id", "paper_id", "e.*")
+    met = materialize(met.where("source <> target"), "path-pairs")
     sums = first_walks(met.select("source", "target").distinct(), relations, hops, paths)
     names = [f"s_path_{h}" for h in hops]
     scored = met.join(sums, ["source", "target"]).groupBy("query_id", "paper_id").agg(*[F.sum(n).alias(n) for n in names])

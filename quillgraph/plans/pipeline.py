@@ -27,7 +27,7 @@ def build(papers: DataFrame, vectors: DataFrame | None = None, tagger: T.Batch |
     """E2E03 (preparing, tagging, linking): a graph of cleaned papers; vectors: (entity_id, v), else entities have none."""
     clean = materialize(R.cleaned_papers(papers, least).dropDuplicates(["id"]), "papers")
     mentions = materialize(T.link(T.tag_entities(clean, tagger), clean), "mentions")
-    relations = materialize(T.relate(mentions, classifier), "relations")
+    relations = materialize(T.relate(mentions, classifier, papers=clean), "relations")
     units = S.unit_vectors(vectors) if vectors is not None else papers.sparkSession.createDataFrame([], "entity_id string, u array<double>")
     return Graph(clean, mentions, relations, materialize(S.type_profiles(mentions.select("paper_id", "entity_id", "entity_type", "weight"), units), "profiles"))
 

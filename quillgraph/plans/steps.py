@@ -15,6 +15,7 @@ from ..sources import readers as R
 from ..sources.shared import file_system
 from . import pipeline
 from . import stages as T
+from .encode import Predict, encode
 from .recommend import Settings
 
 
@@ -35,6 +36,7 @@ class Work:
     classifier: T.Batch | None = None
     client: T.Batch | None = None
     vectors: Callable[[DataFrame], DataFrame] | None = None  # (entity_id) to (entity_id, v)
+    encoder: Callable[[], Predict] | None = None  # or a model for entities' names, through the cache in the folder
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -66,7 +68,7 @@ def preprocess(w: Work) -> None:
 def extract(w: Work) -> None:
     clean = w.read("clean")
     w.write("mentions", T.link(T.tag_entities(clean, w.tagger), clean))
-    w.write("relations", T.relate(w.read("mentions"), w.classifier))
+    w.write("relations", T.relate(w.read("mentions"), w.classifier, papers=clean))
 
 
 def build_graph(w: Work) -> None:
@@ -81,7 +83,12 @@ def build_graph(w: Work) -> None:
 def embeddings(w: Work) -> None:
     """Vectors of entities: the start vectors, or what a model's function gives."""
     names = w.read("mentions").select("entity_id").distinct()
-    vectors = w.vectors(names) if w.vectors else names.select("entity_id", initial(F.col("entity_id"), w.dim).alias("v"))
+    if w.vectors:
+        vectors = w.vectors(names)
+    elif w.encoder:
+        vectors = encode(names.select(F.col("entity_id").alias("id"), F.col("entity_id").alias("text")), w.dim, w.path("vector_cache"), w.encoder).withColumnRenamed("id", "entity_id")
+    else:
+        vectors = names.select("entity_id", initial(F.col("entity_id"), w.dim).alias("v"))
     w.write("vectors", vectors)
     mentions = w.read("mentions").select("paper_id", "entity_id", "entity_type", "weight")
     w.write("profiles", S.type_profiles(mentions, S.unit_vectors(w.read("vectors"))))

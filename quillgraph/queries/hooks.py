@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,13 +19,25 @@ from ..plans import pipeline
 from ..plans import recommend as P
 from ..plans import stages as T
 from ..plans.bindings import Tables, sql
+from ..plans.encode import encode, paper_text
+from ..sources import paged
 from ..sources import readers as R
 from ..sources.shared import shared_path
+from ..streaming.resume import resume
 from . import query
 from .scores import FUNCTION, KNN, PAIRS, PROFILE, by_rank, function_scores
 from .texts import SET
 
-WORDS = ", ".join(f"({i}, '{kind}', '{word}')" for i, (kind, word) in enumerate((k, w) for k, some in C.ENTITY_WORDS for w in some))
+#: letters that occur in all of the documents' languages, as entities of relations
+LETTERS = (("task", ("er", "tion")), ("method", ("en", "on")), ("material", ("in",)), ("metric", ("re",)))
+
+
+def tagged_sql(lexicon) -> str:
+    words = ", ".join(f"({i}, '{kind}', '{word}')" for i, (kind, word) in enumerate((k, w) for k, some in lexicon for w in some))
+    return (
+        "tagged AS (SELECT id, title, abstract, n - 1 AS pos, entity_type, word FROM (SELECT p.*, row_number() OVER (PARTITION BY p.id ORDER BY i) AS n, v.entity_type, v.word "
+        f"FROM papers p JOIN (VALUES {words}) v(i, entity_type, word) ON contains(lower(p.title || ' ' || p.abstract), v.word)) WHERE n <= 10)"
+    )
 
 
 @query("src04_json_lines_sink", "SELECT p_type, count(*) AS n, sum(p_partkey)::BIGINT AS keys FROM part GROUP BY 1")
@@ -116,7 +129,7 @@ def zero_degree(t: Tables) -> DataFrame:
     return e.groupBy("source").agg(F.round(F.sum("p"), 6).alias("mass"), F.count(F.lit(1)).alias("n"))
 
 
-TAGGED = f"tagged AS (SELECT id, title, abstract, n - 1 AS pos, entity_type, word FROM (SELECT p.*, row_number() OVER (PARTITION BY p.id ORDER BY i) AS n, v.entity_type, v.word FROM papers p JOIN (VALUES {WORDS}) v(i, entity_type, word) ON contains(lower(p.title || ' ' || p.abstract), v.word)) WHERE n <= 10)"
+TAGGED = tagged_sql(C.ENTITY_WORDS)
 
 
 @query("udf01_tag_entities", sql("papers", f"WITH {TAGGED} SELECT CAST(id AS VARCHAR) AS paper_id, pos, entity_type, word AS text FROM tagged"))
@@ -162,3 +175,76 @@ def build(t: Tables) -> DataFrame:
     papers = t.papers.select(F.col("id").cast("string").alias("id"), "title", "abstract", "venue", "year", "citation_count")
     mentions = pipeline.build(papers).mentions
     return mentions.groupBy("entity_type").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("paper_id").alias("papers"), F.count_distinct("text").alias("entities"))
+
+
+PLACED = "('0x' || left(md5(w), 6))::BIGINT % 16 AS place, CASE WHEN substr(md5(w), 7, 1) < '8' THEN 1 ELSE -1 END AS sign"
+
+
+@query(
+    "vec07_encoded_papers",
+    sql(
+        "papers",
+        f"WITH w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || abstract), '\\s+'), lambda x: x <> '')) AS w FROM papers), s AS (SELECT id, place, sum(sign)::DOUBLE AS x FROM (SELECT id, {PLACED} FROM w) GROUP BY 1, 2), "
+        "n AS (SELECT id, sqrt(sum(x * x)) AS size FROM s GROUP BY 1), k AS (SELECT id, unnest(range(16)) AS place FROM papers) "
+        "SELECT k.id, CAST(k.place AS INT) AS place, round(CASE WHEN n.size > 0 THEN coalesce(s.x, 0) / n.size ELSE 0 END, 6)::DOUBLE AS x FROM k LEFT JOIN s ON s.id = k.id AND s.place = k.place LEFT JOIN n ON n.id = k.id",
+    ),
+)
+def encoded(t: Tables) -> DataFrame:
+    """Papers' vectors by the default encoder; the second run finds every text in the cache."""
+    rows = t.papers.select("id", paper_text(F.col("title"), F.col("abstract")).alias("text"))
+    cache = shared_path(t.spark, "vector-cache")
+    encode(rows, 16, cache)
+    return encode(rows, 16, cache).select("id", F.posexplode("v").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("src15_paged_papers", "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS venue, n_chars AS citation_count FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents) WHERE text <> '' AND source <> 'src2'")
+def paged_papers(t: Tables) -> DataFrame:
+    """Documents as the pages of a search service, a query for each language, read back through the paged source."""
+    abstract = F.when(F.col("source") != "src2", F.col("text"))
+    object_ = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), abstract.alias("abstract"), F.col("lang").alias("venue"), F.col("n_chars").alias("citation_count")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
+    path = shared_path(t.spark, "pages")
+    rows = t.documents.select(F.col("lang").alias("query"), place.alias("place"), object_.alias("object"))
+    paged.write_pages(rows, path)
+    most = rows.groupBy("query").agg(F.max("place").alias("last")).collect()  # a row for each query of the service
+    pages = paged.read_pages(t.spark, sorted(r["query"] for r in most), path=path, last=str(max([0, *(r["last"] for r in most)])))
+    return paged.fetched_papers(pages).select("id", "venue", "citation_count")
+
+
+@query("src17_resumed", "SELECT 'c' || conv_id AS id, min(turn) AS seq FROM conversations GROUP BY 1")
+def resumed(t: Tables) -> DataFrame:
+    """Acquisition in two runs over what has arrived: openings first, then everything; each key's first row stays."""
+    at = shared_path(t.spark, "resumed")
+    rows = t.conversations.select(F.concat(F.lit("c"), "conv_id").alias("id"), F.col("turn").alias("seq"))
+    for k, part in enumerate((rows.where("seq < 2"), rows)):
+        part.write.parquet(f"{at}/arrivals/{k}")
+        resume(t.spark, f"{at}/arrivals", "id string, seq long", f"{at}/sink", f"{at}/checkpoint", ["id"], ["seq"]).awaitTermination()
+    return t.spark.read.schema("id string, seq long").parquet(f"{at}/sink")
+
+
+def by_context(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In a model's place: the pattern of the types, the heavier the earlier the second word stands in the text."""
+    pattern = {(a, b): r for a, r, b in C.PATH_PATTERNS}
+    for f in frames:
+        text = T.separated(f)
+        kind = [pattern.get(x) for x in zip(f["source_type"], f["target_type"], strict=True)]
+        body = [x.split(" [SEP] ", 1)[1].rsplit(" [SEP] ", 1)[0].lower() for x in text]
+        weight = [1 / (1 + b.find(w)) if w in b else 0.0 for b, w in zip(body, f["target_text"], strict=True)]
+        out = pd.DataFrame({"source": f["source"], "target": f["target"], "relation_type": kind, "weight": weight})
+        yield out[out["relation_type"].notna()]
+
+
+@query(
+    "udf02_relation_hook",
+    sql(
+        "papers patterns",
+        f"WITH {tagged_sql(LETTERS)}, r AS (SELECT a.entity_type || '_' || a.word AS source, b.entity_type || '_' || b.word AS target, p.relation_type, 1.0 / instr(lower(a.title || ' ' || a.abstract), b.word) AS weight "
+        "FROM tagged a JOIN tagged b ON a.id = b.id AND a.pos < b.pos AND a.word <> b.word JOIN patterns p ON p.source_type = a.entity_type AND p.target_type = b.entity_type) "
+        "SELECT source, target, arg_max(relation_type, (weight, relation_type)) AS relation_type, round(max(weight), 9)::DOUBLE AS weight FROM r WHERE weight >= 0.001 GROUP BY 1, 2",
+    ),
+)
+def relation_hook(t: Tables) -> DataFrame:
+    """A relation model's place: pairs of a paper's entities with their texts and the paper's as context."""
+    papers = t.papers.select(F.col("id").cast("string").alias("id"), "title", "abstract")
+    mentions = T.tag_entities(papers, lexicon=LETTERS).select("paper_id", F.col("pos").alias("seq"), F.concat_ws("_", "entity_type", "text").alias("entity_id"), "entity_type", "text")
+    return T.relate(mentions, by_context, 0.001, papers).withColumn("weight", F.round("weight", 9))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,12 +157,30 @@ def evaluation(t: Tables) -> DataFrame:
     return row.select(*[F.round(c, 6).alias(c) for c in ("p_at_5", "r_at_5", "map", "mrr", "temporal")])
 
 
-@query("udf03_function_stage", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'with') THEN 0.7 ELSE 0.1 END::DOUBLE AS p_use FROM conversations")
+LOGITS = (("background", 1.0, ""), ("use", 0.25, "th"), ("compare", 0.5, "on"), ("inspire", 0.75, "er"))
+
+
+def counted_logits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In a model's place: logits by how often a function's letters occur in the context."""
+    for f in frames:
+        yield pd.DataFrame({name: (f["context"].str.count(letters) * scale if letters else scale) for name, scale, letters in LOGITS}, index=f.index, columns=[x[0] for x in LOGITS])
+
+
+LOGIT_SQL = ", ".join(f"{scale} * ((length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{letters}', ''))) / 2) AS {name}" if letters else f"{scale}::DOUBLE AS {name}" for name, scale, letters in LOGITS)
+
+
+@query(
+    "udf03_function_stage",
+    f"WITH l AS (SELECT conv_id, turn, {LOGIT_SQL} FROM conversations), e AS (SELECT *, exp(background - top) AS eb, exp(use - top) AS eu, exp(compare - top) AS ec, exp(inspire - top) AS ei "
+    "FROM (SELECT *, greatest(background, use, compare, inspire) AS top FROM l)) SELECT conv_id, turn, CASE top WHEN background THEN 'background' WHEN use THEN 'use' WHEN compare THEN 'compare' ELSE 'inspire' END AS function, "
+    + ", ".join(f"round(e{n[0]} / (eb + eu + ec + ei), 6)::DOUBLE AS p_{n}" for n, _, _ in LOGITS) + " FROM e",
+)
 def function_stage(t: Tables) -> DataFrame:
-    """The classifier stage: any frame (query_id, function) may take the keyword classifier's place."""
+    """The function classifier as a model's batch stage: four probabilities for each context, and the likeliest function."""
     q = t.conversations.select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("context"))
-    f = P.functions_of(q, (("use", ("with",)),))
-    return f.select("query_id.conv_id", "query_id.turn", F.when(F.col("function") == "use", 0.7).otherwise(0.1).alias("p_use"))
+    q = q.select(F.to_json("query_id").alias("query_id"), "context")
+    f = P.function_probabilities(q, counted_logits).withColumn("id", F.from_json("query_id", "conv_id long, turn long"))
+    return f.select("id.conv_id", "id.turn", "function", *[F.round(F.get("probabilities", k), 6).alias(f"p_{name}") for k, (name, _, _) in enumerate(LOGITS)])
 
 
 @query(
@@ -178,8 +199,15 @@ def resolved_triples(t: Tables) -> DataFrame:
     return rows.select(F.col("head").alias("vec_id"), F.col("relation").cast("int").alias("label"), "tail", total("h").alias("head_sum"), total("r").alias("relation_sum"), total("t").alias("tail_sum"))
 
 
-@query("vec06_start_vectors", "SELECT p_partkey, round((('0x' || left(md5(p_partkey || ':3:0'), 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) * sqrt(6.0 / 16), 6) AS fourth FROM part")
+@query(
+    "vec06_start_vectors",
+    "WITH k AS (SELECT p_partkey, unnest(range(8)) AS k FROM part), d AS (SELECT p_partkey, k, (('0x' || left(md5(p_partkey || ':' || k || ':0'), 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) * sqrt(6.0 / 16) AS x FROM k), "
+    "n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY p_partkey)) AS size FROM d) SELECT p_partkey, CAST(k AS INT) AS k, round(x, 6) AS entity, round(x / size, 6) AS relation FROM n",
+)
 def start_vectors(t: Tables) -> DataFrame:
-    from ..functions.vectors import initial
+    """All components of entities' start vectors, and of relations', which have length 1."""
+    from ..functions.vectors import initial, initial_relation
 
-    return t.part.select("p_partkey", F.round(F.get(initial(F.col("p_partkey"), 8), 3), 6).alias("fourth"))
+    key = F.col("p_partkey")
+    rows = t.part.select("p_partkey", F.posexplode(F.arrays_zip(initial(key, 8).alias("e"), initial_relation(key, 8).alias("r"))).alias("k", "x"))
+    return rows.select("p_partkey", "k", F.round("x.e", 6).alias("entity"), F.round("x.r", 6).alias("relation"))
