@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .graph import reachable
+from .reach import has_path
 
 
 def with_hits(ranked: DataFrame, truth: DataFrame) -> DataFrame:
@@ -68,17 +68,18 @@ def path_coverage(ranked: DataFrame, relations: DataFrame) -> DataFrame:
     """AGG09: (query_id, path_coverage): the share of recommendations (query_id, paper_id) with a directed path to or from
     their query, or to or from another recommendation of it, or with any out-edge in relations (source, target).
 
-    A path that starts at a paper starts with an out-edge. So only papers without one are looked at further: those that a
-    path from the query or from another recommendation reaches, found by going back from them.
+    A path that starts at a paper starts with an out-edge. So only papers without one are looked at further: whether a path
+    from the query or from another recommendation leads to them, which is asked for these pairs alone.
     """
     edges = relations.select("source", "target").distinct()
     out = edges.select(F.col("source").alias("paper_id")).distinct().withColumn("has", F.lit(1))
     rows = materialize(ranked.select("query_id", "paper_id").join(out, "paper_id", "left"), "coverage-rows")
-    ends = rows.where("has IS NULL").select("query_id", "paper_id").distinct()
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    before = reachable(back, ends.select(F.col("paper_id").alias("id")).distinct()).select(F.col("start").alias("paper_id"), F.col("id").alias("other"))
-    asked = rows.select("query_id", F.col("paper_id").alias("other")).unionByName(rows.select("query_id", F.col("query_id").alias("other"))).distinct()
-    led = ends.join(before, "paper_id").where("other <> paper_id").join(asked, ["query_id", "other"], "left_semi").select("query_id", "paper_id").distinct().withColumn("led", F.lit(1))
+    # an end that no edge leads to can't be reached, and what has no out-edge leads nowhere
+    ends = rows.where("has IS NULL").select("query_id", "paper_id").distinct().join(edges.select(F.col("target").alias("paper_id")).distinct(), "paper_id", "left_semi")
+    leading = rows.where("has = 1").select("query_id", F.col("paper_id").alias("source")).unionByName(rows.select("query_id", F.col("query_id").alias("source"))).distinct()
+    asked = materialize(ends.join(leading, "query_id").where("source <> paper_id"), "coverage-asked")
+    reached = has_path(asked.select("source", F.col("paper_id").alias("target")), edges).where("path").select("source", F.col("target").alias("paper_id"))
+    led = asked.join(reached, ["source", "paper_id"], "left_semi").select("query_id", "paper_id").distinct().withColumn("led", F.lit(1))
     return rows.join(led, ["query_id", "paper_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("has", "led", F.lit(0))).alias("path_coverage"))
 
 

@@ -121,18 +121,18 @@ def temporal(t: Tables) -> DataFrame:
     "agg09_path_coverage",
     sql(
         "ranked citations",
-        "WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM citations WHERE step = 2), o AS (SELECT DISTINCT source FROM e), "
-        "ends AS (SELECT DISTINCT query_id, paper_id FROM ranked WHERE rank <= 4 AND paper_id NOT IN (SELECT source FROM o)), "
+        "WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM citations), o AS (SELECT DISTINCT source FROM e), "
+        "ends AS (SELECT DISTINCT query_id, paper_id FROM ranked WHERE rank <= 10 AND paper_id NOT IN (SELECT source FROM o)), "
         "back(paper_id, other) AS (SELECT DISTINCT ends.paper_id, e.source FROM ends JOIN e ON e.target = ends.paper_id UNION SELECT b.paper_id, e.source FROM back b JOIN e ON e.target = b.other), "
         "led AS (SELECT DISTINCT n.query_id, n.paper_id FROM ends n JOIN back b ON b.paper_id = n.paper_id AND b.other <> n.paper_id "
-        "WHERE b.other = n.query_id OR (n.query_id, b.other) IN (SELECT query_id, paper_id FROM ranked WHERE rank <= 4)) "
+        "WHERE b.other = n.query_id OR (n.query_id, b.other) IN (SELECT query_id, paper_id FROM ranked WHERE rank <= 10)) "
         "SELECT r.query_id, round(avg(CASE WHEN o.source IS NOT NULL OR led.paper_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS path_coverage "
-        "FROM ranked r LEFT JOIN o ON o.source = r.paper_id LEFT JOIN led ON led.query_id = r.query_id AND led.paper_id = r.paper_id WHERE r.rank <= 4 GROUP BY 1",
+        "FROM ranked r LEFT JOIN o ON o.source = r.paper_id LEFT JOIN led ON led.query_id = r.query_id AND led.paper_id = r.paper_id WHERE r.rank <= 10 GROUP BY 1",
     ).replace("WITH ordered", "WITH RECURSIVE ordered", 1).replace(", RECURSIVE e AS", ", e AS"),
 )
 def path_coverage(t: Tables) -> DataFrame:
-    """Papers are linked to the second order before them only, so some recommendations have no out-edge."""
-    return rounded(M.path_coverage(t.ranked.where("rank <= 4"), t.citations.where("step = 2")), "path_coverage")
+    """Over whole lists; a customer's first order has no out-edge, and its coverage depends on what leads to it."""
+    return rounded(M.path_coverage(t.ranked.where("rank <= 10"), t.once("citations")), "path_coverage")
 
 
 @query("agg10_evidence", sql("ranked graph_papers", "WITH known AS (SELECT id FROM graph_papers WHERE citation_count > 100) SELECT r.query_id, round(avg(CASE WHEN k.id IS NOT NULL AND trim(CASE WHEN r.rank % 4 = 0 THEN ' ' ELSE 'reason' END) <> '' THEN 1.0::DOUBLE ELSE 0 END), 6) AS evidence FROM ranked r LEFT JOIN known k ON k.id = r.paper_id GROUP BY 1"))
