@@ -90,6 +90,15 @@ def graph_files(t: Tables) -> DataFrame:
     return out.join(F.broadcast(n.agg(F.count(F.lit(1)).alias("nodes")))).select("nodes", "edges", "unknown", "weight")
 
 
+@query("src11_edges_by_source", sql("relations", "SELECT a.source, count(*) AS n, round(sum(a.weight * b.weight), 6)::DOUBLE AS weight FROM relations a JOIN relations b ON b.source = a.target GROUP BY 1"))
+def edges_by_source(t: Tables) -> DataFrame:
+    """Walks of two relations over edges that lie by their source."""
+    e = R.write_edges_by_source(t.relations, folder(t, "src11-edges"), 8)
+    onward = e.select(F.col("source").alias("mid"), F.col("weight").alias("w"))
+    rows = t.once("relations").withColumnRenamed("target", "mid").join(onward, "mid")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("weight"))
+
+
 @query("src12_mention_files", sql("contains entities", "SELECT entity_type, count(*) AS n FROM contains JOIN entities ON id = entity_id GROUP BY 1"))
 def mention_files(t: Tables) -> DataFrame:
     path = folder(t, "src12")

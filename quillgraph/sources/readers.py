@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,6 +196,39 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), edges.withColumns({"relation_type": F.coalesce("relation_type", F.lit("unknown")), "weight": F.coalesce("weight", F.lit(1.0))})
 
 
+EDGE = "source string, target string, relation_type string, weight double"
+
+
+def write_edges_by_source(edges: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """SRC11: edges (source, target, relation_type, weight) in `buckets` files by their source, each sorted by it, and read back: a
+    join on source takes them as they lie, so in walks they are neither shuffled nor sorted. The folder's name tells the
+    number of buckets; files of earlier writes go."""
+    fs, root = file_system(edges.sparkSession, path)
+    fs.delete(root, True)
+    edges.sparkSession.sql(f"DROP TABLE IF EXISTS {_table(path, buckets)}")
+    rows = edges.select(*[F.col(c.split()[0]) for c in EDGE.split(", ")]).repartition(buckets, "source")
+    rows.write.bucketBy(buckets, "source").sortBy("source").format("parquet").option("path", f"{path}/by-source-{buckets}").saveAsTable(_table(path, buckets))
+    return read_edges_by_source(edges.sparkSession, path)
+
+
+def read_edges_by_source(spark: SparkSession, path: str) -> DataFrame:
+    """SRC11: what write_edges_by_source has written, by this session or another one."""
+    fs, root = file_system(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("by-source-")]
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {len(found)} tables of edges")
+    buckets = int(found[0].rpartition("-")[2])
+    name = _table(path, buckets)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({EDGE}) USING parquet CLUSTERED BY (source) SORTED BY (source) INTO {buckets} BUCKETS LOCATION '{path}/{found[0]}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
+def _table(path: str, buckets: int) -> str:
+    """A name for the session's catalog, the same for the same folder."""
+    return f"edges_{hashlib.sha256(path.encode()).hexdigest()[:24]}_{buckets}"
+
+
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC11: the same from nodes.json and edges.json."""
     nodes = read_json(spark, f"{path}/nodes.json", "id string, node_type string, title string, abstract string, authors array<string>, year int, venue string, citation_count bigint, doi string, text string, entity_type string, canonical string, weight double, embedding array<double>")

@@ -94,3 +94,22 @@ def test_stream_upserts(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream_into(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "ck"), ["id"], "seq").awaitTermination()
     assert sorted(tuple(r) for r in current(spark, out).select("id", "title").collect()) == [("a", "new"), ("b", "b"), ("c", "c")]
+
+
+def test_edges_by_source_are_joined_as_they_lie(spark, tmp_path):
+    rows = [(f"n{k % 7}", f"n{k % 11}", "use", float(k)) for k in range(60)]
+    path = f"file://{tmp_path}/edges"
+    for most in (60, 50):  # a second write replaces the first
+        edges = R.write_edges_by_source(spark.createDataFrame(rows[:most], R.EDGE), path, 4)
+        assert sorted(tuple(r) for r in edges.collect()) == sorted(rows[:most])
+    again = R.read_edges_by_source(spark, path)
+    assert again.count() == 50
+    front = spark.createDataFrame([(f"n{k}",) for k in range(9)], "source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = front.join(again, "source")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50 and plan.count("Exchange hashpartitioning") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
