@@ -43,6 +43,7 @@ SPACE = "▁"
 BEFORE = "!-~¡-ɏΑ-ΡΣ-ώЀ-џ‐-‧‰-⁞₠-₵ぁ-ゔァ-ヺ一-龥"
 SEAM, NO_SEAM = re.compile(f"(?<=[{BEFORE}])(?= )"), re.compile(f"[^{BEFORE}] ")
 SLICE = 8 << 20  # characters of a slice
+ROUNDS = 4  # in which slices are put together, so that a quarter of their rows lies in shuffle files at once
 
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 TOKENS = "a_ids array<int>, a_lengths array<int>, b_ids array<int>, b_lengths array<int>, whole boolean"
@@ -295,10 +296,16 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     heads = scratch.write(found.where("unit IS NULL").select("slice", "ids", "units"), "align-slices")
     scratch.drop(found)
 
-    def told(known: DataFrame) -> DataFrame:
-        """The rows of a slice, its units with what is known of them, in one task."""
-        rows = stands.join(known, "u").drop("u").unionByName(heads, allowMissingColumns=True)
-        return rows.withColumn("whole", F.coalesce("whole", F.lit(True)))
+    def told(known: DataFrame, make: Callable[[pa.Table], pa.Table], schema: str, sums: str | None = None) -> DataFrame:
+        """What make() gives of the rows of each slice, its units with what is known of them; a number added up by `sums`."""
+        out = None
+        for k in range(ROUNDS):
+            now = F.pmod(F.xxhash64("slice"), F.lit(ROUNDS)) == k
+            rows = stands.where(now).join(known, "u").drop("u").unionByName(heads.where(now), allowMissingColumns=True)
+            made = by_slice(rows.withColumn("whole", F.coalesce("whole", F.lit(True))), make, schema)
+            made = scratch.write(made.groupBy(sums).agg(F.sum("held").alias("held")) if sums else made, "align-round")
+            out = made if out is None else out.unionByName(made)
+        return out.groupBy(sums).agg(F.sum("held").alias("held")) if sums else out
 
     dealt = tokens.where("whole").repartition(4 * shuffle_partitions(spark), "u")
     with by_part_of_key(spark):
@@ -306,7 +313,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     pairs = dense(links.select("a", "b").distinct(), "pair", "align-pair-names")
     of_unit = links.join(pairs, ["a", "b"]).groupBy("u").agg(F.collect_list("pair").alias("pairs"))
     of_unit = scratch.write(tokens.select("u", "whole").join(of_unit, "u", "left"), "align-unit-pairs")
-    held = by_slice(told(of_unit), _held, "pair long, held long").groupBy("pair").agg(F.sum("held").alias("held"))
+    held = told(of_unit, _held, "pair long, held long", "pair")
     pairs = scratch.write(pairs.join(held, "pair"), "align-held")
     scratch.drop(of_unit)
     most = pairs.groupBy("a").agg(F.max("held").alias("most"))
@@ -319,4 +326,4 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     known = scratch.write(tokens.select("u", "whole").join(texts.join(scores, "u"), "u", "left"), "align-known")
     scratch.drop(texts, scores, tokens)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string"
-    return by_slice(told(known), _assembled, schema)
+    return told(known, _assembled, schema)
