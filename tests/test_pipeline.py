@@ -113,7 +113,7 @@ def test_other_modes(spark, tmp_path):
     main(["train", *p, "--out", f"{out}-t"])
     assert spark.read.parquet(f"{out}-t/splits").count() == 4
     main(["demo", "--out", f"{out}-d"])
-    assert {r.paper_id for r in spark.read.json(f"{out}-d").collect()} <= {"first", "second", "third"}
+    assert {r.paper_id for r in spark.read.json(f"{out}-d").collect()} <= {"tides", "pollen", "drums", "bees", "choirs"}
     with pytest.raises(ValueError):
         main(["inference", *p, "--query-id", "nobody", "--context", "use", "--out", f"{out}-n"])
     with pytest.raises(SystemExit):
