@@ -39,7 +39,7 @@ def answer(graph: Graph, queries: DataFrame, settings: P.Settings | None = None,
     pairs = materialize(T.candidates(queries, graph.mentions), "candidates")
     by_type = materialize(S.type_similarity(pairs, graph.profiles), "type-similarity")
     sets = materialize(T.paper_sets(T.text_sets(graph.papers), graph.mentions), "paper-sets")
-    scores = T.function_scores(pairs, by_type, sets, functions)
+    scores = T.function_scores(pairs, by_type, sets, functions).drop("function")
     if client is None:
         return P.recommend(pairs, by_type, graph.mentions, graph.relations, graph.papers, scores, functions, s)
     order = P.rerank(P.retrieve(pairs, by_type, graph.mentions, graph.relations, s), scores, graph.papers, functions, s)
