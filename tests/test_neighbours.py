@@ -115,3 +115,15 @@ def test_index_grows_and_keeps_zeros(spark, tmp_path, monkeypatch):
     assert got(index.search(queries, 12, 1, exact=True)) == plain(m, 12, "cosine", asked)
     with pytest.raises(ValueError):
         VectorIndex.build(table(spark, np.zeros((0, 2))), str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_blocks_are_met_where_little_is_ruled_out(spark, monkeypatch, metric):
+    monkeypatch.setattr(K, "BLOCK", 64)
+    monkeypatch.setattr(K, "GROUP", 3 * 64 * 8 * 24)
+    sent, search = [], K.search_blocks
+    monkeypatch.setattr(K, "search_blocks", lambda dealt, *rest: (sent.append(dealt.where("asks").count()), search(dealt, *rest))[1])
+    m = np.concatenate([np.random.default_rng(8).normal(size=(900, 24)), np.ones((150, 24)), np.zeros((3, 24))])
+    assert got(K.nearest(table(spark, m), 7, metric)) == plain(m, 7, metric)
+    assert sum(sent) < 3 * len(m), sent  # to its own cell's blocks alone; without clusters all others were asked before
+    assert got(K.nearest(table(spark, m), 7, metric, queries=spark.range(0, len(m), 50))) == plain(m, 7, metric, range(0, len(m), 50))
