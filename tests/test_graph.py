@@ -154,3 +154,16 @@ def test_entity_similarity_equals_pairwise(spark):
         scale = sum(w for w, _ in qs) * sum(w for w, _ in cs)
         assert s == pytest.approx(sum(a * b * cos(x, y) for a, x in qs for b, y in cs) / scale if scale else 0.0)
     assert {x.paper_id: x.s_entity for x in S.entity_similarity(pairs, S.type_similarity(pairs, profiles)).collect()}["z"] == 0.5
+
+
+def test_walks_are_counted_for_parts_of_the_sources(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import similarity as S
+
+    r = spark.createDataFrame([(a, b, 1.0 / (a + b + 1)) for a in range(30) for b in range(30) if (a * 7 + b * 3) % 5 == 0], "source long, target long, weight double")
+    whole = S.walk_sums(r.select("source"), r, 3).groupBy("source", "length").agg(F.sum("n").alias("n"), F.count("*").alias("targets"), F.round(F.sum("weight"), 8).alias("weight"))
+    made, write = [], S.in_round
+    monkeypatch.setattr(S, "in_round", lambda spark, make, label: made.append(label) or write(spark, make, label))
+    got = S.walk_counts(r, 3, at_once=1500).withColumn("weight", F.round("weight", 8))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and len(made) > 3
