@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens, by relational plans over exploded tokens.
 
 Byte offsets at which a token of A and a token of B both end cut a text into groups. Tokens are exploded with their
-places, their lengths are added up in a window, A's and B's ends are joined on equality, the ends they share are counted
-as they run, which numbers the groups, and a join on the group links every A token in it with every B token.
+places, their lengths are added up in a window, A's and B's tokens meet by the end, the ends they share are counted
+as they run, which numbers the groups, and in a group every A token is linked with every B token.
 
 A corpus holds the same words again and again, and both tokenizers always end a token where a space follows a character
 that isn't one: A reads pieces that no such place falls into, and no entry of B has a space after another character
@@ -25,11 +25,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
@@ -45,7 +44,7 @@ SEAM, NO_SEAM = re.compile(f"(?<=[{BEFORE}])(?= )"), re.compile(f"[^{BEFORE}] ")
 SLICE = 8 << 20  # characters of a slice
 ROUNDS = 4  # in which slices are put together, so that a quarter of their rows lies in shuffle files at once
 
-CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+PAIR = 1 << 32  # a pair of ids is A's times this, and B's
 TOKENS = "a_ids array<int>, a_lengths array<int>, b_ids array<int>, b_lengths array<int>, whole boolean"
 
 
@@ -153,60 +152,42 @@ def sliced(docs: DataFrame, split: bool) -> DataFrame:
     return numbered.mapInArrow(run, SLICED)
 
 
-def ends(tokens: DataFrame, side: str) -> DataFrame:
-    """(u, pos, id, end): the tokens of A or B with the byte at which each one ends."""
-    rows = tokens.select("u", F.posexplode(F.arrays_zip(F.col(f"{side}_ids").alias("id"), F.col(f"{side}_lengths").alias("n"))).alias("pos", "t"))
-    return rows.select("u", "pos", F.col("t.id").alias("id"), F.sum("t.n").over(Window.partitionBy("u").orderBy("pos")).alias("end"))
+def ends(tokens: DataFrame) -> DataFrame:
+    """(u, side, pos, id, n, end): the tokens of A (side 0) and of B (1) with the byte at which each one ends."""
 
+    def of(side: int, name: str) -> Column:
+        each = F.arrays_zip(F.col(f"{name}_ids").alias("id"), F.col(f"{name}_lengths").alias("n"))
+        return F.transform(each, lambda t, pos: F.struct(F.lit(side).alias("side"), pos.alias("pos"), t["id"].alias("id"), t["n"].alias("n")))
 
-def grouped(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, pos, id, g) of A and of B: every token with its group, counted from 0 within the unit."""
-    a, b = ends(tokens, "a"), ends(tokens, "b")
-    before = Window.partitionBy("u").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tokens.select("u", F.explode(F.concat(of(0, "a"), of(1, "b"))).alias("t")).select("u", "t.*")
+    return rows.withColumn("end", F.sum("n").over(Window.partitionBy("u", "side").orderBy("pos")))
 
-    def numbered(rows: DataFrame, other: DataFrame) -> DataFrame:
-        rows = rows.join(other.select("u", "end", F.lit(1).alias("cut")), ["u", "end"], "left")
-        return rows.select("u", "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
 
-    return numbered(a, b), numbered(b, a)
+def grouped(tokens: DataFrame) -> DataFrame:
+    """(u, g, a, b): the ids of A and of B in each group, in order; groups are counted from 0 within the unit. Tokens are dealt by
+    unit once; all that follows finds them so, and in the order of their ends."""
+    at, before = Window.partitionBy("u", "end"), Window.partitionBy("u").orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
+    rows = ends(tokens).withColumn("cut", F.when((F.min("side").over(at) == 0) & (F.col("side") == 1), 1))
+    rows = rows.withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+    of = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id")))), lambda t: t["id"])
+    return rows.groupBy("u", "g").agg(of(0).alias("a"), of(1).alias("b"))
 
 
-def unit_groups(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(u, n_a, n_b, n_groups, n_links, groups): the counts of each unit, and its groups as text. a, b: as grouped()."""
-
-    def listed(rows: DataFrame, side: str) -> DataFrame:
-        ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"])
-        return rows.groupBy("u", "g").agg(F.array_join(ids.cast("array<string>"), ",").alias(side), F.count("*").alias(f"n_{side}"))
-
-    each = listed(a, "a").join(listed(b, "b"), ["u", "g"]).withColumn("both", F.concat_ws("|", "a", "b"))
-    return each.groupBy("u").agg(
+def unit_groups(groups: DataFrame) -> DataFrame:
+    """(u, n_a, n_b, n_groups, n_links, groups, links): the counts of each unit, its groups as text, and the id pairs that are
+    linked in each group with how often, (pair, n). groups: as grouped()."""
+    counted = lambda ids: F.transform(F.array_distinct(ids), lambda i: F.struct(i.cast("long").alias("id"), (F.size(ids) - F.size(F.array_remove(ids, i))).cast("long").alias("n")))
+    each = groups.select(
+        "u", "g", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), counted(F.col("a")).alias("ca"), counted(F.col("b")).alias("cb"),
+        F.concat_ws("|", *[F.array_join(F.col(c).cast("array<string>"), ",") for c in ("a", "b")]).alias("both"),
+    )
+    links = F.flatten(F.transform("ca", lambda x: F.transform("cb", lambda y: F.struct((x["id"] * PAIR + y["id"]).alias("pair"), (x["n"] * y["n"]).alias("n")))))
+    return each.withColumn("links", links).groupBy("u").agg(
         F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "both"))), lambda x: x["both"]), ";").alias("groups"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "both"))), lambda x: x["both"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
     )
 
 
-def unit_links(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(u, a, b, n): the id pairs that are linked in each unit, and how often. a, b: as grouped()."""
-    counted = lambda rows, side: rows.groupBy("u", "g", F.col("id").alias(side)).agg(F.count("*").alias(f"n_{side}"))
-    both = counted(a, "a").join(counted(b, "b"), ["u", "g"])
-    return both.groupBy("u", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
-
-
-@contextmanager
-def by_part_of_key(spark: SparkSession) -> Iterator[None]:
-    """Within it, joins on (u, ...) take rows as they are dealt by u: tokens are dealt by unit once, exploded there, and never
-    shuffled as rows."""
-    before = spark.conf.get(CO_PARTITION, None)
-    spark.conf.set(CO_PARTITION, "false")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CO_PARTITION)
-        else:
-            spark.conf.set(CO_PARTITION, before)
-
-
 def _documents(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Of the rows of a slice: the documents' ids, whether each has tokens at all, and for every unit in order its row and
     its document."""
@@ -307,23 +288,17 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             out = made if out is None else out.unionByName(made)
         return out.groupBy(sums).agg(F.sum("held").alias("held")) if sums else out
 
-    dealt = tokens.where("whole").repartition(4 * shuffle_partitions(spark), "u")
-    with by_part_of_key(spark):
-        links = scratch.write(unit_links(*grouped(dealt)), "align-unit-links")
-    pairs = dense(links.select("a", "b").distinct(), "pair", "align-pair-names")
-    of_unit = links.join(pairs, ["a", "b"]).groupBy("u").agg(F.collect_list("pair").alias("pairs"))
+    units = scratch.write(unit_groups(grouped(tokens.where("whole").repartition(4 * shuffle_partitions(spark), "u"))), "align-texts")
+    of_unit = units.select("u", F.array_distinct("links.pair").alias("pairs"))
     of_unit = scratch.write(tokens.select("u", "whole").join(of_unit, "u", "left"), "align-unit-pairs")
-    held = told(of_unit, _held, "pair long, held long", "pair")
-    pairs = scratch.write(pairs.join(held, "pair"), "align-held")
+    pairs = scratch.write(told(of_unit, _held, "pair long, held long", "pair").withColumn("a", F.shiftright("pair", 32)), "align-held")
     scratch.drop(of_unit)
     most = pairs.groupBy("a").agg(F.max("held").alias("most"))
-    pairs = pairs.join(most, "a").select("a", "b", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
-    scores = links.join(pairs, ["a", "b"]).groupBy("u").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
+    pairs = pairs.join(most, "a").select("pair", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
+    links = units.select("u", F.explode("links").alias("l")).select("u", "l.pair", "l.n")
+    scores = links.join(pairs, "pair").groupBy("u").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
     scores = scratch.write(scores, "align-scores")
-    scratch.drop(links)
-    with by_part_of_key(spark):
-        texts = scratch.write(unit_groups(*grouped(dealt)), "align-texts")
-    known = scratch.write(tokens.select("u", "whole").join(texts.join(scores, "u"), "u", "left"), "align-known")
-    scratch.drop(texts, scores, tokens)
+    known = scratch.write(tokens.select("u", "whole").join(units.drop("links").join(scores, "u"), "u", "left"), "align-known")
+    scratch.drop(units, scores, tokens)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups_sha256 string"
     return told(known, _assembled, schema)

@@ -114,3 +114,12 @@ def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sorted((tuple(r) for r in alignment.align(docs, A, B).collect()), key=str)
     assert got == plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_units_are_grouped_and_linked_at_once(spark):
+    rows = [(1, [7, 8, 7, 9], [1, 2, 1, 3], [5, 5, 6], [2, 2, 3], True), (2, [4], [3], [3], [3], True)]
+    units = alignment.unit_groups(alignment.grouped(spark.createDataFrame(rows, f"u long, {alignment.TOKENS}").repartition(3, "u")))
+    got = {r.u: (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups, sorted((x.pair >> 32, x.pair & 0xFFFFFFFF, x.n) for x in r.links)) for r in units.collect()}
+    assert got == {1: (4, 3, 2, 7, "7,8,7|5,5;9|6", [(7, 5, 4), (8, 5, 2), (9, 6, 1)]), 2: (1, 1, 1, 1, "4|3", [(4, 3, 1)])}
+    plan = str(units._jdf.queryExecution().executedPlan()).split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
